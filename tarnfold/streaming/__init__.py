@@ -1,0 +1,5 @@
+"""No streaming operators: nothing in the work covered here keeps state over a stream.
+
+The row-level functions of ``tarnfold.functions`` and ``tarnfold.operators.text`` hold
+no state and need no shuffle, so they run unchanged on a streaming DataFrame.
+"""
