@@ -10,7 +10,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tarnfold.operators.encode import fit_scaling, standardize
-from tarnfold.operators.joins import HOT_SHARE, cross_grid, lookup
+from tarnfold.operators.joins import HOT_SHARE, cross_grid, grid_literal, lookup
 from tarnfold.operators.stats import pearson
 from tarnfold.operators.windows import seeded_sample
 from tarnfold.session import cut_lineage
@@ -25,53 +25,63 @@ SHRINK = 4.0
 NEAREST_POSITIVE, NEAREST_NEGATIVE = -1.0, -2.0
 
 
-def haversine_km(lat1, lon1, lat2, lon2) -> Column:
-    lat1, lon1, lat2, lon2 = (F.radians(F.col(c) if isinstance(c, str) else c) for c in (lat1, lon1, lat2, lon2))
-    h = F.pow(F.sin((lat2 - lat1) / 2), 2) + F.cos(lat1) * F.cos(lat2) * F.pow(F.sin((lon2 - lon1) / 2), 2)
-    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+def haversine_km(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
+    """Great-circle distance between two pairs of degree columns."""
+    return F.expr(
+        f"{2 * EARTH_KM}D * asin(sqrt(least(1D, pow(sin((radians({lat2}) - radians({lat1})) / 2), 2)"
+        f" + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin((radians({lon2}) - radians({lon1})) / 2), 2))))"
+    )
 
 
 def _step(km: float) -> float:
     return math.degrees(km / EARTH_KM) * (1 + 1e-9)
 
 
-def _reach(lat: Column, km: float) -> Column:
+def _reach(lat: str, km: float) -> str:
     """Degrees of longitude a circle of ``km`` around ``lat`` can span to either side."""
-    open_side = F.abs(lat) + F.lit(_step(km)) < F.lit(90.0)
-    ratio = F.lit(math.sin(min(km / EARTH_KM, math.pi / 2))) / F.cos(F.radians(lat))
-    return F.when(open_side, F.degrees(F.asin(F.least(F.lit(1.0), ratio))) + F.lit(1e-9)).otherwise(F.lit(180.0))
+    sine = math.sin(min(km / EARTH_KM, math.pi / 2))
+    return (
+        f"if(abs({lat}) + {_step(km)!r}D < 90D,"
+        f" degrees(asin(least(1D, {sine!r}D / cos(radians({lat}))))) + 1e-9D, 180D)"
+    )
 
 
-def _columns(band: Column, km: float) -> Column:
+def _columns(band: str, km: float) -> str:
     """Longitude cells in a latitude band: as wide as the reach at its pole-side edge."""
-    step = _step(km)
-    edge = F.greatest(F.abs(band * F.lit(step) - 90.0), F.abs((band + 1) * F.lit(step) - 90.0))
-    return F.greatest(F.lit(1), F.floor(F.lit(360.0) / _reach(F.least(edge, F.lit(90.0)), km)))
-
+    step = f"{_step(km)!r}D"
+    edge = f"least(90D, greatest(abs({band} * {step} - 90D), abs(({band} + 1) * {step} - 90D)))"
+    return f"greatest(1L, floor(360D / ({_reach(edge, km)})))"
 
-def _cell(band: Column, column: Column) -> Column:
-    return band.cast("long") * F.lit(1 << 32) + column.cast("long")
 
-
-def cell_of(lat: Column, lon: Column, km: float) -> Column:
-    band = F.floor((lat + 90.0) / F.lit(_step(km)))
+def cell_sql(lat: str, lon: str, km: float) -> str:
+    band = f"floor(({lat} + 90D) / {_step(km)!r}D)"
     columns = _columns(band, km)
-    return _cell(band, F.pmod(F.floor((lon + 180.0) * columns / 360.0), columns))
+    return f"{band} * {1 << 32}L + pmod(floor(({lon} + 180D) * {columns} / 360D), {columns})"
 
 
-def cells_around(lat: Column, lon: Column, km: float) -> Column:
+def around_sql(lat: str, lon: str, km: float) -> str:
     """Every cell a point within ``km`` can lie in, across the date line and the poles."""
-    step, reach = F.lit(_step(km)), _reach(lat, km)
+    step, reach = f"{_step(km)!r}D", _reach(lat, km)
+    row = (
+        f"struct(band, {_columns('band', km)} as columns)"
+    )
+    span = (
+        f"sequence(floor(({lon} - r + 180D) * x.columns / 360D), least(floor(({lon} + r + 180D) * x.columns / 360D),"
+        f" floor(({lon} - r + 180D) * x.columns / 360D) + x.columns - 1))"
+    )
+    return (
+        f"array_distinct(flatten(transform(transform(sequence(floor(({lat} - {step} + 90D) / {step}),"
+        f" floor(({lat} + {step} + 90D) / {step})), band -> {row}),"
+        f" x -> transform({span.replace(' r ', f' ({reach}) ')}, i -> x.band * {1 << 32}L + pmod(i, x.columns)))))"
+    )
+
+
+def cell_of(lat: str, lon: str, km: float) -> Column:
+    return F.expr(cell_sql(lat, lon, km))
 
-    def in_band(band: Column) -> Column:
-        columns = _columns(band, km)
-        first = F.floor((lon - reach + 180.0) * columns / 360.0)
-        last = F.floor((lon + reach + 180.0) * columns / 360.0)
-        span = F.sequence(first, F.least(last, first + columns - 1))
-        return F.transform(span, lambda i: _cell(band, F.pmod(i, columns)))
 
-    bands = F.sequence(F.floor((lat - step + 90.0) / step), F.floor((lat + step + 90.0) / step))
-    return F.array_distinct(F.flatten(F.transform(bands, in_band)))
+def cells_around(lat: str, lon: str, km: float) -> Column:
+    return F.expr(around_sql(lat, lon, km))
 
 
 def _ref_side(ref: DataFrame, names: Mapping[str, str]) -> DataFrame:
@@ -94,7 +104,7 @@ def radius_join(
     dealt out over several tasks by id hash, and the probing rows go to each of them.
     """
     names = {c: f"n_{c}" for c in dict.fromkeys([key, lat, lon, *carry])}
-    ref = _ref_side(right, names).withColumn("_cell", cell_of(F.col(f"n_{lat}"), F.col(f"n_{lon}"), km))
+    ref = _ref_side(right, names).withColumn("_cell", cell_of(f"n_{lat}", f"n_{lon}", km))
     ref = ref.filter(F.col("_cell").isNotNull())
     sizes = ref.groupBy("_cell").agg(F.count("*").alias("_n"))
     total = sizes.agg(F.sum("_n").alias("t")).scalar()
@@ -108,7 +118,7 @@ def radius_join(
         "_cell",
         F.pmod(F.xxhash64(f"n_{key}"), F.coalesce(F.col("_parts"), F.lit(1))).cast("int").alias("_part"),
     )
-    probe = left.withColumn("_probe", F.explode(cells_around(F.col(lat), F.col(lon), km)))
+    probe = left.withColumn("_probe", F.explode(cells_around(lat, lon, km)))
     probe = probe.join(hot, F.col("_probe") == F.col("_hot_cell"), "left").select(
         *left.columns,
         "_probe",
@@ -121,8 +131,8 @@ def radius_join(
     return pairs.select(*left.columns, *[n for n in names.values()], "km")
 
 
-def _mean(parts: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, parts) / F.lit(float(len(parts))) if parts else F.lit(0.0)
+def _mean(parts: Sequence[str]) -> str:
+    return f"(({' + '.join(parts)}) / {len(parts)}D)" if parts else "0D"
 
 
 def mixed_distance(
@@ -132,10 +142,10 @@ def mixed_distance(
 
     Categories compare as text, so NULL equals NULL; an unknown number sorts last.
     """
-    differ = [(~F.col(c).eqNullSafe(F.col(f"n_{c}"))).cast("double") for c in cats]
-    gaps = [F.abs(F.col(c) - F.col(f"n_{c}")) for c in nums]
-    total = F.lit(geo) * F.col("km") / 1000.0 + F.lit(cat) * _mean(differ) + F.lit(num) * _mean(gaps)
-    return F.coalesce(total, F.lit(float("inf")))
+    differ = [f"if({c} <=> n_{c}, 0D, 1D)" for c in cats]
+    gaps = [f"abs({c} - n_{c})" for c in nums]
+    total = f"{float(geo)}D * km / 1000D + {float(cat)}D * {_mean(differ)} + {float(num)}D * {_mean(gaps)}"
+    return F.expr(f"coalesce({total}, double('infinity'))")
 
 
 def _limits(wanted: Sequence[tuple[int, float]]) -> dict[float, int]:
@@ -150,39 +160,31 @@ def _first_per_key(
 ) -> DataFrame:
     """The nearest rows that any (k, max distance) pair or class needs: ``(by, d, rank, ...)``."""
     limits = _limits(wanted)
-    slots = [F.when(F.col("km") <= d, F.lit(d)) for d in limits]
-    slots += [
-        F.when(F.col(f"n_{y}") == 1, F.lit(NEAREST_POSITIVE)),
-        F.when(F.col(f"n_{y}") == 0, F.lit(NEAREST_NEGATIVE)),
-    ]
-    sort = [F.col("mixed"), F.col("n_id")] if order == "combined" else [F.col("km"), F.col("n_id")]
-    long = pairs.select(
-        *by, "n_id", "km", "mixed", F.col(f"n_{y}").alias("label"), F.explode(F.array_compact(F.array(*slots))).alias("d")
+    slots = [f"if(km <= {d}D, {d}D, null)" for d in limits]
+    slots += [f"if(n_{y} = 1, {NEAREST_POSITIVE}D, null)", f"if(n_{y} = 0, {NEAREST_NEGATIVE}D, null)"]
+    long = pairs.selectExpr(
+        *by, "n_id", "km", "mixed", f"n_{y} as label", f"explode(array_compact(array({', '.join(slots)}))) as d"
     )
     # one bound for all slots lets Spark drop rows before the shuffle; trimmed per slot after
-    most = max(limits.values())
-    ranked = long.withColumn("rank", F.row_number().over(W.partitionBy(*by, "d").orderBy(*sort))).filter(
-        F.col("rank") <= most
-    )
-    keep = F.when(F.col("d") < 0, F.lit(1))
-    for d, k in limits.items():
-        keep = keep.when(F.col("d") == d, F.lit(k))
-    return ranked.filter(F.col("rank") <= keep).select(*by, "d", "rank", "n_id", "km", "label")
+    sort = "mixed" if order == "combined" else "km"
+    number = f"row_number() over (partition by {', '.join([*by, 'd'])} order by {sort}, n_id)"
+    ranked = long.selectExpr("*", f"{number} as rank").filter(f"rank <= {max(limits.values())}")
+    keep = " ".join(f"when d = {d}D then {k}" for d, k in limits.items())
+    return ranked.filter(f"rank <= case when d < 0 then 1 {keep} end").drop("mixed")
 
 
 def _features(first: DataFrame, by: Sequence[str], wanted: Sequence[tuple[int, float]]) -> DataFrame:
     cells = []
     for k, d in wanted:
-        here = (F.col("d") == F.lit(float(d))) & (F.col("rank") <= k)
-        name = f"nn{k}_max{d:g}"
+        here, name = f"d = {float(d)}D and rank <= {k}", f"nn{k}_max{d:g}"
         cells += [
-            F.avg(F.when(here, F.col("label"))).alias(f"{name}_target_mean"),
-            F.count(F.when(here, F.lit(1))).alias(f"{name}_count"),
-            F.avg(F.when(here, F.col("km"))).alias(f"{name}_dist_mean"),
+            F.expr(f"avg(label) filter (where {here}) as {name}_target_mean"),
+            F.expr(f"count(*) filter (where {here}) as {name}_count"),
+            F.expr(f"avg(km) filter (where {here}) as {name}_dist_mean"),
         ]
     cells += [
-        F.min(F.when(F.col("d") == NEAREST_POSITIVE, F.col("km"))).alias("dist_to_nearest_positive"),
-        F.min(F.when(F.col("d") == NEAREST_NEGATIVE, F.col("km"))).alias("dist_to_nearest_negative"),
+        F.expr(f"min(km) filter (where d = {NEAREST_POSITIVE}D) as dist_to_nearest_positive"),
+        F.expr(f"min(km) filter (where d = {NEAREST_NEGATIVE}D) as dist_to_nearest_negative"),
     ]
     return first.groupBy(*by).agg(*cells)
 
@@ -228,8 +230,9 @@ def neighbor_features(
         columns = [F.col(key).alias("id") if c == key else F.col(c) for c in [*kept, *extra]]
         return frame.select(*columns).filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
 
-    queries = prepared(df)
-    points = prepared(df if itself else ref, [y])
+    # used by the density check, both join sides and the levels: computed once
+    points = cut_lineage(prepared(df if itself else ref, [y]))
+    queries = points.drop(y) if itself else cut_lineage(prepared(df))
     limits = _limits(wanted)
     most, far = max(limits.values()), max(limits)
     carry = [c for c in points.columns if c not in ("id", lat, lon)]
@@ -254,7 +257,7 @@ def neighbor_features(
         bound_geo, bound_cat, bound_num = 1.0, 0.0, 0.0
     else:
         bound_geo, bound_cat, bound_num = geo, cat, num
-    sizes = points.groupBy(cell_of(F.col(lat), F.col(lon), far).alias("c")).agg(F.count("*").alias("n"))
+    sizes = points.groupBy(cell_of(lat, lon, far).alias("c")).agg(F.count("*").alias("n"))
     if bound_geo > 0 and not sizes.filter(F.col("n") > dense_rows).isEmpty():
         first = _search_by_level(
             queries, points, full, ranked, limits, cats, zs, (geo, cat, num),
@@ -296,34 +299,23 @@ def _search_by_level(
     def width(j: int) -> float | None:
         return bound(j) * len(zs) / b_num if zs and b_num > 0 else None
 
-    def same_cats(j: int) -> bool:
-        return bool(cats) and b_cat > 0 and bound(j) <= b_cat / len(cats)
-
-    def cat_text(j: int) -> list[Column]:
-        return [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cats] if same_cats(j) else []
-
-    def key_text(j: int, place: Column, bins: Sequence[Column]) -> Column:
-        parts = [place.cast("string"), *[b.cast("string") for b in bins], *cat_text(j)]
-        return F.concat_ws("\u0001", F.lit(str(j)), *parts)
-
-    def own_bins(j: int) -> list[Column]:
-        w = width(j)
-        return [F.floor(F.coalesce(F.col(z), F.lit(0.0)) / F.lit(w)) for z in zs] if w else []
+    def key_sql(j: int, place: str, shift: Sequence[int]) -> str:
+        parts = [f"'{j}'", f"cast({place} as string)"]
+        if width(j):
+            parts += [
+                f"cast(floor(coalesce({z}, 0D) / {width(j)!r}D) + {o} as string)" for z, o in zip(zs, shift)
+            ]
+        if cats and b_cat > 0 and bound(j) <= b_cat / len(cats):
+            parts += [f"coalesce(cast({c} as string), '\\0')" for c in cats]
+        return f"concat_ws('\\1', {', '.join(parts)})"
 
     def own(j: int) -> Column:
-        return key_text(j, cell_of(F.col(lat), F.col(lon), radius(j)), own_bins(j))
+        return F.expr(key_sql(j, cell_sql(lat, lon, radius(j)), [0] * len(zs)))
 
     def around(j: int) -> Column:
         shifts = list(product((-1, 0, 1), repeat=len(zs))) if width(j) else [()]
-        keys = [
-            lambda place, s=s: key_text(j, place, [b + F.lit(o) for b, o in zip(own_bins(j), s)]) for s in shifts
-        ]
-        return F.flatten(
-            F.transform(
-                cells_around(F.col(lat), F.col(lon), radius(j)),
-                lambda place: F.array(*[k(place) for k in keys]),
-            )
-        )
+        keys = ", ".join(key_sql(j, "place", s) for s in shifts)
+        return F.expr(f"flatten(transform({around_sql(lat, lon, radius(j))}, place -> array({keys})))")
 
     levels = range(1, LEVELS + 1)
     located = points.withColumn("_at", F.explode(F.array(*[own(j) for j in levels])))
@@ -403,12 +395,11 @@ def neighbor_grid_search(
         row.update({f"_w_{z}": float(wn) / len(ns) if c in ns else 0.0 for c, z in zip(nums, zs)})
         grid.append(row)
     base = standardize(df, fit_scaling(df, nums), nums, suffix="_z") if nums else df
-    base = base.select(F.col(key).alias("id"), lat, lon, *cats, *zs, F.col(y).alias("y"))
+    base = cut_lineage(base.select(F.col(key).alias("id"), lat, lon, *cats, *zs, F.col(y).alias("y")))
     pairs = radius_join(base, base, km, "id", lat, lon, exclude_self=True, carry=[*cats, *zs, "y"])
-    terms = [F.col(f"_w_{c}") * (~F.col(c).eqNullSafe(F.col(f"n_{c}"))).cast("double") for c in cats]
-    terms += [F.col(f"_w_{z}") * F.abs(F.col(z) - F.col(f"n_{z}")) for z in zs]
-    mixed = reduce(lambda a, b: a + b, terms, F.col("_geo") * F.col("km") / 1000.0)
-    scored = cross_grid(pairs, grid).withColumn("mixed", F.round(mixed, 12))
+    terms = [f"_w_{c} * if({c} <=> n_{c}, 0D, 1D)" for c in cats] + [f"_w_{z} * abs({z} - n_{z})" for z in zs]
+    mixed = " + ".join(["_geo * km / 1000D", *terms])
+    scored = cross_grid(pairs, grid).withColumn("mixed", F.expr(f"round({mixed}, 12)"))
     found = _features(_first_per_key(scored, ["config_id", "id"], "y", [(k, km)], "combined"), ["config_id", "id"], [(k, km)])
     everyone = cross_grid(base.select("id", "y"), [{"config_id": g["config_id"]} for g in grid])
     wide = everyone.join(found, ["config_id", "id"], "left")
@@ -419,22 +410,16 @@ def neighbor_grid_search(
         *[F.when(F.count(c) > min_values, F.abs(pearson(c, "y"))).alias(c) for c in features]
     )
     best = scores.select("config_id", F.coalesce(F.greatest(*features), F.lit(0.0)).alias("best_corr"))
-    text = {i: (", ".join(cs) or "none", ", ".join(ns) or "none", w) for i, (cs, ns, w) in enumerate(configs, 1)}
-    named = F.create_map(
-        *[
-            x
-            for i, (cs, ns, (wg, wc, wn)) in text.items()
-            for x in (
-                F.lit(i),
-                F.struct(
-                    F.lit(cs).alias("cat_cols"), F.lit(ns).alias("num_cols"),
-                    F.lit(float(wg)).alias("weight_geo"), F.lit(float(wc)).alias("weight_cat"),
-                    F.lit(float(wn)).alias("weight_num"),
-                ),
-            )
-        ]
+    named = [
+        {
+            "config_id": i, "cat_cols": ", ".join(cs) or "none", "num_cols": ", ".join(ns) or "none",
+            "weight_geo": float(wg), "weight_cat": float(wc), "weight_num": float(wn),
+        }
+        for i, (cs, ns, (wg, wc, wn)) in enumerate(configs, start=1)
+    ]
+    return best.withColumn("_c", F.get(grid_literal(named), F.col("config_id").cast("int") - 1)).select(
+        "_c.*", "best_corr"
     )
-    return best.withColumn("_c", named[F.col("config_id")]).select("config_id", "_c.*", "best_corr")
 
 
 def k_distance_sweep(

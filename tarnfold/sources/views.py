@@ -30,8 +30,10 @@ def plants(spark: SparkSession, sf_dir: str) -> DataFrame:
     band = F.lit(BANDS[-1])
     for name, limit in reversed(list(zip(BANDS, (0, 2000, 4000, 6000, 8000)))):
         band = F.when(F.col("c_acctbal") < limit, F.lit(name)).otherwise(band)
-    latitude = F.pmod(key * 7919, F.lit(12000)).cast("double") / 100 - 60
-    longitude = F.pmod(key * 104729, F.lit(36000)).cast("double") / 100 - 180
+    # one cluster of a few hundred kilometres per nation
+    nation_key = F.col("c_nationkey")
+    latitude = (nation_key * 37 % 120).cast("double") - 60 + (key * 7919 % 1000).cast("double") / 250
+    longitude = (nation_key * 97 % 360).cast("double") - 180 + (key * 104729 % 997).cast("double") / 200
     return joined.select(
         key.alias("id"),
         F.col("c_mktsegment").alias("primary_fuel"),
@@ -59,10 +61,9 @@ PLANTS_SQL = """plants as (
        when c.c_acctbal < 6000 then 'large' when c.c_acctbal < 8000 then 'xlarge' else 'utility' end as capacity_band,
   c.c_acctbal + 1000 as capacity_mw, ln(c.c_acctbal + 1001) as capacity_log_mw,
   cast((c.c_custkey * 31) % 80 as double) as plant_age,
-  cast((c.c_custkey * 7919) % 12000 as double) / 100 - 60 as latitude,
-  cast((c.c_custkey * 104729) % 36000 as double) / 100 - 180 as longitude,
-  concat('lat', cast(cast(floor((cast((c.c_custkey * 7919) % 12000 as double) / 100 - 60 + 90) / 30) as bigint) as varchar)) as lat_band,
-  concat('lon', cast(cast(floor((cast((c.c_custkey * 104729) % 36000 as double) / 100 - 180 + 180) / 60) as bigint) as varchar)) as lon_band,
+  (cast(c.c_nationkey * 37 % 120 as double) - 60 + cast(c.c_custkey * 7919 % 1000 as double) / 250) as latitude, (cast(c.c_nationkey * 97 % 360 as double) - 180 + cast(c.c_custkey * 104729 % 997 as double) / 200) as longitude,
+  concat('lat', cast(cast(floor(((cast(c.c_nationkey * 37 % 120 as double) - 60 + cast(c.c_custkey * 7919 % 1000 as double) / 250) + 90) / 30) as bigint) as varchar)) as lat_band,
+  concat('lon', cast(cast(floor(((cast(c.c_nationkey * 97 % 360 as double) - 180 + cast(c.c_custkey * 104729 % 997 as double) / 200) + 180) / 60) as bigint) as varchar)) as lon_band,
   case when (c.c_custkey * 48271) % 100 < 33 then 1 else 0 end as underperforming
  from customer c join nation n on c.c_nationkey = n.n_nationkey join region r on n.n_regionkey = r.r_regionkey)"""
 
