@@ -19,11 +19,13 @@ def _col(c: str | Column) -> Column:
 
 def weighted_proba(probas: Sequence[str | Column], weights: Sequence[float | Column]) -> Column:
     """Weighted mean of class-probability arrays."""
-    total = reduce(lambda a, b: a + b, [w if isinstance(w, Column) else F.lit(float(w)) for w in weights])
-    scaled = [
-        F.transform(_col(p), lambda v, w=w: v * (w if isinstance(w, Column) else F.lit(float(w))))
-        for p, w in zip(probas, weights)
-    ]
+    factors = [w if isinstance(w, Column) else F.lit(float(w)) for w in weights]
+    total = reduce(lambda a, b: a + b, factors)
+
+    def scale(proba: str | Column, factor: Column) -> Column:
+        return F.transform(_col(proba), lambda v: v * factor)
+
+    scaled = [scale(p, w) for p, w in zip(probas, factors)]
     summed = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), scaled)
     return F.transform(summed, lambda v: v / total)
 

@@ -162,12 +162,16 @@ def pattern_fallback(
 ) -> DataFrame:
     """First rule with a stem in the text and a label containing its key; else the first label."""
     wide, names = _with_labels(df.withColumn("_text", F.lower(text)), labels)
+
+    def named_after(key: str) -> Callable[[Column], Column]:
+        return lambda label: F.contains(F.lower(label), F.lit(key))
+
     choices = []
     for key, stems in rules.items():
         hit = F.lit(False)
         for stem in stems:
             hit = hit | F.contains(F.col("_text"), F.lit(stem))
-        choices.append(F.when(hit, _first(names, lambda lb, k=key: F.contains(F.lower(lb), F.lit(k)))))
+        choices.append(F.when(hit, _first(names, named_after(key))))
     return wide.withColumn("_out", F.coalesce(*choices, _first(names))).select(
         *df.columns, F.col("_out").alias(out)
     )
