@@ -55,18 +55,23 @@ def lookup(
         dim, rows = measured(dim)
         bounded = rows <= BROADCAST_ROWS
     if bounded:
-        side = dim.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *values)
-        on = match([(df[k], side[f"_k_{k}"]) for k in keys], null_safe)
-        out = df.join(F.broadcast(side), on, "left").drop(*[f"_k_{k}" for k in keys])
+        out = _join_side(df, F.broadcast(_side(dim, keys, values)), keys, null_safe)
     elif weight is None:
-        side = dim.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *values)
-        on = match([(df[k], side[f"_k_{k}"]) for k in keys], null_safe)
-        out = df.join(side, on, "left").drop(*[f"_k_{k}" for k in keys])
+        out = _join_side(df, _side(dim, keys, values), keys, null_safe)
     else:
         out = _split_lookup(df, dim, keys, values, weight, null_safe)
     return with_defaults(out, default)
 
 
+def _side(dim: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    return dim.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *values)
+
+
+def _join_side(df: DataFrame, side: DataFrame, keys: Sequence[str], null_safe: bool) -> DataFrame:
+    on = match([(F.col(k), F.col(f"_k_{k}")) for k in keys], null_safe)
+    return df.join(side, on, "left").drop(*[f"_k_{k}" for k in keys])
+
+
 def with_defaults(df: DataFrame, default: Mapping[str, object]) -> DataFrame:
     if not default:
         return df
@@ -82,7 +87,7 @@ def _split_lookup(df, dim, keys, values, weight, null_safe):
         *[F.col(v).alias(f"_h_{v}") for v in values],
         F.lit(True).alias("_hot"),
     )
-    on = match([(df[k], hot[f"_h_{k}"]) for k in keys], null_safe)
+    on = match([(F.col(k), F.col(f"_h_{k}")) for k in keys], null_safe)
     tagged = df.join(F.broadcast(hot), on, "left").drop(*[f"_h_{k}" for k in keys])
     apart = F.col("_hot").isNotNull()
     if not null_safe:
@@ -94,14 +99,14 @@ def _split_lookup(df, dim, keys, values, weight, null_safe):
     # so the salt stays part of the shuffle key
     cold = dim.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
-        *values,
+        *[F.col(v).alias(f"_c_{v}") for v in values],
         F.least(F.col(weight), F.lit(0)).cast("long").alias("_zero"),
     )
-    pairs = [(tagged[k], cold[f"_k_{k}"]) for k in keys]
-    joined = tagged.join(cold, match(pairs, null_safe) & (tagged["_salt"] == cold["_zero"]), "left")
+    pairs = [(F.col(k), F.col(f"_k_{k}")) for k in keys]
+    joined = tagged.join(cold, match(pairs, null_safe) & (F.col("_salt") == F.col("_zero")), "left")
     return joined.select(
-        *[tagged[c] for c in df.columns],
-        *[F.when(F.col("_hot"), F.col(f"_h_{v}")).otherwise(cold[v]).alias(v) for v in values],
+        *df.columns,
+        *[F.when(F.col("_hot"), F.col(f"_h_{v}")).otherwise(F.col(f"_c_{v}")).alias(v) for v in values],
     )
 
 

@@ -12,24 +12,25 @@ from tarnfold.functions import columns as C
 from tarnfold.operators import encode, ensemble, metrics, models, windows
 from tarnfold.plans.ensemble_queries import PROBAS, SMALL
 from tarnfold.plans.registry import query, rounded
-from tarnfold.sources.views import FUELS, documents, folded_plants, folded_proba, table
+from tarnfold.session import cut_lineage
+from tarnfold.sources.views import FUELS, documents, folded_proba, plants, table
 
 CLASSES = [0, 1, 2, 3]
 
 
-def _vectors(spark, sf, folds=3, y=F.col("label") % 4):
+def _vectors(spark, sf, folds=3):
     base = table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("id"), y.cast("int").alias("y"),
+        F.col("vec_id").alias("id"), (F.col("label") % 4).cast("int").alias("y"),
         array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features"),
     )
     return encode.class_weight_col(windows.stratified_folds(base, "y", folds), "y")
 
 
 def _report(held):
-    scored = held.withColumn("pred", ensemble.weighted_argmax("proba", [1.0] * 4))
+    scored = cut_lineage(held.withColumn("pred", ensemble.weighted_argmax("proba", [1.0] * 4)).select("y", "fold", "pred"))
     per_fold = metrics.weakest_two_f1(scored, CLASSES, by=["fold"])
     summary = metrics.cv_summary(per_fold, "weakest_two")
-    pooled = metrics.classification_report(scored).agg(F.struct("accuracy", "macro_f1", "n").alias("r"))
+    pooled = metrics.classification_report(scored).select(F.struct("accuracy", "macro_f1", "n").alias("r"))
     return rounded(summary.withColumn("_r", pooled.scalar()).select("*", "_r.*").drop("_r"))
 
 
@@ -66,7 +67,7 @@ RANKED = ["plant_age_rank", "capacity_mw_z"]
 
 def _plant_features(spark, sf, folds=3):
     """The tabular feature table: row features, group features and target encodings."""
-    p = windows.stratified_folds(folded_plants(spark, sf).drop("fold"), "underperforming", folds)
+    p = windows.stratified_folds(plants(spark, sf), "underperforming", folds)
     p = C.one_hot(p.withColumnRenamed("underperforming", "y"), "primary_fuel", FUELS)
     p = p.withColumns(
         {
@@ -74,6 +75,7 @@ def _plant_features(spark, sf, folds=3):
             "fuel_band": C.combo_key(["primary_fuel", "capacity_band"]),
         }
     )
+    p = cut_lineage(p)  # every fit below scans this table, not the joins behind it
     p = windows.group_pct_rank(p, "primary_fuel", "plant_age")
     p = windows.group_zscore(p, "primary_fuel", ["capacity_mw"])
     p = encode.target_encode_oof(p, ["primary_fuel", "owner_bucket", "capacity_band", "fuel_band"], "y", "fold", 20.0)
