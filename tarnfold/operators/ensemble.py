@@ -8,7 +8,7 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tarnfold.operators.joins import cross_grid
+from tarnfold.operators.joins import cross_grid, grid_literal
 from tarnfold.operators.metrics import confusion, f1_from_confusion, ranking_scores, weakest_two
 from tarnfold.operators.stats import best_config, top
 
@@ -127,8 +127,10 @@ def blend_search(
     mixed = reduce(
         lambda a, b: a + b, [F.col(s) * F.get(F.col("weights"), i) for i, s in enumerate(scores)]
     )
-    tried = cross_grid(df.select(y, *scores), configs).select("config_id", "weights", y, mixed.alias("score"))
-    return ranking_scores(tried, y, "score", ["config_id", "weights"])
+    tried = cross_grid(df.select(y, *scores), configs).select("config_id", y, mixed.alias("score"))
+    ranked = ranking_scores(tried, y, "score", ["config_id"])
+    weights = F.get(grid_literal(configs), F.col("config_id").cast("int"))["weights"]
+    return ranked.select("config_id", weights.alias("weights"), "auc", "ap", "composite")
 
 
 def convex_grid(weights: Sequence[float]) -> list[list[float]]:

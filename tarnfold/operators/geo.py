@@ -13,7 +13,7 @@ from tarnfold.operators.encode import fit_scaling, standardize
 from tarnfold.operators.joins import HOT_SHARE, cross_grid, grid_literal, lookup
 from tarnfold.operators.stats import pearson
 from tarnfold.operators.windows import seeded_sample
-from tarnfold.session import cut_lineage
+from tarnfold.session import cut_lineage, shuffle_partitions
 
 EARTH_KM = 6371.0
 # Reference rows of one cell that meet in one task before the cell is split.
@@ -231,8 +231,10 @@ def neighbor_features(
         return frame.select(*columns).filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
 
     # used by the density check, both join sides and the levels: computed once
-    points = cut_lineage(prepared(df if itself else ref, [y]))
-    queries = points.drop(y) if itself else cut_lineage(prepared(df))
+    # and dealt out evenly, since the work per row is many times its bytes
+    tasks = shuffle_partitions(df.sparkSession)
+    points = cut_lineage(prepared(df if itself else ref, [y]).repartition(tasks, "id"))
+    queries = points.drop(y) if itself else cut_lineage(prepared(df).repartition(tasks, "id"))
     limits = _limits(wanted)
     most, far = max(limits.values()), max(limits)
     carry = [c for c in points.columns if c not in ("id", lat, lon)]

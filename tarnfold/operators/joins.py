@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tarnfold.session import cut_lineage
 
-# A lookup side goes out as a broadcast only after its rows have been counted.
+# A lookup side goes out as a broadcast only after it has been measured: at most this
+# many rows of at most ROW_BYTES on average, about 50 MB.
 BROADCAST_ROWS = 200_000
+ROW_BYTES = 256
 # A key is hot above 1/HOT_SHARE of the weight, so there are never more hot keys than this.
 HOT_SHARE = 1_000
 
@@ -24,9 +27,21 @@ def match(pairs: Sequence[tuple[Column, Column]], null_safe: bool) -> Column:
 
 
 def measured(df: DataFrame) -> tuple[DataFrame, int]:
-    """Materialise once in the checkpoint folder and count what was written."""
+    """Materialise once in the checkpoint folder and measure what was written.
+
+    The size is in rows, counted by weight where the rows are wide: ROW_BYTES make a row.
+    """
     stored = cut_lineage(df)
-    return stored, stored.count()
+    width, fixed = F.lit(0), 0
+    for field in stored.schema:
+        if isinstance(field.dataType, T.StringType):
+            width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            width = width + F.coalesce(F.octet_length(F.to_json(field.name)), F.lit(0))
+        else:
+            fixed += 8
+    row = stored.agg(F.count("*").alias("n"), F.sum(width + F.lit(fixed)).alias("bytes")).first()
+    return stored, max(row.n, math.ceil((row.bytes or 0) / ROW_BYTES))
 
 
 def lookup(

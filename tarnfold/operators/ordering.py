@@ -1,9 +1,9 @@
 """Exact order statistics over groups of any size.
 
-A window over a whole group puts that group into one task. Here every group is cut
-into value ranges of similar size first: totals per range give each range its offset,
-and only the rows of one range are sorted together. The cut points are a fixed number
-of values picked by hash, so that the side tables have a known size bound.
+A window over a whole group puts that group into one task. Beyond a measured size every
+group is cut into value ranges of similar size first: totals per range give each range
+its offset, and only the rows of one range are sorted together. The cut points are a
+fixed number of values picked by hash, so that the side tables have a known size bound.
 """
 
 from __future__ import annotations
@@ -152,12 +152,18 @@ def melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> Dat
 
 
 def hash_rank(
-    df: DataFrame, key: str, seed: int = 42, by: Sequence[str | Column] = (), digits: int = 3
+    df: DataFrame,
+    key: str,
+    seed: int = 42,
+    by: Sequence[str | Column] = (),
+    digits: int = 3,
+    below: Column | None = None,
 ) -> DataFrame:
     """Add ``_rank`` (0-based, in seeded hash order) and ``_size``, within ``by``.
 
     md5 is uniform, so its leading hex digits cut any group into even ranges without
-    looking at the data: one count per range, then a sort inside each range.
+    looking at the data: one count per range, then a sort inside each range. With
+    ``below`` only ranks under it are kept, and ranges past it are never shuffled.
     """
     names = [f"_by{i}" for i in range(len(by))]
     base = df.withColumns(
@@ -176,9 +182,12 @@ def hash_rank(
         F.sum("_n").over(W.partitionBy(*names)).alias("_size"),
     )
     placed = lookup(base, offsets, [*names, "_slice"], weight="_n", null_safe=True)
+    if below is not None:
+        placed = placed.filter(F.col("_before") < below)
     inside = W.partitionBy(*names, "_slice").orderBy("_hash", key)
-    return placed.select(
+    ranked = placed.select(
         *df.columns,
         (F.col("_before") + F.row_number().over(inside) - 1).alias("_rank"),
         "_size",
     )
+    return ranked if below is None else ranked.filter(F.col("_rank") < below)

@@ -144,4 +144,4 @@ def seeded_sample(
     if (n is None) == (fraction is None):
         raise ValueError("give n or fraction")
     quota = F.lit(n) if n is not None else F.floor(F.col("_size") * F.lit(fraction))
-    return hash_rank(df, key, seed).filter(F.col("_rank") < quota).select(*df.columns)
+    return hash_rank(df, key, seed, below=quota).select(*df.columns)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tarnfold.functions.vocabulary import PREFIXES, STEM_RULES, STOP_WORDS
 from tarnfold.operators import text
 from tarnfold.operators.ensemble import first_non_null, override_if
-from tarnfold.plans.registry import query, rounded
+from tarnfold.plans.registry import query
+from tarnfold.session import spread
 from tarnfold.sources.views import documents, table
 
 # Word parts that occur in about a tenth to a third of the texts of a language.
@@ -98,7 +99,7 @@ def learn_keywords(spark, sf):
 )
 def learned_classify(spark, sf):
     words = text.unit_dictionary(text.learn_keywords(documents(spark, sf)))
-    talk = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    talk = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
     return text.keyword_classify(talk, words, lang=None).drop("text")
 
 

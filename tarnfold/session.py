@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +18,7 @@ def local_session(app: str = "tarnfold", cores: int | str = 8, memory: str = "12
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -46,5 +46,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def default_parallelism() -> int:
-    return int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Give heavy per-row work all cores when a scan has fewer splits than the cluster has cores.
+
+    Large input has more splits than that and stays as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tarnfold.functions.columns import bucketize
 from tarnfold.operators.windows import stratified_folds
+from tarnfold.session import cut_lineage, spread
 from tarnfold.sources.tables import read_table
 
 BANDS = ("tiny", "small", "medium", "large", "xlarge", "utility")
@@ -76,7 +77,8 @@ def fold_sql(y: str, key: str, k: int, seed: int = SEED) -> str:
 
 
 def folded_plants(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
-    return stratified_folds(plants(spark, sf_dir), "underperforming", k, "id", SEED)
+    """Folded once: every later step scans the same assignment, not the joins behind it."""
+    return cut_lineage(stratified_folds(plants(spark, sf_dir), "underperforming", k, "id", SEED))
 
 
 FOLDED_PLANTS_SQL = (
@@ -98,7 +100,7 @@ def encoded_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").alias("x"),
         F.when(F.col("o_orderstatus") == "F", F.lit(1)).otherwise(F.lit(0)).alias("y"),
     )
-    return stratified_folds(base, "y", 5, "id", SEED)
+    return cut_lineage(stratified_folds(base, "y", 5, "id", SEED))
 
 
 ENCODED_SQL = f"""base as (
@@ -129,7 +131,7 @@ def proba(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folded_proba(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
-    return stratified_folds(proba(spark, sf_dir), "y", k, "id", SEED)
+    return cut_lineage(stratified_folds(proba(spark, sf_dir), "y", k, "id", SEED))
 
 
 def _proba_sql() -> str:
@@ -152,7 +154,8 @@ PROBA_SQL = _proba_sql()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    scan = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(scan, "doc_id").select(
         F.col("doc_id").alias("id"), "text", "lang", F.col("source").alias("label")
     )
 
