@@ -397,8 +397,12 @@ def neighbor_grid_search(
         row.update({f"_w_{z}": float(wn) / len(ns) if c in ns else 0.0 for c, z in zip(nums, zs)})
         grid.append(row)
     base = standardize(df, fit_scaling(df, nums), nums, suffix="_z") if nums else df
-    base = cut_lineage(base.select(F.col(key).alias("id"), lat, lon, *cats, *zs, F.col(y).alias("y")))
+    base = base.select(F.col(key).alias("id"), lat, lon, *cats, *zs, F.col(y).alias("y"))
+    base = cut_lineage(base.repartition(shuffle_partitions(df.sparkSession), "id"))
     pairs = radius_join(base, base, km, "id", lat, lon, exclude_self=True, carry=[*cats, *zs, "y"])
+    # dealt out by id before the configurations multiply them: ranking and averaging per
+    # (configuration, id) then need no shuffle of the multiplied rows
+    pairs = pairs.repartition(shuffle_partitions(df.sparkSession), "id")
     terms = [f"_w_{c} * if({c} <=> n_{c}, 0D, 1D)" for c in cats] + [f"_w_{z} * abs({z} - n_{z})" for z in zs]
     mixed = " + ".join(["_geo * km / 1000D", *terms])
     scored = cross_grid(pairs, grid).withColumn("mixed", F.expr(f"round({mixed}, 12)"))

@@ -216,8 +216,8 @@ def augment(spark, sf):
     return text.augment(documents(spark, sf).select("id", "text", "lang"), 0.5)
 
 
-def _shout(s: pd.Series) -> pd.Series:
-    return s.str.upper()
+def _backwards(s: pd.Series) -> pd.Series:
+    return s.str[::-1]
 
 
 @query(
@@ -229,9 +229,9 @@ def route_by_language(spark, sf):
     return out.select("id", "routed")
 
 
-@query("route_with_udf")
+@query("route_with_udf", "select doc_id as id, case lang when 'de' then reverse(text) else text end as routed from documents")
 def route_with_udf(spark, sf):
-    return text.route_by_language(documents(spark, sf), {"de": F.pandas_udf(_shout, "string")}).select("id", "routed")
+    return text.route_by_language(documents(spark, sf), {"de": F.pandas_udf(_backwards, "string")}).select("id", "routed")
 
 
 BEFORE, BETWEEN, AFTER = "Choose one of:\n", "\nText: ", "\nIntent:"

@@ -46,6 +46,10 @@ def compare(spark, con, sf_dir, fn, sql) -> tuple[bool, str, float]:
     df = fn(spark, sf_dir)
     mine = rows(df.columns, [tuple(r) for r in df.collect()])
     took = time.time() - start
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    pairs = [p for p in ("CartesianProduct", "BroadcastNestedLoopJoin") if p in plan]
+    if pairs:
+        return False, f"all pairs in the plan: {pairs}", took
     if sql is None:
         return len(mine[1]) > 0, f"rows only: {len(mine[1])}", took
     result = con.execute(sql)
