@@ -213,17 +213,19 @@ def grouping_variance(
     keys = list(dict.fromkeys(k for s in key_sets for k in s))
     rates = _rates_by_sets(df, key_sets, y)
     name = F.create_map(*[F.lit(x) for s in key_sets for x in (_set_id(s, keys), "_".join(s))])
+    # a condition, not a filter: a key set without any large group still gets its row
+    large = F.col("n") >= min_count
+    rate = F.when(large, F.col("rate"))
     return (
-        rates.filter(F.col("n") >= min_count)
-        .groupBy("gid")
+        rates.groupBy("gid")
         .agg(
-            F.count("*").alias("n_groups"),
-            F.sum("n").alias("covered"),
-            F.var_samp("rate").alias("rate_variance"),
-            F.stddev_samp("rate").alias("rate_std"),
-            F.min("rate").alias("min_rate"),
-            F.max("rate").alias("max_rate"),
-            (F.max("rate") - F.min("rate")).alias("rate_range"),
+            F.count(rate).alias("n_groups"),
+            F.coalesce(F.sum(F.when(large, F.col("n"))), F.lit(0)).alias("covered"),
+            F.var_samp(rate).alias("rate_variance"),
+            F.stddev_samp(rate).alias("rate_std"),
+            F.min(rate).alias("min_rate"),
+            F.max(rate).alias("max_rate"),
+            (F.max(rate) - F.min(rate)).alias("rate_range"),
         )
         .withColumn("grouping", name[F.col("gid").cast("int")])
         .drop("gid")

@@ -116,7 +116,7 @@ KEY_SETS = [
 
 def _variance_sql(key_set, min_count):
     keys = ", ".join(key_set)
-    return f"""select '{"_".join(key_set)}' as grouping, count(*) as n_groups, cast(sum(n) as bigint) as covered,
+    return f"""select '{"_".join(key_set)}' as grouping, count(*) as n_groups, cast(coalesce(sum(n), 0) as bigint) as covered,
  round(var_samp(rate), 6) as rate_variance, round(stddev_samp(rate), 6) as rate_std, round(min(rate), 6) as min_rate,
  round(max(rate), 6) as max_rate, round(max(rate) - min(rate), 6) as rate_range
  from (select {keys}, avg({Y}) as rate, count(*) as n from plants group by {keys}) where n >= {min_count}"""
