@@ -20,8 +20,8 @@ EARTH_KM = 6371.0
 CELL_ROWS = 20_000
 # A cell with more rows than this makes the search start from small cells.
 DENSE_ROWS = 5_000
-LEVELS = 6
-SHRINK = 4.0
+LEVELS = 8
+SHRINK = 2.0
 NEAREST_POSITIVE, NEAREST_NEGATIVE = -1.0, -2.0
 
 
@@ -156,19 +156,23 @@ def _limits(wanted: Sequence[tuple[int, float]]) -> dict[float, int]:
 
 
 def _first_per_key(
-    pairs: DataFrame, by: Sequence[str], y: str, wanted: Sequence[tuple[int, float]], order: str
+    pairs: DataFrame,
+    by: Sequence[str],
+    y: str,
+    limits: Mapping[float, int],
+    order: str,
+    classes: Sequence[float] = (NEAREST_POSITIVE, NEAREST_NEGATIVE),
 ) -> DataFrame:
-    """The nearest rows that any (k, max distance) pair or class needs: ``(by, d, rank, ...)``."""
-    limits = _limits(wanted)
+    """The nearest rows of every slot: ``k`` within each max distance, one of each class."""
     slots = [f"if(km <= {d}D, {d}D, null)" for d in limits]
-    slots += [f"if(n_{y} = 1, {NEAREST_POSITIVE}D, null)", f"if(n_{y} = 0, {NEAREST_NEGATIVE}D, null)"]
+    slots += [f"if(n_{y} = {1 if c == NEAREST_POSITIVE else 0}, {c}D, null)" for c in classes]
     long = pairs.selectExpr(
         *by, "n_id", "km", "mixed", f"n_{y} as label", f"explode(array_compact(array({', '.join(slots)}))) as d"
     )
     # one bound for all slots lets Spark drop rows before the shuffle; trimmed per slot after
     sort = "mixed" if order == "combined" else "km"
     number = f"row_number() over (partition by {', '.join([*by, 'd'])} order by {sort}, n_id)"
-    ranked = long.selectExpr("*", f"{number} as rank").filter(f"rank <= {max(limits.values())}")
+    ranked = long.selectExpr("*", f"{number} as rank").filter(f"rank <= {max([1, *limits.values()])}")
     keep = " ".join(f"when d = {d}D then {k}" for d, k in limits.items())
     return ranked.filter(f"rank <= case when d < 0 then 1 {keep} end").drop("mixed")
 
@@ -244,29 +248,41 @@ def neighbor_features(
     alike = W.partitionBy(*[c for c in points.columns if c != "id"]).orderBy("id")
     points = points.withColumn("_copy", F.row_number().over(alike)).filter(F.col("_copy") <= most + 1).drop("_copy")
 
-    def ranked(pairs: DataFrame) -> DataFrame:
+    def ranked(pairs: DataFrame, slots: Mapping[float, int], classes: Sequence[float]) -> DataFrame:
         if itself:
             pairs = pairs.filter(F.col("id") != F.col("n_id"))
         if fold:
             pairs = pairs.filter(~F.col(fold).eqNullSafe(F.col(f"n_{fold}")))
-        return _first_per_key(pairs, ["id"], y, wanted, order)
+        return _first_per_key(pairs, ["id"], y, slots, order, classes)
 
-    def full(some: DataFrame) -> DataFrame:
-        pairs = radius_join(some, points, far, "id", lat, lon, carry=carry)
-        return ranked(pairs.withColumn("mixed", mixed_distance(cats, zs, geo, cat, num)))
+    def full(some: DataFrame, among: DataFrame, slots: Mapping[float, int], classes: Sequence[float]) -> DataFrame:
+        pairs = radius_join(some, among, far, "id", lat, lon, carry=carry)
+        return ranked(pairs.withColumn("mixed", mixed_distance(cats, zs, geo, cat, num)), slots, classes)
 
     if order == "distance":
-        bound_geo, bound_cat, bound_num = 1.0, 0.0, 0.0
+        bounds = (1.0, 0.0, 0.0)
     else:
-        bound_geo, bound_cat, bound_num = geo, cat, num
+        bounds = (geo, cat, num)
     sizes = points.groupBy(cell_of(lat, lon, far).alias("c")).agg(F.count("*").alias("n"))
-    if bound_geo > 0 and not sizes.filter(F.col("n") > dense_rows).isEmpty():
-        first = _search_by_level(
-            queries, points, full, ranked, limits, cats, zs, (geo, cat, num),
-            (bound_geo, bound_cat, bound_num), order, lat, lon, far,
+    if bounds[0] > 0 and not sizes.filter(F.col("n") > dense_rows).isEmpty():
+        # The classes are looked for among their own rows: where one is rare, its rows are
+        # few, and a place without them does not send everybody to the plain join.
+        parts = [
+            (points, limits, ()),
+            (points.filter(F.col(y) == 1), {}, (NEAREST_POSITIVE,)),
+            (points.filter(F.col(y) == 0), {}, (NEAREST_NEGATIVE,)),
+        ]
+        first = reduce(
+            DataFrame.unionByName,
+            [
+                _search_by_level(
+                    queries, among, slots, classes, full, ranked, cats, zs, (geo, cat, num), bounds, order, lat, lon, far
+                )
+                for among, slots, classes in parts
+            ],
         )
     else:
-        first = full(queries)
+        first = full(queries, points, limits, (NEAREST_POSITIVE, NEAREST_NEGATIVE))
     found = _features(first, ["id"], wanted)
     means = [f"nn{k}_max{d:g}_target_mean" for k, d in wanted]
     out = df.join(found.withColumnRenamed("id", key) if key != "id" else found, key, "left")
@@ -277,7 +293,7 @@ def neighbor_features(
 
 
 def _search_by_level(
-    queries, points, full, ranked, limits, cats, zs, weights, bounds, order, lat, lon, far
+    queries, points, limits, classes, full, ranked, cats, zs, weights, bounds, order, lat, lon, far
 ) -> DataFrame:
     """Exact k-nearest search that starts from small cells where the data is dense.
 
@@ -290,7 +306,7 @@ def _search_by_level(
     geo, cat, num = weights
     b_geo, b_cat, b_num = bounds  # what each term adds at least to the search order
     base = b_geo * far / 1000.0
-    most = max(limits.values())
+    most = max([1, *limits.values()])
 
     def bound(j: int) -> float:
         return base / SHRINK**j
@@ -327,9 +343,8 @@ def _search_by_level(
         F.posexplode(F.array(*[own(j) for j in levels])).alias("_pos", "_at"),
     )
     seen = lookup(mine, crowded.select("_at", F.col("_n").alias("rows"), F.lit(True).alias("full")), "_at", weight="rows")
-    start = (
-        seen.filter("full").groupBy("id").agg(F.max("_pos").alias("_level"))  # one above the finest crowded cell
-    )
+    # start where one's own cell alone could fill every slot
+    start = seen.filter("full").groupBy("id").agg((F.max("_pos") + 1).alias("_level"))
     open_ = cut_lineage(
         queries.join(start, "id", "left").withColumn("_level", F.coalesce(F.col("_level"), F.lit(0)))
     )
@@ -348,13 +363,13 @@ def _search_by_level(
             .withColumn("mixed", mixed_distance(cats, zs, geo, cat, num))
         )
         reachable = F.col("km") < radius(j) if order == "distance" else F.col("mixed") < bound(j)
-        first = cut_lineage(ranked(pairs.filter(reachable)))
+        first = cut_lineage(ranked(pairs.filter(reachable), limits, classes))
         filled = F.lit(0)
         for d, k in limits.items():
             filled = filled + F.count_if((F.col("d") == d) & (F.col("rank") == k))
         filled = filled + F.count_if(F.col("d") < 0)
         settled = (
-            first.groupBy("id").agg(filled.alias("f")).filter(F.col("f") == len(limits) + 2).select("id")
+            first.groupBy("id").agg(filled.alias("f")).filter(F.col("f") == len(limits) + len(classes)).select("id")
         )
         done.append(first.join(settled, "id", "left_semi"))
         open_ = cut_lineage(
@@ -362,7 +377,7 @@ def _search_by_level(
                 "_level", F.when(F.col("_level") == j, j - 1).otherwise(F.col("_level"))
             )
         )
-    done.append(full(open_.drop("_level")))
+    done.append(full(open_.drop("_level"), points, limits, classes))
     return reduce(DataFrame.unionByName, done)
 
 
@@ -406,7 +421,8 @@ def neighbor_grid_search(
     terms = [f"_w_{c} * if({c} <=> n_{c}, 0D, 1D)" for c in cats] + [f"_w_{z} * abs({z} - n_{z})" for z in zs]
     mixed = " + ".join(["_geo * km / 1000D", *terms])
     scored = cross_grid(pairs, grid).withColumn("mixed", F.expr(f"round({mixed}, 12)"))
-    found = _features(_first_per_key(scored, ["config_id", "id"], "y", [(k, km)], "combined"), ["config_id", "id"], [(k, km)])
+    first = _first_per_key(scored, ["config_id", "id"], "y", {float(km): k}, "combined")
+    found = _features(first, ["config_id", "id"], [(k, km)])
     everyone = cross_grid(base.select("id", "y"), [{"config_id": g["config_id"]} for g in grid])
     wide = everyone.join(found, ["config_id", "id"], "left")
     count = f"nn{k}_max{km:g}_count"
