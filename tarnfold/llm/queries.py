@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tarnfold.llm import token_counts
-from tarnfold.llm.common import table, vocabulary
+from tarnfold.llm import language_id, quality, token_counts
+from tarnfold.llm.common import remainder, table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,3 +34,22 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_tokens",
         (F.col("n_tokens") > 1024).alias("over_limit"),
     )
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(language_id.trainable(docs))
+    return language_id.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(remainder("doc_id", 3) != 1)
+    model = quality.fit(docs, labels)
+    return quality.score(docs, model).select(
+        "doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted"
+    )
