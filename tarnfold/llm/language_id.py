@@ -30,7 +30,7 @@ class Settings:
     train_bytes: int = 200_000
     bits: int = 16
     width: int = 16
-    epochs: int = 5
+    updates: int = 700
     rate: float = 0.5
     batch: int = 32
     calibration: float = 0.2
@@ -121,12 +121,10 @@ def train(texts: list[str], labels: list[str], s: Settings) -> Model:
     order = rng.permutation(len(bags))
     held = order[: int(len(bags) * s.calibration)]
     fit = order[len(held) :]
-    steps, step = max(1, s.epochs * -(-len(fit) // s.batch)), 0
-    for _ in range(s.epochs):
-        for some in np.array_split(rng.permutation(fit), max(1, -(-len(fit) // s.batch))):
-            if not len(some):
-                continue
-            rate = s.rate * (1 - step / steps) * s.width
+    step = 0
+    while step < s.updates and len(fit):
+        for some in np.array_split(rng.permutation(fit), -(-len(fit) // s.batch)):
+            rate = s.rate * max(1 - step / s.updates, 0) * s.width
             step += 1
             rows = np.concatenate([bags[k][0] for k in some])
             share = np.concatenate([bags[k][1] for k in some])
