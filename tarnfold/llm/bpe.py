@@ -200,7 +200,7 @@ class WordTokenizer:
     def encode(self, text: str, remembered: int = REMEMBERED) -> bytes:
         chunks = _GAP.split(text) if _ODD.search(text) else text.split()
         known = self.known
-        new = set(chunks) - known.keys()
+        new = [c for c in set(chunks) if c not in known]
         if new:
             if len(known) + len(new) > remembered:
                 known.clear()
