@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tarnfold.llm import bpe, chat, language_id, near_dedup, quality, secrets, syncmers, token_counts
+from tarnfold.llm import bpe, chat, language_id, near_dedup, pii, quality, secrets, syncmers, token_counts
 from tarnfold.llm.common import remainder, table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,3 +147,12 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     says = [F.struct(F.lit(-1), F.lit(turn), F.lit(role), hostile) for turn, role in enumerate(("user", "assistant"))]
     added = spark.range(1).select(F.inline(F.array(*says)))
     return chat.digests(chat.windows(turns.union(added)))
+
+
+@query("op10_pii")
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    count = lambda kind: F.size(F.filter("found", lambda p: p["kind"] == kind)).cast("long")
+    return pii.pseudonymise(docs, key="corpus key").select(
+        "doc_id", "text", F.size("found").cast("long").alias("n_found"), *[count(kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    )
