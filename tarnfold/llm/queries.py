@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tarnfold.llm import bpe, chat, language_id, near_dedup, pii, quality, secrets, syncmers, token_counts
+from tarnfold.llm import bpe, chat, decontaminate, language_id, near_dedup, pii, quality, secrets, syncmers, token_counts
 from tarnfold.llm.common import remainder, table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,3 +156,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, key="corpus key").select(
         "doc_id", "text", F.size("found").cast("long").alias("n_found"), *[count(kind).alias(f"n_{kind}") for kind in pii.KINDS]
     )
+
+
+@query("op4_decontamination")
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminations(docs, table(spark, sf_dir, "benchmark"))
