@@ -186,10 +186,6 @@ def append_pseudo(train: DataFrame, pseudo: DataFrame) -> DataFrame:
     return train.unionByName(pseudo.select(*train.columns))
 
 
-def stack_folds(frames: Sequence[DataFrame]) -> DataFrame:
-    return union_rows(*frames)
-
-
 def only_in(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     return a.select(column).distinct().subtract(b.select(column).distinct())
 

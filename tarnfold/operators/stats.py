@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tarnfold.operators.joins import lookup, semi_join
+from tarnfold.operators.joins import lookup, match, semi_join
 from tarnfold.operators.ordering import exact_quantiles, melt
 
 
@@ -125,7 +125,14 @@ def box_stats(df: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
         F.col("q1").alias("median"),
         F.col("q2").alias("q75"),
     )
-    return moments.join(quartiles, [by, "feature"], "left")
+    return _beside(moments, quartiles, [by, "feature"])
+
+
+def _beside(df: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left-join one row per group, the NULL group included."""
+    side = totals.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = match([(F.col(k), F.col(f"_k_{k}")) for k in keys], null_safe=True)
+    return df.join(side, on, "left").drop(*[f"_k_{k}" for k in keys])
 
 
 def cardinality(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
@@ -149,8 +156,7 @@ def combinations_possible(counts: DataFrame) -> DataFrame:
 def class_distribution(df: DataFrame, y: str, by: Sequence[str] = ()) -> DataFrame:
     counts = df.groupBy(*by, y).agg(F.count("*").alias("n"))
     if by:
-        totals = counts.groupBy(*by).agg(F.sum("n").alias("total"))
-        counts = counts.join(totals, list(by))
+        counts = _beside(counts, counts.groupBy(*by).agg(F.sum("n").alias("total")), by)
     else:
         counts = counts.withColumn("total", counts.agg(F.sum("n").alias("t")).scalar())
     return counts.select(*by, y, "n", (F.col("n") / F.col("total")).alias("share"))

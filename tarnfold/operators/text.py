@@ -276,11 +276,13 @@ def route_by_language(
     lang: str = "lang",
     out: str = "routed",
 ) -> DataFrame:
-    """Apply a text mapping (a column function or pandas UDF) only where the language asks for it."""
-    routed = F.col(text)
-    for code, mapper in mappers.items():
-        routed = F.when(F.col(lang) == code, mapper(F.col(text))).otherwise(routed)
-    return df.withColumn(out, routed)
+    """Apply a text mapping (a column function or pandas UDF) only where the language asks for it.
+
+    The rows of each language are a branch of their own, as a UDF inside a CASE would run on every row.
+    """
+    others = ~F.col(lang).isin(list(mappers)) | F.col(lang).isNull()
+    branches = [df.filter(F.col(lang) == code).withColumn(out, mapper(F.col(text))) for code, mapper in mappers.items()]
+    return union_rows(df.filter(others).withColumn(out, F.col(text)), *branches)
 
 
 def render_prompt(
@@ -289,7 +291,7 @@ def render_prompt(
     before: str,
     between: str,
     after: str,
-    first_labels: int = 50,
+    first_labels: int | None = None,
     max_chars: int | None = None,
     text: str = "text",
     lang: str = "lang",
@@ -297,9 +299,12 @@ def render_prompt(
 ) -> DataFrame:
     """``before + label list + language + between + text + after``.
 
-    ``max_chars`` shortens the text for models with a small window; by default it is whole.
+    All labels are listed unless ``first_labels`` asks for the first ones only, and ``max_chars``
+    shortens the text for models with a small window; by default it is whole.
     """
-    listed = labels.select(F.col(labels.columns[0]).alias("label")).distinct().orderBy("label").limit(first_labels)
+    listed = labels.select(F.col(labels.columns[0]).alias("label")).distinct()
+    if first_labels is not None:
+        listed = listed.orderBy("label").limit(first_labels)
     lines = F.array_join(
         F.transform(F.array_sort(F.collect_list("label")), lambda lb: F.concat(F.lit("- "), lb)), "\n"
     )

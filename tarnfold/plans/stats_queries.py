@@ -245,6 +245,36 @@ def box_stats(spark, sf):
     return rounded(stats.box_stats(table(spark, sf, "lineitem"), NUMS, "l_returnflag"))
 
 
+# a tenth of the customers have no segment here, so that the NULL group is among the groups
+_GAPS_SQL = "g as (select *, case when c_custkey % 10 = 0 then null else c_mktsegment end as segment from customer)"
+
+
+def _with_gaps(spark, sf):
+    c = table(spark, sf, "customer")
+    return c.withColumn("segment", F.when(F.col("c_custkey") % 10 != 0, F.col("c_mktsegment")))
+
+
+@query(
+    "box_stats_null_group",
+    f"""with {_GAPS_SQL} select segment, 'c_acctbal' as feature, count(c_acctbal) as n, round(avg(c_acctbal), 6) as mean,
+ min(c_acctbal)::double as min, max(c_acctbal)::double as max, round(quantile_cont(c_acctbal, 0.25), 6) as q25,
+ round(quantile_cont(c_acctbal, 0.5), 6) as median, round(quantile_cont(c_acctbal, 0.75), 6) as q75 from g group by 1""",
+)
+def box_stats_null_group(spark, sf):
+    return rounded(stats.box_stats(_with_gaps(spark, sf), ["c_acctbal"], "segment"))
+
+
+@query(
+    "class_distribution_by_group",
+    f"""with {_GAPS_SQL}, y as (select segment, case when c_acctbal < 0 then 1 else 0 end as owes from g),
+ n as (select segment, owes, count(*) as n from y group by 1, 2)
+ select segment, owes, n, round(n / sum(n) over (partition by segment), 6) as share from n""",
+)
+def class_distribution_by_group(spark, sf):
+    owes = _with_gaps(spark, sf).withColumn("owes", F.when(F.col("c_acctbal") < 0, 1).otherwise(0))
+    return rounded(stats.class_distribution(owes, "owes", ["segment"]))
+
+
 def _histogram_sql(source, c, by, bins):
     return f"""(with e as (select {by}, min({c}) as lo, max({c}) as hi, count(*) as total from {source} group by 1),
  b as (select s.{by}, cast(least(floor((s.{c} - e.lo) * {bins} / (e.hi - e.lo)), {bins - 1}) as integer) as bin, count(*) as n

@@ -239,7 +239,7 @@ BEFORE, BETWEEN, AFTER = "Choose one of:\n", "\nText: ", "\nIntent:"
 
 @query(
     "render_prompt",
-    f"""with l as (select distinct source from documents order by source limit 50),
+    f"""with l as (select distinct source from documents),
  j as (select string_agg(concat('- ', source), chr(10) order by source) as j from l)
  select doc_id as id, concat('Choose one of:', chr(10), j, chr(10), lang, chr(10), 'Text: ', text, chr(10), 'Intent:') as prompt from documents, j""",
 )

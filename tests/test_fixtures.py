@@ -246,3 +246,46 @@ def test_combined_order_differs_from_distance_order(spark):
     mixed = geo.neighbor_features(df, None, [(1, 200)], ["c"], [], 1.0, 1.0, 0.0).filter("id = 1").first()
     plain = geo.neighbor_features(df, None, [(1, 200)]).filter("id = 1").first()
     assert mixed.nn1_max200_target_mean == 0.0 and plain.nn1_max200_target_mean == 1.0
+
+
+def test_prompt_lists_all_labels_unless_asked(spark):
+    from tarnfold.operators import text
+
+    labels = spark.createDataFrame([(f"label{n:03d}",) for n in range(80)], "label string")
+    rows = spark.createDataFrame([(1, "hola", "es")], "id int, text string, lang string")
+    every = text.render_prompt(rows, labels, "A\n", "\n", "\n").first().prompt
+    some = text.render_prompt(rows, labels, "A\n", "\n", "\n", first_labels=30).first().prompt
+    assert every.count("- label") == 80 and some.count("- label") == 30 and "label029" in some
+
+
+def test_mapper_gets_only_the_rows_of_its_language(spark):
+    from pyspark.sql import functions as F
+
+    from tarnfold.operators import text
+
+    rows = spark.createDataFrame(
+        [(n, f"text {n}", "de" if n % 10 == 0 else ("fr" if n % 10 == 1 else None if n % 10 == 2 else "en")) for n in range(1000)],
+        "id int, text string, lang string",
+    )
+
+    sent = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def reversed_text(texts):
+        sent.add(len(texts))
+        return texts.str[::-1]
+
+    got = text.route_by_language(rows, {"de": reversed_text}).collect()
+    assert len(got) == 1000
+    assert all(r.routed == (r.text[::-1] if r.lang == "de" else r.text) for r in got)
+    assert sent.value == 100
+
+
+def test_null_groups_keep_their_share(spark):
+    from tarnfold.operators import stats
+
+    rows = spark.createDataFrame([(None if n < 4 else "a", n % 2, float(n)) for n in range(12)], "g string, y int, x double")
+    shares = {(r.g, r.y): r.share for r in stats.class_distribution(rows, "y", ["g"]).collect()}
+    assert shares == {(None, 0): 0.5, (None, 1): 0.5, ("a", 0): 0.5, ("a", 1): 0.5}
+    boxes = {r.g: (r.n, r.q25, r.median, r.q75) for r in stats.box_stats(rows, ["x"], "g").collect()}
+    assert boxes == {None: (4, 0.75, 1.5, 2.25), "a": (8, 5.75, 7.5, 9.25)}
