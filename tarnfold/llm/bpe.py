@@ -20,14 +20,14 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-# Chunks between white space of which a worker remembers the tokens.
-REMEMBERED = 300_000
+# Chunks between white space, and words, of which a worker remembers the tokens.
+REMEMBERED = 500_000
 # Arcs of which the answer is kept.
-ARCS = 500_000
-_BEGIN = -1
+ARCS = 1_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -54,21 +54,24 @@ class TokenAutomaton:
         self.unused: set[int] = set()
         for rank, (u, v) in enumerate(merges):
             self._gadget(rank, vocab[u], vocab[v], vocab[u + v])
-        self.arcs: dict[int, bool] = {}
-        # every beginning of a token; the token that ends there inside a word, if any
-        self.inner: dict[str, int | None] = {}
-        self.final: dict[str, int] = {}
+        self.arcs: dict[int, dict[int, bool]] = {}
+        self.known_arcs = 0
+        # the symbols of all tokens as a transition table, and the token that ends in each of its
+        # states inside a word and at the end of one, or -1
+        self.steps: list[dict[str, int]] = [{}]
+        self.inner, self.final = [-1], [-1]
         for text, token in vocab.items():
             ends = bool(suffix) and text.endswith(suffix)
-            body = text[: -len(suffix)] if ends else text
-            for n in range(1, len(body) + 1):
-                self.inner.setdefault(body[:n], None)
-            if token in self.unused:
-                continue
-            if ends:
-                self.final[body] = token
-            else:
-                self.inner[body] = token
+            state = 0
+            for symbol in text[: -len(suffix)] if ends else text:
+                if symbol not in self.steps[state]:
+                    self.steps[state][symbol] = len(self.steps)
+                    self.steps.append({})
+                    self.inner.append(-1)
+                    self.final.append(-1)
+                state = self.steps[state][symbol]
+            if token not in self.unused:
+                (self.final if ends else self.inner)[state] = token
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         if u in self.unused or v in self.unused or not self._follows(u, v, rank):
@@ -78,14 +81,13 @@ class TokenAutomaton:
         self.removed.setdefault(u * self.size + v, rank)
 
     def arc(self, a: int, b: int) -> bool:
-        """Whether token b may follow token a once all gadgets are applied."""
-        key = a * self.size + b
-        known = self.arcs.get(key)
-        if known is None:
-            if len(self.arcs) >= ARCS:
-                self.arcs.clear()
-            known = self.arcs[key] = self._follows(a, b, len(self.made))
-        return known
+        """Whether token b may follow token a once all gadgets are applied; looked up once and kept."""
+        if self.known_arcs >= ARCS:
+            self.arcs.clear()
+            self.known_arcs = 0
+        self.known_arcs += 1
+        out = self.arcs.setdefault(a, {})[b] = self._follows(a, b, len(self.made))
+        return out
 
     def _follows(self, a: int, b: int, before: int) -> bool:
         """Whether there is an arc from a to b when the gadgets of rank less than ``before`` are applied."""
@@ -114,44 +116,48 @@ class TokenAutomaton:
         The longest token that may follow is taken first. The path up to any place is the only
         one, so a place with no way on is given up for good, and the walk is linear in the word.
         """
-        inner, final, arc = self.inner, self.final, self.arc
-        n, open_ = len(word), [True] * (len(word) + 1)
-        tokens, ways, begins, at = [], [self._ways(word, 0, inner, final)], [0], 0
-        while at < n:
-            ahead = ways[-1]
-            while ahead:
-                end, token = ahead.pop()
-                if open_[end] and (not tokens or arc(tokens[-1], token)):
-                    tokens.append(token)
-                    at = end
-                    if at < n:
-                        begins.append(at)
-                        ways.append(self._ways(word, at, inner, final))
+        steps, inner, final, arcs, n = self.steps, self.inner, self.final, self.arcs, len(word)
+        tokens: list[int] = []
+        begins, ways, shut, at = [0], [], set(), 0
+        while True:
+            state, ahead, k = 0, [], at
+            while k < n:
+                state = steps[state].get(word[k])
+                if state is None:
                     break
-            else:
-                open_[at] = False
-                if not tokens:
-                    raise ValueError(f"no path for {word!r}")
-                ways.pop()
-                begins.pop()
-                tokens.pop()
-                at = begins[-1]
-        return tokens
-
-    @staticmethod
-    def _ways(word: str, begin: int, inner: dict, final: dict) -> list[tuple[int, int]]:
-        """Ends and tokens from ``begin`` on, shortest first."""
-        out, n = [], len(word)
-        for end in range(begin + 1, n):
-            token = inner.get(word[begin:end], _BEGIN)
-            if token == _BEGIN:
-                return out
-            if token is not None:
-                out.append((end, token))
-        token = final.get(word[begin:])
-        if token is not None:
-            out.append((n, token))
-        return out
+                k += 1
+                token = inner[state] if k < n else final[state]
+                if token >= 0:
+                    ahead.append((k, token))
+            ways.append(ahead)
+            while True:
+                while ahead:
+                    end, token = ahead.pop()
+                    if end in shut:
+                        continue
+                    if tokens:
+                        row = arcs.get(tokens[-1])
+                        follows = None if row is None else row.get(token)
+                        if follows is None:
+                            follows = self.arc(tokens[-1], token)
+                        if not follows:
+                            continue
+                    break
+                else:
+                    if not tokens:
+                        raise ValueError(f"no path for {word!r}")
+                    shut.add(at)
+                    ways.pop()
+                    begins.pop()
+                    tokens.pop()
+                    at, ahead = begins[-1], ways[-1]
+                    continue
+                break
+            tokens.append(token)
+            if end == n:
+                return tokens
+            at = end
+            begins.append(at)
 
 
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -176,36 +182,50 @@ class WordTokenizer:
             self.names[token] = text
         self.symbols = byte_symbols()
         self.known: dict[str, bytes] = {}
-        self.words: dict[str, list[int]] = {}
+        self.old: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     def chunk_tokens(self, chunk: str) -> bytes:
         """Token ids (four bytes each) of a chunk without white space, special strings included."""
-        out = array("i")
-        for part in self.split.split(chunk) if "<|" in chunk else [chunk]:
-            if part in self.special:
-                out.append(self.special[part])
-                continue
+        if "<|" not in chunk:
+            return self.part_tokens(chunk)
+        parts = self.split.split(chunk)
+        return b"".join([array("i", [self.special[p]]).tobytes() if p in self.special else self.part_tokens(p) for p in parts])
+
+    def part_tokens(self, part: str) -> bytes:
+        if not part.isascii():
             # letter by letter, so that a last sigma is not a special case
-            folded = part if part.isascii() else unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3")
-            for word in _WORD.findall(folded.lower()):
-                tokens = self.words.get(word)
-                if tokens is None:
-                    if len(self.words) >= REMEMBERED:
-                        self.words.clear()
-                    tokens = self.automaton.encode_word("".join([self.symbols[b] for b in word.encode()]))
-                    self.words[word] = tokens
-                out.extend(tokens)
-        return out.tobytes()
-
-    def encode(self, text: str, remembered: int = REMEMBERED) -> bytes:
+            part = unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3")
+        part = part.lower()
+        if part.isalpha():
+            return self.word_tokens(part)
+        if part[:-1].isalpha() and part[-1] in ".,":
+            return self.word_tokens(part[:-1]) + self.word_tokens(part[-1])
+        return b"".join(map(self.word_tokens, _WORD.findall(part)))
+
+    def word_tokens(self, word: str) -> bytes:
+        tokens = self.words.get(word)
+        if tokens is None:
+            tokens = self.old_words.get(word)
+            if tokens is None:
+                symbols = word if word.isascii() and word.isprintable() else "".join([self.symbols[b] for b in word.encode()])
+                tokens = array("i", self.automaton.encode_word(symbols)).tobytes()
+            if len(self.words) >= REMEMBERED // 2:
+                self.words, self.old_words = {}, self.words
+            self.words[word] = tokens
+        return tokens
+
+    def encode(self, text: str) -> bytes:
+        """Token ids of a text, four bytes each. What was not met lately is forgotten first."""
         chunks = _GAP.split(text) if _ODD.search(text) else text.split()
-        known = self.known
-        new = [c for c in set(chunks) if c not in known]
-        if new:
-            if len(known) + len(new) > remembered:
-                known.clear()
-                new = set(chunks)
-            known.update((c, self.chunk_tokens(c)) for c in new)
+        if len(self.known) >= REMEMBERED // 2:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        for chunk in set(chunks):
+            if chunk not in known:
+                tokens = old.get(chunk)
+                known[chunk] = self.chunk_tokens(chunk) if tokens is None else tokens
         return b"".join(map(known.__getitem__, chunks))
 
 
@@ -246,13 +266,18 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", into: str = "deco
 
     @F.arrow_udf("string")
     def labels(arrays: pa.Array) -> pa.Array:
-        names, out = tokenizer(vocabulary).names, []
-        for i in range(0, len(arrays), 64):
-            for tokens in arrays.slice(i, 64).to_pylist():
-                try:
-                    out.append(" ".join(map(names.__getitem__, tokens or ())))
-                except (IndexError, TypeError):
-                    out.append(" ".join([names[t] for t in tokens if t is not None and 0 <= t < len(names)]))
+        names = tokenizer(vocabulary).names
+        # null arrays have no values, whatever lies behind them
+        tokens, lengths = arrays.flatten(), pc.fill_null(pc.list_value_length(arrays), 0).to_numpy(zero_copy_only=False)
+        known = pc.fill_null(pc.and_(pc.greater_equal(tokens, 0), pc.less(tokens, len(names))), False)
+        ends = np.cumsum(lengths)
+        if not pc.all(known, min_count=0).as_py():
+            kept = np.concatenate([[0], np.cumsum(known.to_numpy(zero_copy_only=False))])
+            tokens, ends = tokens.filter(known), kept[ends]
+        ids, begin, out = tokens.to_numpy(zero_copy_only=False), 0, []
+        for end in ends.tolist():
+            out.append(" ".join(map(names.__getitem__, ids[begin:end].tolist())))
+            begin = end
         return pa.array(out, pa.string())
 
     return docs.withColumn(into, labels(F.col(ids)))
