@@ -10,7 +10,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tarnfold.operators.encode import fit_scaling, standardize
-from tarnfold.operators.joins import HOT_SHARE, cross_grid, grid_literal, lookup
+from tarnfold.operators.joins import cross_grid, grid_literal, lookup, measured
 from tarnfold.operators.stats import pearson
 from tarnfold.operators.windows import seeded_sample
 from tarnfold.session import cut_lineage, shuffle_partitions
@@ -88,6 +88,21 @@ def _ref_side(ref: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return ref.select(*[F.col(c).alias(n) for c, n in names.items()])
 
 
+def _meet(probe: DataFrame, ref: DataFrame, cell: str, ref_key: str) -> DataFrame:
+    """Join on ``cell``. Every cell of ``ref`` with more than CELL_ROWS rows is dealt out over several
+    tasks by key hash, and the probing rows go to each of them."""
+    sizes = ref.groupBy(cell).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > CELL_ROWS)
+    sizes, n = measured(sizes.withColumn("_parts", F.ceil(F.col("_rows") / CELL_ROWS).cast("int")))
+    if n == 0:
+        return probe.join(ref, cell).drop(cell)
+    one = {"_parts": 1}
+    ref = lookup(ref, sizes, cell, one, weight="_rows", rows=n)
+    ref = ref.withColumn("_part", F.pmod(F.xxhash64(ref_key), F.col("_parts")).cast("int")).drop("_parts")
+    probe = lookup(probe, sizes, cell, one, weight="_rows", rows=n)
+    probe = probe.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return probe.join(ref, [cell, "_part"]).drop(cell, "_part")
+
+
 def radius_join(
     left: DataFrame,
     right: DataFrame,
@@ -106,25 +121,7 @@ def radius_join(
     names = {c: f"n_{c}" for c in dict.fromkeys([key, lat, lon, *carry])}
     ref = _ref_side(right, names).withColumn("_cell", cell_of(f"n_{lat}", f"n_{lon}", km))
     ref = ref.filter(F.col("_cell").isNotNull())
-    sizes = ref.groupBy("_cell").agg(F.count("*").alias("_n"))
-    total = sizes.agg(F.sum("_n").alias("t")).scalar()
-    # at most HOT_SHARE cells can pass this
-    hot = sizes.filter((F.col("_n") > CELL_ROWS) & (F.col("_n") * HOT_SHARE > total)).select(
-        F.col("_cell").alias("_hot_cell"), F.ceil(F.col("_n") / CELL_ROWS).cast("int").alias("_parts")
-    )
-    hot = F.broadcast(hot)
-    ref = ref.join(hot, F.col("_cell") == F.col("_hot_cell"), "left").select(
-        *names.values(),
-        "_cell",
-        F.pmod(F.xxhash64(f"n_{key}"), F.coalesce(F.col("_parts"), F.lit(1))).cast("int").alias("_part"),
-    )
-    probe = left.withColumn("_probe", F.explode(cells_around(lat, lon, km)))
-    probe = probe.join(hot, F.col("_probe") == F.col("_hot_cell"), "left").select(
-        *left.columns,
-        "_probe",
-        F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)).alias("_to"),
-    )
-    pairs = probe.join(ref, (F.col("_probe") == F.col("_cell")) & (F.col("_to") == F.col("_part")))
+    pairs = _meet(left.withColumn("_cell", F.explode(cells_around(lat, lon, km))), ref, "_cell", f"n_{key}")
     pairs = pairs.withColumn("km", haversine_km(lat, lon, f"n_{lat}", f"n_{lon}")).filter(F.col("km") <= km)
     if exclude_self:
         pairs = pairs.filter(F.col(key) != F.col(f"n_{key}"))
@@ -356,8 +353,7 @@ def _search_by_level(
             continue
         ref = _ref_side(points.withColumn("_at", own(j)), {**names, "_at": "_at"})
         pairs = (
-            now.withColumn("_to", F.explode(around(j)))
-            .join(ref, F.col("_to") == F.col("_at"))
+            _meet(now.withColumn("_at", F.explode(around(j))), ref, "_at", "n_id")
             .withColumn("km", haversine_km(lat, lon, f"n_{lat}", f"n_{lon}"))
             .filter(F.col("km") <= far)
             .withColumn("mixed", mixed_distance(cats, zs, geo, cat, num))

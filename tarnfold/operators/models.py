@@ -227,39 +227,86 @@ def compare_rosters(
     return union_rows(*rows)
 
 
+def _stacked(
+    fit: Callable[[DataFrame, int], Model],
+    score: Callable[[Model, DataFrame, str], DataFrame],
+    train: DataFrame,
+    out_of_fold: bool,
+    fold: str,
+    test: DataFrame | None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """Fit on the rows outside each fold (and how many they are) and score the fold; the test
+    table gets the average of the fold models. In-sample: one model that scores its own rows."""
+    train = cut_lineage(train)
+    sizes = {r[0]: r[1] for r in train.groupBy(fold if out_of_fold else F.lit(0).alias("all")).count().collect()}
+    total = sum(sizes.values())
+    if not out_of_fold:
+        model = fit(train, total)
+        return score(model, train, "stack"), None if test is None else score(model, test, "stack")
+    ids = sorted(sizes)
+    fitted = _in_parallel(lambda i: fit(train.filter(F.col(fold) != i), total - sizes[i]), ids)
+    held = union_rows(*[score(m, train.filter(F.col(fold) == i), "stack") for i, m in zip(ids, fitted)])
+    if test is None:
+        return held, None
+    names = [f"_fold{i}" for i in ids]
+    for name, model in zip(names, fitted):
+        test = score(model, test, name)
+    return held, test.withColumn("stack", sum((F.col(n) for n in names), F.lit(0.0)) / len(names)).drop(*names)
+
+
 def stack_lr(
-    oof: DataFrame, scores: Sequence[str], out_of_fold: bool = True, fold: str = "fold", test: DataFrame | None = None
+    oof: DataFrame,
+    scores: Sequence[str],
+    out_of_fold: bool = True,
+    fold: str = "fold",
+    test: DataFrame | None = None,
+    c: float | None = 1.0,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Logistic regression over model scores; in-sample scoring is kept as an option."""
-    train = assemble(oof, scores)
-    test = assemble(test, scores) if test is not None else None
+    """Logistic regression over model scores; in-sample scoring is kept as an option.
 
-    def factory() -> Estimator:
-        return make_lr(reg=0.0, weight=None)
+    The squared weights cost 1 / (2c) in the sum of the rows' losses, unscaled; ``c=None`` leaves them free.
+    """
 
-    if out_of_fold:
-        held, scored = cross_val_predict(factory, train, fold, test)
-    else:
-        model = factory().fit(cut_lineage(train))
-        held, scored = predict(model, train), None if test is None else predict(model, test)
-    pick = lambda d: d.withColumn("stack", F.get("proba", 1)).drop("proba", FEATURES)
-    return pick(held), None if scored is None else pick(scored)
+    def fit(rows: DataFrame, n: int) -> Model:
+        reg = 0.0 if c is None else 1.0 / (c * max(n, 1))
+        return make_lr(reg=reg, weight=None).setStandardization(False).setTol(1e-9).fit(rows)
+
+    def score(model: Model, rows: DataFrame, name: str) -> DataFrame:
+        return predict(model, rows, "_stack").withColumn(name, F.get("_stack", 1)).drop("_stack")
+
+    held, scored = _stacked(
+        fit, score, assemble(oof, scores), out_of_fold, fold, None if test is None else assemble(test, scores)
+    )
+    return held.drop(FEATURES), None if scored is None else scored.drop(FEATURES)
 
 
 def stack_ridge(
-    oof: DataFrame, scores: Sequence[str], alpha: float = 1.0, test: DataFrame | None = None
+    oof: DataFrame,
+    scores: Sequence[str],
+    alpha: float = 1.0,
+    out_of_fold: bool = True,
+    fold: str = "fold",
+    test: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Ridge on unscaled scores, clipped to [0, 1]; alpha is per table, Spark's is per row."""
-    train = cut_lineage(assemble(oof, scores))
-    model = LinearRegression(
-        featuresCol=FEATURES, labelCol=LABEL, elasticNetParam=0.0, standardization=False,
-        regParam=alpha / max(train.count(), 1), predictionCol="stack", solver="normal",
-    ).fit(train)
+    """Ridge on unscaled scores, clipped to [0, 1].
 
-    def apply(d: DataFrame) -> DataFrame:
-        return model.transform(d).withColumn("stack", clip01("stack")).drop(FEATURES)
+    ``alpha`` is per table; Spark's penalty is per row and divided by the label's deviation.
+    """
+
+    def fit(rows: DataFrame, n: int) -> Model:
+        deviation = rows.agg(F.stddev_pop(LABEL)).first()[0] or 0.0
+        return LinearRegression(
+            featuresCol=FEATURES, labelCol=LABEL, elasticNetParam=0.0, standardization=False,
+            regParam=alpha * deviation / max(n, 1), predictionCol="_raw", solver="normal",
+        ).fit(rows)
 
-    return apply(train), None if test is None else apply(assemble(test, scores))
+    def score(model: Model, rows: DataFrame, name: str) -> DataFrame:
+        return model.transform(rows).withColumn(name, clip01("_raw")).drop("_raw")
+
+    held, scored = _stacked(
+        fit, score, assemble(oof, scores), out_of_fold, fold, None if test is None else assemble(test, scores)
+    )
+    return held.drop(FEATURES), None if scored is None else scored.drop(FEATURES)
 
 
 def choose_ensemble(oof: DataFrame, candidates: Mapping[str, str], y: str = LABEL) -> DataFrame:

@@ -1,6 +1,7 @@
 """Cross-validated models, stacking, ablation, pseudo-labelling and text classification.
 
-Training is iterative, so these have no SQL twin; tests bound their scores instead.
+Ridge stacking has a closed form, so SQL can say it. Other training is iterative and has no SQL
+twin; tests bound its scores instead.
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 
 from tarnfold.functions import columns as C
 from tarnfold.operators import encode, ensemble, metrics, models, windows
-from tarnfold.plans.ensemble_queries import PROBAS, SMALL
+from tarnfold.plans.ensemble_queries import PROBAS, SMALL, _search_sql
+from tarnfold.plans.metric_queries import _ranking_sql
 from tarnfold.plans.registry import query, rounded
 from tarnfold.session import cut_lineage
-from tarnfold.sources.views import FUELS, documents, folded_proba, plants, table
+from tarnfold.sources.views import FUELS, PROBA_SQL, documents, fold_sql, folded_proba, plants, table
 
 CLASSES = [0, 1, 2, 3]
 
@@ -139,13 +141,40 @@ def stack_lr_in_sample(spark, sf):
     return _final_score(held)
 
 
-@query("stack_ridge")
+# normal equations of three scores and an intercept, by Cramer's rule, on the rows outside each fold
+_RIDGE_SQL = f"""{PROBA_SQL}, folded as (select *, {fold_sql('y', 'id', 3)} as fold from proba),
+ s as (select id, fold, case when y = 3 then 1 else 0 end as y, m0p3 as a, m1p3 as b, m2p3 as c from folded),
+ k as (select unnest([0, 1, 2]) as k),
+ m as (select k, avg(y) as my, avg(a) as ma, avg(b) as mb, avg(c) as mc,
+  covar_pop(a, a) * count(*) + 1 as aa, covar_pop(b, b) * count(*) + 1 as bb, covar_pop(c, c) * count(*) + 1 as cc,
+  covar_pop(a, b) * count(*) as ab, covar_pop(a, c) * count(*) as ac, covar_pop(b, c) * count(*) as bc,
+  covar_pop(a, y) * count(*) as ya, covar_pop(b, y) * count(*) as yb, covar_pop(c, y) * count(*) as yc
+  from s join k on s.fold <> k.k group by k),
+ d as (select *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) as det from m),
+ w as (select *, (ya * (bb * cc - bc * bc) - ab * (yb * cc - bc * yc) + ac * (yb * bc - bb * yc)) / det as wa,
+  (aa * (yb * cc - bc * yc) - ya * (ab * cc - bc * ac) + ac * (ab * yc - yb * ac)) / det as wb,
+  (aa * (bb * yc - yb * bc) - ab * (ab * yc - yb * ac) + ya * (ab * bc - bb * ac)) / det as wc from d),
+ held as (select s.y, a, b, c, greatest(0, least(1, my + wa * (a - ma) + wb * (b - mb) + wc * (c - mc))) as stack
+  from s join w on s.fold = w.k)"""
+
+
+def _board_sql(scores):
+    one = "select {i} as config_id, '{name}' as config, * from (with s as (select y, {expr} as score from held), {ranking})"
+    rows = [one.format(i=i, name=n, expr=e, ranking=_ranking_sql("s")) for i, (n, e) in enumerate(scores.items())]
+    return f"board as ({' union all '.join(rows)})"
+
+
+@query("stack_ridge", f"with {_RIDGE_SQL}, r as (select * from (with s as (select y, stack as score from held), {_ranking_sql('s')})) select * from r")
 def stack_ridge(spark, sf):
     held, _ = models.stack_ridge(_binary_oof(spark, sf), ["a", "b", "c"])
     return _final_score(held)
 
 
-@query("choose_ensemble")
+@query(
+    "choose_ensemble",
+    f"""with {_RIDGE_SQL}, {_board_sql({'stack': 'stack', 'mean': '(a + b + c) / 3', 'first': 'a'})}
+ select * from board order by composite desc, config_id limit 1""",
+)
 def choose_ensemble(spark, sf):
     held, _ = models.stack_ridge(_binary_oof(spark, sf), ["a", "b", "c"])
     held = held.withColumn("mean", (F.col("a") + F.col("b") + F.col("c")) / 3)
@@ -153,7 +182,17 @@ def choose_ensemble(spark, sf):
     return rounded(ensemble.choose_best(board))
 
 
-@query("compare_rosters")
+def _rosters_sql(rosters):
+    parts = []
+    for name, members in rosters.items():
+        mixed = ", ".join(f"({' + '.join(f'{m}p{j}' for m in members)}) / {len(members)} as p{j}" for j in range(4))
+        search = _search_sql(SMALL, f"{PROBA_SQL}, mean as (select id, y, {mixed} from proba)")
+        best = "select config_id, [w0, w1, w2, w3] as weights, round(score, 6) as score from score join grid using (config_id)"
+        parts.append(f"select *, '{name}' as config from (with {search} {best} order by score.score desc, config_id limit 1)")
+    return " union all ".join(parts)
+
+
+@query("compare_rosters", _rosters_sql({"m0": ["m0"], "m0+m1": ["m0", "m1"], "all": ["m0", "m1", "m2"]}))
 def compare_rosters(spark, sf):
     oof = folded_proba(spark, sf, 3)
     rosters = {"m0": ["m0"], "m0+m1": ["m0", "m1"], "all": ["m0", "m1", "m2"]}
