@@ -8,6 +8,7 @@ fixed number of values picked by hash, so that the side tables have a known size
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -19,6 +20,8 @@ from tarnfold.session import shuffle_partitions
 _STRIDE = 64
 # Up to this many distinct rows, counted first, a group may be sorted in one task.
 PLAIN_ROWS = 1_000_000
+# Rows of one hash range that are sorted together.
+SLICE_ROWS = 100_000
 
 
 def running_totals(
@@ -156,15 +159,18 @@ def hash_rank(
     key: str,
     seed: int = 42,
     by: Sequence[str | Column] = (),
-    digits: int = 3,
+    digits: int | None = None,
     below: Column | None = None,
 ) -> DataFrame:
     """Add ``_rank`` (0-based, in seeded hash order) and ``_size``, within ``by``.
 
-    md5 is uniform, so its leading hex digits cut any group into even ranges without
-    looking at the data: one count per range, then a sort inside each range. With
+    md5 is uniform, so its leading hex digits cut any group into even ranges: as many
+    ``digits`` as keep a range of all rows, counted first, below SLICE_ROWS. One count per
+    range, then a sort inside each range. With
     ``below`` only ranks under it are kept, and ranges past it are never shuffled.
     """
+    if digits is None:
+        digits = max(3, math.ceil(math.log(max(df.count() / SLICE_ROWS, 1), 16)))
     names = [f"_by{i}" for i in range(len(by))]
     base = df.withColumns(
         {

@@ -229,7 +229,7 @@ def pseudo_loop(spark, sf):
 def text_classifier(spark, sf):
     """Language from hashed words: fit on nine tenths of the documents, report on the rest."""
     docs = documents(spark, sf).select("id", "text", F.col("lang").alias("label"))
-    split = windows.stratified_split(docs, "label", 0.1)
-    model = models.fit_text_classifier(split.filter("split = 'train'"), buckets=1 << 12, ngrams=1)
+    split = cut_lineage(windows.stratified_split(docs, "label", 0.1))  # every stage below scans this table
+    model = models.fit_text_classifier(split.filter("split = 'train'"))
     scored = model.transform(split.filter("split = 'test'"))
     return rounded(metrics.classification_report(scored, "label", "predicted"))
