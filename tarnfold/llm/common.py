@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tarnfold.session import ensure_checkpoint_dir
+
 # Blocks of this many bytes keep the temporary arrays of a task near the processor and bounded.
 BLOCK_BYTES = 1 << 21
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -26,6 +29,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage: a table in the shared folder, which outlives lost executors.
+
+    Unlike a checkpoint, what is read back carries no inferred constraints, which would grow
+    from round to round of an iteration.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not use yet, in any case."""
     used = {c.lower() for c in df.columns}
@@ -133,8 +148,3 @@ def word_ranges(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     begin = np.flatnonzero(solid[1 : n + 1] & (~solid[:n] | edge[:n]))
     end = np.flatnonzero(solid[1 : n + 1] & (~solid[2:] | edge[1:])) + 1
     return begin, end, np.searchsorted(begin, starts)
-
-
-def rows_of(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    for batch in batches:
-        yield batch, batch.column(column)

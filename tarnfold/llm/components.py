@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tarnfold.session import cut_lineage
+from tarnfold.llm.common import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,18 +13,28 @@ def components(edges: DataFrame) -> DataFrame:
     Every round takes the smallest label among a node and its neighbours and then the label
     of that label, so that labels travel twice as far each time; it ends when no label changes.
     """
-    both = cut_lineage(
+    both = stored(
         edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).filter("u <> v").distinct()
     )
     labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root"))
-    labels = cut_lineage(labels)
+    labels = stored(labels)
     while True:
         near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("m"))
         lower = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
         onward = labels.select(F.col("node").alias("root"), F.col("root").alias("jump"))
-        following = cut_lineage(
+        following = stored(
             lower.join(onward, "root", "left").select("node", "was", F.least("root", F.coalesce("jump", "root")).alias("root"))
         )
         if following.filter("root <> was").isEmpty():
             return following.select("node", "root")
         labels = following.select("node", "root")
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) with more links (a, b) between their nodes or new ones; only roots are searched again."""
+    side = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+    ends = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    joined = components(ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("moved")), "root", "left")
+    old = moved.select("node", F.coalesce("moved", "root").alias("root"))
+    return stored(old.union(joined.join(roots.select("node"), "node", "left_anti").select("node", "root")))

@@ -21,11 +21,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tarnfold.llm.common import LOWER, blocks, flat, mix, prefix_hash, range_hash, tasks, word_ranges
-from tarnfold.llm.components import components
-from tarnfold.session import cut_lineage
+from tarnfold.llm.common import LOWER, blocks, flat, mix, prefix_hash, range_hash, stored, tasks, word_ranges
+from tarnfold.llm.components import components, merged
 
-VALUES = 48
+VALUES = 96
 TREES = 12
 STEP = VALUES // TREES
 _RNG = np.random.default_rng(2024)
@@ -39,14 +38,16 @@ _SECOND = np.uint64(0xA0761D6478BD642F)
 class Settings:
     """``depth``: values two neighbours share at least. ``agree``: share of equal signature values
     below which a pair is not looked at again; a pair with 0.8 of its shingles in common falls
-    below 0.55 with a chance of 1 in 10,000. ``reach`` and ``links``: how far along an order and for how
-    many candidates a class looks at first; ``far``: how far it looks in the second search."""
+    below 0.62 with a chance of 1 in 100,000. ``reach`` and ``links``: how far along an order and for how
+    many candidates a class looks at first; ``far``: how far it looks in the second search;
+    ``rounds``: how often components are joined by their centres before all other pairs are compared."""
 
     depth: int = 2
-    agree: float = 0.55
+    agree: float = 0.62
     reach: int = 48
     links: int = 4
     far: int = 1024
+    rounds: int = 6
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -122,17 +123,18 @@ def sketches(texts: pa.Array, k: int) -> pa.StructArray:
     )
 
 
-def neighbours(rows: DataFrame, s: Settings, second: bool, partitions: int) -> DataFrame:
-    """Candidate pairs (a, b, agree) of ``rows`` (tree, signature, node, root), and which nodes were cut short.
+def neighbours(rows: DataFrame, s: Settings, percent: int, second: bool, partitions: int) -> DataFrame:
+    """Candidate pairs (a, b, agree) of ``rows`` (tree, signature, node, root, n), and which nodes were cut short.
 
     Rows lie in order over range partitions, each task holds a window of ``reach`` rows, and
     the rows at the ends of neighbouring partitions meet in a second small step.
-    In the ``second`` search pairs of one root are left out and all others are kept.
+    Sets whose sizes alone keep them below ``percent`` are no pair. In the ``second`` search pairs of
+    one root are left out and all others are kept.
     """
     reach = s.far if second else s.reach
-    out = "a bigint, b bigint, agree float, cut boolean, edge int, place int, tree tinyint, signature binary, node bigint, root bigint"
+    out = "a bigint, b bigint, agree float, cut boolean, edge int, place int, tree tinyint, signature binary, node bigint, root bigint, n bigint"
 
-    def pairs(tree, sig, node, root, older: int):
+    def pairs(tree, sig, node, root, n, older: int):
         """Pairs with the later one at or behind ``older``."""
         found, cut = [], np.zeros(len(node), bool)
         left = np.full(len(node), 1 << 30 if second else s.links)
@@ -144,52 +146,55 @@ def neighbours(rows: DataFrame, s: Settings, second: bool, partitions: int) -> D
                 if older == 0 or lag >= older:
                     break
                 continue
-            if lag == reach:
-                cut[at] = True
+            if lag == reach:  # rows nearer to both ends of a region have met all of it
+                cut[at] = cut[at + lag] = True
+            x, y = n[at], n[at + lag]
+            at = at[100 * np.minimum(x, y) >= percent * np.maximum(x, y)]
             if second:
                 at = at[root[at] != root[at + lag]]
-            cut[at[left[at] <= 0]] = True
-            at = at[left[at] > 0]
             share = (sig[at] == sig[at + lag]).mean(axis=1)
-            good = share >= s.agree
-            left[at[good]] -= 1
-            found.append((at[good], at[good] + lag, share[good]))
+            at, share = at[share >= s.agree], share[share >= s.agree]
+            over = at[left[at] <= 0]
+            cut[over] = cut[over + lag] = True
+            at, share = at[left[at] > 0], share[left[at] > 0]
+            left[at] -= 1
+            found.append((at, at + lag, share))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), cut
         return *(np.concatenate(x) for x in zip(*found, strict=True)), cut
 
     def matrix(batch: pa.RecordBatch):
         sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), ">u2").reshape(-1, VALUES)
-        return [batch.column("tree").to_numpy(zero_copy_only=False), sig, batch.column("node").to_numpy(), batch.column("root").to_numpy()]
+        return [batch.column("tree").to_numpy(zero_copy_only=False), sig, *(batch.column(c).to_numpy() for c in ("node", "root", "n"))]
 
     def records(node, found, cut_nodes=()) -> pa.RecordBatch:
         a, b, share = found
-        n, m = len(a), len(cut_nodes)
-        none = lambda kind: pa.nulls(n + m, kind)
+        k, m = len(a), len(cut_nodes)
+        none = lambda kind: pa.nulls(k + m, kind)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate([np.minimum(node[a], node[b]), cut_nodes]).astype(np.int64)),
                 pa.array(np.concatenate([np.maximum(node[a], node[b]), cut_nodes]).astype(np.int64)),
                 pa.array(np.concatenate([share, np.zeros(m)]).astype(np.float32)),
-                pa.array(np.arange(n + m) >= n),
-                none(pa.int32()), none(pa.int32()), none(pa.int8()), none(pa.binary()), none(pa.int64()), none(pa.int64()),
+                pa.array(np.arange(k + m) >= k),
+                none(pa.int32()), none(pa.int32()), none(pa.int8()), none(pa.binary()), none(pa.int64()), none(pa.int64()), none(pa.int64()),
             ],
             schema=names,
         )
 
     names = pa.schema(
         [("a", pa.int64()), ("b", pa.int64()), ("agree", pa.float32()), ("cut", pa.bool_()), ("edge", pa.int32()), ("place", pa.int32()),
-         ("tree", pa.int8()), ("signature", pa.binary()), ("node", pa.int64()), ("root", pa.int64())]
+         ("tree", pa.int8()), ("signature", pa.binary()), ("node", pa.int64()), ("root", pa.int64()), ("n", pa.int64())]
     )
 
     def edge_rows(part: list, edge: int, place: int) -> pa.RecordBatch:
-        tree, sig, node, root = part
-        n = len(node)
+        tree, sig, node, root, size = part
+        k = len(node)
         return pa.RecordBatch.from_arrays(
             [
-                pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float32()), pa.nulls(n, pa.bool_()),
-                pa.array(np.full(n, edge, np.int32)), pa.array(np.arange(place, place + n, dtype=np.int32)), pa.array(tree.astype(np.int8)),
-                pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(node), pa.array(root),
+                pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float32()), pa.nulls(k, pa.bool_()),
+                pa.array(np.full(k, edge, np.int32)), pa.array(np.arange(place, place + k, dtype=np.int32)), pa.array(tree.astype(np.int8)),
+                pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(node), pa.array(root), pa.array(size),
             ],
             schema=names,
         )
@@ -225,7 +230,7 @@ def neighbours(rows: DataFrame, s: Settings, second: bool, partitions: int) -> D
         return pa.Table.from_batches([records(part[2], (a[keep], b[keep], share[keep]), np.unique(part[2][cut]))])
 
     ordered = rows.repartitionByRange(partitions, "tree", "signature", "node").sortWithinPartitions("tree", "signature", "node")
-    first = cut_lineage(ordered.mapInArrow(inside, out))
+    first = stored(ordered.mapInArrow(inside, out))
     meet = first.filter("edge is not null").groupBy("edge").applyInArrow(across, out)
     return first.filter("edge is null").select("a", "b", "agree", "cut").union(meet.select("a", "b", "agree", "cut"))
 
@@ -240,7 +245,7 @@ def forest_rows(classes: DataFrame) -> DataFrame:
         )
         for t in range(TREES)
     ]
-    return classes.select("node", "root", F.inline(F.array(*turned))).select("tree", "signature", "node", "root")
+    return classes.select("node", "root", "n", F.inline(F.array(*turned))).select("tree", "signature", "node", "root", "n")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -277,7 +282,7 @@ def classes_and_links(
         return pa.array([x.tobytes() for x in shingle_sets(texts, words)], pa.binary())
 
     source = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("x"))
-    sketched = cut_lineage(source.select("id", "x", sketch("t").alias("s")).select("id", "x", "s.*"))
+    sketched = stored(source.select("id", "x", sketch("t").alias("s")).select("id", "x", "s.*"))
     classes = (
         sketched.filter("n > 0")
         .groupBy("n", "h1", "h2")
@@ -287,39 +292,33 @@ def classes_and_links(
             F.first("signature").alias("signature"),
         )
     )
-    classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
     alone = classes.withColumn("root", F.col("node"))
     rows = max(1, TREES * classes.count())
-    found = cut_lineage(neighbours(forest_rows(alone), s, False, _partitions(spark, rows, s.reach)))
-    pairs = cut_lineage(found.filter("not cut").groupBy("a", "b").agg(F.first("agree").alias("agree")))
+    found = stored(neighbours(forest_rows(alone), s, percent, False, _partitions(spark, rows, s.reach)))
+    pairs = stored(found.filter("not cut").groupBy("a", "b").agg(F.first("agree").alias("agree")))
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(found.filter("cut").select("a")).distinct()
     wanted = classes.join(ends, "node").select("node", "sample.id", "sample.x")
     texts = source.join(
         wanted.withColumnsRenamed({"id": "w_id", "x": "w_x"}), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("x") == F.col("w_x"))
     )
-    sets = cut_lineage(texts.select("node", full_set("t").alias("shingles")))
+    sets = stored(texts.select("node", full_set("t").alias("shingles")))
     # every class asks its most similar candidate first; ties go by hash, so that no class is asked by all
     choice = F.struct(F.col("agree"), F.xxhash64("a", "b").alias("draw"), F.col("a"), F.col("b"))
     asked = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("node"), choice.alias("c")), F.struct(F.col("b").alias("node"), choice.alias("c")))))
-    best = asked.groupBy("node").agg(F.max("c").alias("c")).select("c.a", "c.b").distinct()
-    links = cut_lineage(confirm(best, sets, percent))
+    best = stored(asked.groupBy("node").agg(F.max("c").alias("c")).select("c.a", "c.b").distinct())
+    links, tried = stored(confirm(best, sets, percent)), best
     roots = components(links)
-    rest = _between(pairs, roots).join(best, ["a", "b"], "left_anti")
-    more = cut_lineage(confirm(rest, sets, percent))
-    links = links.union(more)
-    if not more.isEmpty():
-        roots = components(links)
+    links, tried, roots = _connect(pairs, links, tried, roots, sets, percent, s.rounds)
     cut = found.filter("cut").select(F.col("a").alias("node")).distinct()
     if not cut.isEmpty():
-        crowded = cut_lineage(
-            classes.join(cut, "node").join(roots, "node", "left").select("node", "signature", F.coalesce("root", "node").alias("root"))
+        crowded = stored(
+            classes.join(cut, "node").join(roots, "node", "left").select("node", "n", "signature", F.coalesce("root", "node").alias("root"))
         )
         n = max(1, TREES * crowded.count())
-        again = neighbours(forest_rows(crowded), s, True, _partitions(spark, n, s.far))
-        again = again.filter("not cut").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        late = cut_lineage(confirm(again, sets, percent))
-        if not late.isEmpty():
-            roots = components(links.union(late))
+        again = neighbours(forest_rows(crowded), s, percent, True, _partitions(spark, n, s.far))
+        again = stored(again.filter("not cut").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
+        _, _, roots = _connect(again, links, tried, roots, sets, percent, s.rounds)
     return sketched, classes, roots
 
 
@@ -328,6 +327,42 @@ def _partitions(spark, rows: int, reach: int) -> int:
     return max(1, min(tasks(spark), rows // (16 * reach)))
 
 
+def _connect(
+    pairs: DataFrame, links: DataFrame, tried: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, rounds: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Confirm ``pairs``, first by way of centres, then all that still lie between two components."""
+
+    def confirmed(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+        asked = stored(candidates.join(tried, ["a", "b"], "left_anti"))
+        return asked, stored(confirm(asked, sets, percent))
+
+    for _ in range(rounds):
+        asked, more = confirmed(_to_centres(pairs, links, roots))
+        tried, links = tried.union(asked), links.union(more)
+        if more.isEmpty():
+            break
+        roots = merged(roots, more)
+    asked, more = confirmed(_between(pairs, roots))
+    return links.union(more), tried.union(asked), roots if more.isEmpty() else merged(roots, more)
+
+
+def _to_centres(pairs: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+    """For each candidate pair between two components: each end with the centre of the other's component.
+
+    The centre is the class with the most links. Copies of one text are often nearer to it than to
+    each other, so this joins them with one comparison each instead of one per pair of copies.
+    """
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n"))
+    centres = ends.join(roots, "node").groupBy("root").agg(F.max_by("node", F.struct("n", "node")).alias("centre"))
+    named = roots.join(centres, "root")
+    side = lambda name: named.select(F.col("node").alias(name), F.col("root").alias(f"r_{name}"), F.col("centre").alias(f"c_{name}"))
+    joined = pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    apart = joined.filter(F.coalesce("r_a", "a") != F.coalesce("r_b", "b"))
+    ask = lambda end, centre: F.when(F.col(centre).isNotNull(), F.struct(F.col(end).alias("x"), F.col(centre).alias("y")))
+    asks = F.array_compact(F.array(ask("a", "c_b"), ask("b", "c_a")))
+    return apart.select(F.inline(asks)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs whose ends are not connected yet."""
     side = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
