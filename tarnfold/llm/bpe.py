@@ -25,9 +25,9 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 # Chunks between white space, and words, of which a worker remembers the tokens.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 # Arcs of which the answer is kept.
-ARCS = 1_000_000
+ARCS = 600_000
 
 
 def byte_symbols() -> list[str]:
