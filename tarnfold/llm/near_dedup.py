@@ -8,7 +8,8 @@ least ``depth`` values must be shared, but where many classes share them, those
 common prefix stand closer and come first, so crowded regions are searched at greater
 depth. Candidates whose whole signatures agree too little are dropped, links are confirmed on
 full sets, and where a crowded region cut the search short it is searched again between
-the components found so far.
+the components found so far. Classes that are cut short even then are joined on their rare
+shingles, with no bound on how far apart they lie.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ class Settings:
     below which a pair is not looked at again; a pair with 0.8 of its shingles in common falls
     below 0.62 with a chance of 1 in 100,000. ``reach`` and ``links``: how far along an order and for how
     many candidates a class looks at first; ``far``: how far it looks in the second search;
+    ``usual``: in how many of the classes left after it a shingle is no longer rare;
     ``rounds``: how often components are joined by their centres before all other pairs are compared."""
 
     depth: int = 2
@@ -47,6 +49,7 @@ class Settings:
     reach: int = 48
     links: int = 4
     far: int = 1024
+    usual: int = 64
     rounds: int = 6
 
 
@@ -316,12 +319,88 @@ def classes_and_links(
             classes.join(cut, "node").join(roots, "node", "left").select("node", "n", "signature", F.coalesce("root", "node").alias("root"))
         )
         n = max(1, TREES * crowded.count())
-        again = neighbours(forest_rows(crowded), s, percent, True, _partitions(spark, n, s.far))
-        again = stored(again.filter("not cut").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
-        _, _, roots = _connect(again, links, tried, roots, sets, percent, s.rounds)
+        found = stored(neighbours(forest_rows(crowded), s, percent, True, _partitions(spark, n, s.far)))
+        again = stored(found.filter("not cut").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
+        links, tried, roots = _connect(again, links, tried, roots, sets, percent, s.rounds)
+        cut = found.filter("cut").select(F.col("a").alias("node")).distinct()
+        if not cut.isEmpty():
+            left = crowded.select("node", "n").join(cut, "node").join(sets.dropDuplicates(["node"]), "node")
+            roots = _exhaust(left, links, tried, roots, sets, percent, s)
     return sketched, classes, roots
 
 
+def _exhaust(
+    rows: DataFrame, links: DataFrame, tried: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, s: Settings
+) -> DataFrame:
+    """``roots`` with all links between ``rows`` (node, n, shingles), however many share a passage.
+
+    Two sets whose first shared shingle, rarest first, is a rare one meet in a join on the rare
+    shingles that begin them. All others share frequent shingles only, so how much they share
+    follows from n and the frequent part alone: sets equal in both are one group, one set of each
+    group stands for it, and those are searched in the same way with a higher bound of what is rare.
+    """
+
+    @F.arrow_udf("array<bigint>")
+    def numbers(packed: pa.Array) -> pa.Array:
+        each = [np.frombuffer(x.as_buffer(), np.int64) for x in packed]
+        ends = np.cumsum([0] + [len(x) for x in each]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *each])))
+
+    rows = rows.select("node", "n", numbers("shingles").alias("own"))
+    members, usual, more = None, s.usual, None
+    while True:
+        pairs, frequent = _by_rare_shingles(rows, percent, usual)
+        if members is None:
+            links, tried, roots = _connect(pairs, links, tried, roots, sets, percent, s.rounds)
+        else:
+            shared = stored(_sharing(pairs, rows, percent))
+            # every member of a group is as near to the other group's set as the one that stands for it
+            ends = shared.union(shared.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            partner = ends.groupBy(F.col("a").alias("group")).agg(F.min("b").alias("b"))
+            linked = shared.union(members.join(partner, "group").select(F.col("node").alias("a"), "b"))
+            more = linked if more is None else more.union(linked)
+        if frequent.isEmpty():
+            return roots if more is None or more.isEmpty() else merged(roots, more)
+        groups = stored(frequent.groupBy("n", "name").agg(F.min("node").alias("group")))
+        step = frequent.select("node", "n", "name", F.size("own").alias("k")).join(groups, ["n", "name"])
+        if members is not None:
+            step = step.withColumnRenamed("node", "below").join(members.withColumnRenamed("group", "below"), "below")
+        step = stored(step.select("node", "n", "k", "group"))
+        alike = step.filter(F.col("node") != F.col("group")).filter(100 * F.col("k") >= percent * (2 * F.col("n") - F.col("k")))
+        alike = alike.select(F.col("node").alias("a"), F.col("group").alias("b"))
+        more = alike if more is None else more.union(alike)
+        members = step.select("node", "group")
+        rows = stored(frequent.join(groups.select(F.col("group").alias("node")), "node").select("node", "n", "own"))
+        usual *= 8
+
+
+def _by_rare_shingles(rows: DataFrame, percent: int, usual: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs of ``rows`` (node, n, own) that share one of their first rare shingles, and the frequent
+    parts (node, n, own, name) of those rows that can be near another by these alone."""
+    each = rows.select("node", "n", F.explode("own").alias("s"))
+    # a shingle of a single row is shared with none; the rarest first, ties by hash
+    count = stored(each.groupBy("s").agg(F.count("*").alias("d")).filter("d > 1"))
+    known = each.join(count, "s").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("d", "s"))).alias("own"))
+    known = stored(known)
+    least = F.floor((percent * F.col("n") + 99) / 100)  # shingles a near one shares at least
+    begins = (F.size("own") - least + 1).cast("int")  # n less those of a single row, which come first
+    head = F.filter(F.slice("own", F.lit(1), F.greatest(begins, F.lit(0))), lambda x: x["d"] <= usual)
+    begin = stored(known.select("node", "n", F.explode(head).alias("x")).select("node", "n", F.col("x.s").alias("s")))
+    side = lambda name: begin.select("s", F.col("node").alias(name), F.col("n").alias(f"n_{name}"))
+    near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    pairs = side("a").join(side("b"), "s").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    common = F.transform(F.filter("own", lambda x: x["d"] > usual), lambda x: x["s"])
+    frequent = known.select("node", "n", F.array_sort(common).alias("own")).filter(100 * F.size("own") >= percent * F.col("n"))
+    return stored(pairs), stored(frequent.withColumn("name", F.sha2(F.array_join("own", " "), 256)))
+
+
+def _sharing(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are near by what ``rows`` (node, n, own) hold of their n shingles."""
+    side = lambda name: rows.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("own").alias(f"own_{name}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("k", F.size(F.array_intersect("own_a", "own_b")))
+    return joined.filter(100 * F.col("k") >= percent * (F.col("n_a") + F.col("n_b") - F.col("k"))).select("a", "b")
+
+
 def _partitions(spark, rows: int, reach: int) -> int:
     """As many as the shuffle has, but each with many times more rows than a task looks ahead."""
     return max(1, min(tasks(spark), rows // (16 * reach)))

@@ -28,6 +28,27 @@ def test_crowds_copies_and_passages(spark, settings):
     assert out.filter("kept <> (doc_id = component_id)").count() == 0
 
 
+def test_near_duplicates_far_apart_in_a_crowded_region(spark):
+    """More texts share a template than the second search looks ahead; pairs of them share a little more."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    template = [word() for _ in range(170)]
+    rows = []
+    for k in range(300):
+        own = [word() for _ in range(34)]
+        rows.append((2 * k, " ".join(template + own)))
+        if k < 40:  # 16 of 34 words of its own
+            rows.append((2 * k + 1, " ".join(template + own[:16] + [word() for _ in range(18)])))
+    rows += [(1001, " ".join(template)), (1003, " ".join(template + [word() for _ in range(4)]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    settings = near_dedup.Settings(reach=3, links=1, far=8, usual=16)
+    for some in (rows, [r for r in rows if r[0] < 1000]):  # the template by itself is near them all
+        out = near_dedup.near_duplicates(spark.createDataFrame(some, "doc_id bigint, text string"), words=4, settings=settings)
+        expected = exact_components(some, 4)
+        assert found_components(out) == sorted(expected, key=str)
+    assert len({c for _, _, c in expected}) > 200
+
+
 def test_many_partitions_see_the_same_neighbours(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "_partitions", lambda spark, rows, reach: 9)
     rows = copies(seed=8)
