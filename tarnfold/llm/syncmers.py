@@ -2,10 +2,10 @@
 
 A k-mer (K bytes) is an anchor if the least of the hashes of its S-byte substrings is its
 first or its last one. That depends on nothing around it, so equal stretches of two texts
-have the same anchors wherever they stand. The fingerprint holds the KEPT anchors with the
-least hashes, each with the place of its first occurrence: a sample of the anchors that is
-the same for all texts. Two texts are as alike as the share of their united sample that both
-have in the same order (the longest common chain of anchors).
+have the same anchors wherever they stand. The fingerprint holds all distinct anchors by hash,
+each with the place of its first occurrence. Two texts are as alike as the share of their united
+anchors that both have in the same order (the longest common chain of anchors). ``occurrences``
+gives every anchor with every place as rows, to match stretches by a join.
 """
 
 from __future__ import annotations
@@ -16,11 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tarnfold.llm.common import blocks, flat, mix, tasks
 
-K, S, KEPT = 16, 8, 48
+K, S = 16, 8
+KEPT = None  # no bound: a fingerprint holds all anchors
+_BLOCK = 1 << 22
 _ANCHOR = np.dtype([("hash", ">u4"), ("place", ">u4")])
 
 
@@ -40,23 +43,24 @@ def _select(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for a, b in zip(starts[:-1], starts[1:], strict=True):
         anchor[max(a, b - K + 1) : b] = False
     place = np.flatnonzero(anchor)
-    return place, (mix(h[place] * np.uint64(3) + h[place + S]) >> np.uint64(32)).astype(np.uint32)
+    return place, mix(h[place] * np.uint64(3) + h[place + S])
 
 
 def anchors(texts: pa.Array) -> list[np.ndarray]:
-    """The kept anchors of each text, by hash; a text without any has one for the whole of it, an empty text none."""
+    """The anchors of each text, by hash; a text without any has one for the whole of it, an empty text none."""
     data, starts = flat(texts)
     out: list[np.ndarray] = []
     for i, j in blocks(starts):
         part, at = data[starts[i] : starts[j]], starts[i : j + 1] - starts[i]
         place, value = _select(part, at)
+        value = (value >> np.uint64(32)).astype(np.uint32)
         first = np.searchsorted(place, at)
         for r in range(j - i):
             a, b = first[r], first[r + 1]
             if a < b:
                 hashes, where = np.unique(value[a:b], return_index=True)
-                rows = np.empty(min(len(hashes), KEPT), _ANCHOR)
-                rows["hash"], rows["place"] = hashes[:KEPT], place[a:b][where[:KEPT]] - at[r]
+                rows = np.empty(len(hashes), _ANCHOR)
+                rows["hash"], rows["place"] = hashes, place[a:b][where] - at[r]
             elif at[r] < at[r + 1]:
                 rows = np.zeros(1, _ANCHOR)
                 rows["hash"] = int.from_bytes(hashlib.sha256(part[at[r] : at[r + 1]].tobytes()).digest()[:4], "big")
@@ -67,17 +71,44 @@ def anchors(texts: pa.Array) -> list[np.ndarray]:
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of the united sample whose anchors both texts have in the same order; two empty ones are equal."""
+    """Share of the united anchors that both texts have in the same order; two empty ones are equal."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    union = np.union1d(a["hash"], b["hash"])[:KEPT]
-    _, x, y = np.intersect1d(a["hash"], b["hash"], assume_unique=True, return_indices=True)
-    x, y = x[a["hash"][x] <= union[-1]], y[b["hash"][y] <= union[-1]]
+    _, x, y = np.intersect1d(a["hash"].astype(np.uint32), b["hash"].astype(np.uint32), assume_unique=True, return_indices=True)
+    places = b["place"].astype(np.int64)[y][np.argsort(a["place"][x].astype(np.int64), kind="stable")]
+    union = len(a) + len(b) - len(x)
+    if (places[1:] > places[:-1]).all():
+        return len(places) / union
     chain: list[int] = []
-    for place in b["place"][y][np.argsort(a["place"][x], kind="stable")].tolist():
+    for place in places.tolist():
         k = bisect_left(chain, place)
         chain[k : k + 1] = [place]
-    return len(chain) / len(union)
+    return len(chain) / union
+
+
+def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, hash, place): every anchor of every text wherever it occurs, with the whole 64-bit hash.
+
+    Places count bytes. NULL texts and texts without an anchor have no row.
+    """
+
+    @F.arrow_udf("array<struct<hash: bigint, place: bigint>>")
+    def found(texts: pa.Array) -> pa.Array:
+        data, starts = flat(texts)
+        hashes, places, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+        for i, j in blocks(starts):
+            at = starts[i : j + 1] - starts[i]
+            place, value = _select(data[starts[i] : starts[j]], at)
+            count = np.diff(np.searchsorted(place, at))
+            hashes.append(value)
+            places.append(place - np.repeat(at[:-1], count))
+            counts.append(count)
+        rows = pa.StructArray.from_arrays(
+            [pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(places).astype(np.int64))], ["hash", "place"]
+        )
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32)), rows)
+
+    return docs.select(F.col(key), F.inline(found(F.col(text))))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerprint") -> DataFrame:
@@ -141,6 +172,18 @@ def with_following(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return source.select("key", "text", F.inline(places("key"))).select("bucket", "follows", "key", "text")
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of 512 rows or _BLOCK bytes of text; fingerprints are larger than their texts."""
+    begin, held = 0, 0
+    for k, size in enumerate(pc.binary_length(batch.column("text")).fill_null(0).to_pylist()):
+        if k > begin and (k - begin == 512 or held + size > _BLOCK):
+            yield batch.slice(begin, k - begin)
+            begin, held = k, 0
+        held += size
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 RESULT = (
     "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double"
@@ -157,8 +200,7 @@ def edited_and_next(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: tuple | None = None
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
+            for part in _slices(batch):
                 marks = [(i, f) for i, f in zip(part.column("key").to_pylist(), part.column("follows").to_pylist(), strict=True)]
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 prints = anchors(pa.array(texts, pa.large_string()))

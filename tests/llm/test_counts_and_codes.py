@@ -178,6 +178,23 @@ def brute_fingerprint(text):
     return np.array(sorted(first.items())[: syncmers.KEPT], dtype=[("hash", ">u4"), ("place", ">u4")])
 
 
+def test_long_texts_match_in_a_short_passage(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    passage = words(60)
+    texts = [f"{words(2_500)} {passage} {words(2_500)}", f"{words(4_000)} {passage} {words(1_000)}", words(5_000), None, ""]
+    a, b, other = (brute_fingerprint(t) for t in texts[:3])
+    shared = len(np.intersect1d(a["hash"], b["hash"]))
+    assert shared > 40 and syncmers.alike(a, b) == shared / (len(a) + len(b) - shared) and syncmers.alike(a, other) < 1e-3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.fingerprint for r in syncmers.fingerprints(docs).collect()}
+    assert got[0] == a.tobytes().hex() and got[3] == got[4] == ""
+    rows = syncmers.occurrences(docs).collect()
+    at = {(r.doc_id, r.hash): r.place for r in rows}
+    both = [(r.place, at[1, r.hash]) for r in rows if r.doc_id == 0 and (1, r.hash) in at]
+    assert len(both) >= 40 and {texts[0][x : x + 16] == texts[1][y : y + 16] for x, y in both} == {True}
+
+
 def test_fingerprints_of_odd_rows(spark):
     out = {(r.doc_id, r.text): r.fingerprint for r in syncmers.fingerprints(odd_documents(spark)).collect()}
     assert all((f == "") == (not t) for (_, t), f in out.items())
