@@ -2,7 +2,8 @@
 
 One pattern finds the candidates and each is validated for what it may be: a card number by its
 check digit, an account number by its remainder, a date by the calendar, an address by
-its octets. A valid value is permuted under a key within the values of its format by a
+its octets. A candidate that is not valid as a whole is searched for valid parts between its
+groups, from each start the longest first. A valid value is permuted under a key within the values of its format by a
 Feistel network on its digits; where the result is not valid, it is permuted again until it is
 (cycle walking), so the map stays one to one. Equal values get equal pseudonyms in
 all documents, however they are spaced, and check digits are made anew. E-mail addresses,
@@ -19,6 +20,10 @@ KINDS = ("email", "date", "iban", "ip", "card", "ssn", "phone")
 ROUNDS = 8
 WALKS = 40
 _FIRST_DAY, _DAYS = "1900-01-01", 73_049
+# the other days that the patterns match, a domain of their own
+_EARLY, _LATE = "1000-01-01", "2100-01-01"
+_EARLY_DAYS, _OTHER_DAYS = 328_718, 657_436
+GROUPS = 19
 
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++"
 ISO_DATE = r"(?<![0-9.\-])[12][0-9]{3}-[0-9]{2}-[0-9]{2}(?![0-9])(?!-[0-9])"
@@ -32,7 +37,9 @@ PHONE = (
     r"|(?<![0-9A-Za-z+.\-])(?:\+[0-9]{1,3}[ .\-])?[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![0-9])"
     r"|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){3,4}(?![0-9])"
 )
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, ISO_DATE, DAY_DATE, IBAN, IP, SSN, PHONE, CARD))
+# runs may be longer than what is valid; parts of them are tried
+_IBAN_RUN, _CARD_RUN = IBAN.replace("{2,7}", "{2,}"), CARD.replace("{12,18}", "{12,}")
+ANY = "|".join(f"(?:{p})" for p in (EMAIL, ISO_DATE, DAY_DATE, _IBAN_RUN, IP, SSN, PHONE, _CARD_RUN))
 
 
 def _digits(text: Column) -> Column:
@@ -135,8 +142,12 @@ def _index(value: Column) -> Column:
 
 
 def _date_permuted(value: Column, key: str) -> Column:
-    moved = walk(F.lpad(_index(value).cast("string"), 5, "0"), key, "date", lambda d: d.cast("int") < _DAYS)
-    day = F.date_add(F.lit(_FIRST_DAY).cast("date"), moved.cast("int"))
+    index, first = _index(value), lambda day: F.lit(day).cast("date")
+    moved = walk(F.lpad(index.cast("string"), 5, "0"), key, "date", lambda d: d.cast("int") < _DAYS).cast("int")
+    other = F.when(index < 0, F.datediff(_day(value), first(_EARLY))).otherwise(F.datediff(_day(value), first(_LATE)) + _EARLY_DAYS)
+    other = walk(F.lpad(other.cast("string"), 6, "0"), key, "other date", lambda d: d.cast("int") < _OTHER_DAYS).cast("int")
+    far = F.when(other < _EARLY_DAYS, F.date_add(first(_EARLY), other)).otherwise(F.date_add(first(_LATE), other - _EARLY_DAYS))
+    day = F.when((index >= 0) & (index < _DAYS), F.date_add(first(_FIRST_DAY), moved)).otherwise(far)
     local = F.date_format(day, "dd.MM.yyyy")
     return F.when(value.rlike("^[0-9]{4}-"), F.date_format(day, "yyyy-MM-dd")).when(
         value.contains("/"), F.replace(local, F.lit("."), F.lit("/"))
@@ -150,12 +161,11 @@ def _whole(pattern: str) -> str:
 def kind_of(value: Column) -> Column:
     """What a candidate is, or NULL if it is not valid as anything."""
     digits, compact = _digits(value), F.replace(value, F.lit(" "), F.lit(""))
-    index = _index(value)
     octets = F.split(value, r"\.")
     return (
         F.when(value.contains("@"), "email")
-        .when(value.rlike(_whole(ISO_DATE)) | value.rlike(_whole(DAY_DATE)), F.when((index >= 0) & (index < _DAYS), "date"))
-        .when(value.rlike("^[A-Z]"), F.when(mod97(compact) == 1, "iban"))
+        .when(value.rlike(_whole(ISO_DATE)) | value.rlike(_whole(DAY_DATE)), F.when(_day(value).isNotNull(), "date"))
+        .when(value.rlike("^[A-Z]"), F.when(value.rlike(_whole(IBAN)) & (mod97(compact) == 1), "iban"))
         .when(value.rlike(_whole(IP)), F.when(F.forall(octets, lambda x: x.cast("int") <= 255), "ip"))
         .when(value.rlike(_whole(SSN)), F.when(_ssn_valid(digits), "ssn"))
         .when(value.rlike(_whole(CARD)) & (luhn_sum(digits) % 10 == 0), "card")
@@ -163,6 +173,48 @@ def kind_of(value: Column) -> Column:
     )
 
 
+def parts_of(value: Column) -> Column:
+    """A candidate in pieces (kind, value) that make it up; kind is NULL for what is not personal."""
+    groups = F.split(value, r"(?<=[ \-])")
+    n = F.size(groups)
+    piece = lambda kind, text: F.struct(kind.cast("string").alias("kind"), text.alias("value"))
+    none = F.lit(None)
+
+    def spans(i: Column) -> Column:
+        """Valid parts from group ``i`` on, the longest first."""
+        each = F.transform(
+            F.sequence(F.least(i + GROUPS - 1, n), i, F.lit(-1)),
+            lambda j: F.struct(j.alias("j"), F.array_join(F.slice(groups, i, j - i + 1), "").alias("text")),
+        )
+        each = F.transform(each, lambda x: F.struct(x["j"].alias("j"), x["text"].alias("text"), F.regexp_replace(x["text"], r"[ \-]$", "").alias("core")))
+        each = F.filter(each, lambda x: F.char_length(x["core"]).between(8, 45))
+        each = F.transform(each, lambda x: x.withField("kind", kind_of(x["core"])))
+        # other kinds do not begin or end at a hyphen
+        apart = lambda x: ~x["text"].endswith("-") & ((i == 1) | ~F.get(groups, i - 2).endswith("-"))
+        return F.filter(each, lambda x: x["kind"].isin("card", "iban") | (x["kind"].isNotNull() & apart(x)))
+
+    def step(state: Column, i: Column) -> Column:
+        def chosen(best: Column) -> Column:
+            rest = F.substring(best["text"], F.char_length(best["core"]) + 1, F.lit(1))
+            return F.when(
+                best.isNull(), F.struct((i + 1).alias("next"), F.array_append(state["out"], piece(none, F.get(groups, i - 1))).alias("out"))
+            ).otherwise(
+                F.struct(
+                    (best["j"] + 1).alias("next"),
+                    F.concat(state["out"], F.array(piece(best["kind"], best["core"]), piece(none, rest))).alias("out"),
+                )
+            )
+
+        return F.when(i < state["next"], state).otherwise(F.get(F.transform(F.array(F.get(spans(i), F.lit(0))), chosen), F.lit(0)))
+
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<kind: string, value: string>>").alias("out"))
+    searched = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda state: state["out"])
+    whole = F.array(F.struct(kind_of(value).alias("kind"), value.alias("value")))
+    return F.get(
+        F.transform(F.array(whole), lambda w: F.when(F.get(w, F.lit(0))["kind"].isNull() & (n > 1), searched).otherwise(w)), F.lit(0)
+    )
+
+
 def _ssn_valid(digits: Column) -> Column:
     return digits.rlike("^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$")
 
@@ -215,17 +267,18 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str = "fo
     """
     parts = fresh(docs, "_parts")
     candidates = F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
-    replaced = F.transform(candidates, lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
-    replaced = F.transform(replaced, lambda c: F.struct(c["kind"].alias("kind"), pseudonym(c["value"], c["kind"], key).alias("value")))
+    replaced = F.transform(candidates, lambda v: F.transform(
+        parts_of(v), lambda c: F.struct(c["kind"].alias("kind"), pseudonym(c["value"], c["kind"], key).alias("value"))
+    ))
     may = F.col(text).rlike("[0-9@]")
     out = docs.withColumn(parts, F.when(may, replaced))
-    tail = F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.lit("").alias("value")))
+    tail = F.array(F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.lit("").alias("value"))))
     filled = F.array_join(
-        F.zip_with(F.split(F.col(text), ANY, -1), F.concat(F.col(parts), tail), lambda gap, p: F.concat(gap, p["value"])), ""
+        F.zip_with(F.split(F.col(text), ANY, -1), F.concat(F.col(parts), tail), lambda gap, p: F.concat(gap, F.array_join(F.transform(p, lambda x: x["value"]), ""))), ""
     )
     some = F.size(F.coalesce(F.col(parts), F.array())) > 0
     return (
         out.withColumn(text, F.when(some, filled).otherwise(F.col(text)))
-        .withColumn(found, F.coalesce(F.filter(F.col(parts), lambda p: p["kind"].isNotNull()), F.array().cast("array<struct<kind: string, value: string>>")))
+        .withColumn(found, F.coalesce(F.filter(F.flatten(parts), lambda p: p["kind"].isNotNull()), F.array().cast("array<struct<kind: string, value: string>>")))
         .drop(parts)
     )

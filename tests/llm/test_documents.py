@@ -1,5 +1,6 @@
 """Near-duplicates, leaks, personal data, chats, classifiers and the pipeline against brute force."""
 
+import datetime
 import hashlib
 import random
 import re
@@ -184,6 +185,23 @@ def test_pseudonyms_keep_format_and_link(spark):
     assert pii.pseudonymise(two, "another").filter(F.col("text") == new).count() == 0
 
 
+def test_valid_parts_of_what_is_not_valid(spark):
+    card, one, two = "4111 1111 1111 1111", "BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332"
+    rows = [
+        (f"{card} 12/27", "card", card), (f"{card} 123", "card", card), (f"77 {card}", "card", card), (f"7777 {card}", "card", card),
+        (f"{one} EUR", "iban", one), (f"{two} BIC", "iban", two), (f"ID12 {card}", "card", card), (f"ID12 2222 3333 4444 5556 {card}", "card", card),
+        ("born 1899-12-31", "date", "1899-12-31"), ("due 01.02.2100", "date", "01.02.2100"),
+    ]
+    docs = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(rows)], "doc_id int, text string")
+    for r in pii.pseudonymise(docs, "key").collect():
+        text, kind, value = rows[r.doc_id]
+        assert kind in [f.kind for f in r.found] and value not in r.text and len(r.text) == len(text), (text, r)
+        for end in (text.split(value)[1], ""):
+            assert r.text.endswith(end)
+    assert pii._EARLY_DAYS == (datetime.date(1900, 1, 1) - datetime.date(1000, 1, 1)).days
+    assert pii._OTHER_DAYS == pii._EARLY_DAYS + (datetime.date(2999, 12, 31) - datetime.date(2100, 1, 1)).days + 1
+
+
 def test_permutations_are_one_to_one(spark):
     for n in (2, 3, 4):
         digits = spark.range(10**n).select(F.lpad(F.col("id").cast("string"), n, "0").alias("d"))
