@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tarnfold.llm import bpe, chat, decontaminate, language_id, near_dedup, pii, quality, secrets, syncmers, token_counts
+from tarnfold.llm import bpe, chat, decontaminate, language_id, near_dedup, pii, quality, secrets, stream_dedup, syncmers, token_counts
 from tarnfold.llm.common import remainder, table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,3 +162,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contaminations(docs, table(spark, sf_dir, "benchmark"))
+
+
+_EXACT_SQL = """
+WITH given AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM given WINDOW w AS (PARTITION BY t)
+"""
+
+
+@query("op13_exact_dedup", _EXACT_SQL)
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
