@@ -80,6 +80,8 @@ def absorb(
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+    # a store reserves 4 MB for its log of files otherwise, however small it is
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     # ages count for growing folders only: here every file is taken, however old
     reader = own.readStream.schema(spark.read.parquet(source).schema).option("maxFileAge", "36500d").option("maxBytesPerTrigger", str(batch_bytes))
     rows = _located(reader.parquet(_pattern(source)), key, text)
