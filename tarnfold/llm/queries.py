@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tarnfold.llm import bpe, chat, decontaminate, language_id, near_dedup, pii, quality, secrets, stream_dedup, syncmers, token_counts
+from tarnfold.llm import bpe, chat, decontaminate, language_id, lexical, near_dedup, pii, prefix_trie, quality, secrets, stream_dedup, syncmers, token_counts
 from tarnfold.llm.common import remainder, table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,6 +164,77 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(docs, table(spark, sf_dir, "benchmark"))
 
 
+# the crc32 of the decimal id is taken byte by byte, with eight steps each
+_TRIE_SQL = """
+WITH given AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place
+  FROM conversations
+), convs AS (
+  SELECT c, c - c % 5 AS base, xor(4294967295, list_reduce([4294967295] || list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT),
+    lambda a, b: list_reduce([xor(a, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 9 AS h,
+  FROM (SELECT DISTINCT conv_id::BIGINT AS c FROM conversations)
+), lent AS (
+  SELECT c, h, base, count(place) AS lent FROM convs LEFT JOIN given ON conv_id = base AND place <= h GROUP BY ALL
+), rebuilt AS (
+  SELECT c, place AS depth, role, text FROM lent JOIN given ON conv_id = base AND place <= h
+  UNION ALL SELECT c, lent + place - h, role, text FROM lent JOIN given ON conv_id = c AND place > h
+), paths AS (
+  SELECT c, depth, strlen(text) AS bytes, string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY depth) AS path FROM rebuilt
+  UNION ALL SELECT c, 0, 0, '' FROM convs
+), nodes AS (
+  SELECT depth, path, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM paths GROUP BY depth, path
+), children AS (
+  SELECT depth - 1 AS depth, left(path, 64 * (depth - 1)) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL
+), counted AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (depth, path)),
+upward AS (
+  SELECT unnest(range(0, depth + 1)) AS depth, path AS whole, CASE WHEN n_children = 0 THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * bytes AS saved FROM counted
+), sums AS (SELECT depth, left(whole, 64 * depth) AS path, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM upward GROUP BY ALL),
+lasts AS (SELECT c, max(depth) AS depth, max_by(path, depth) AS path FROM paths GROUP BY c),
+ends AS (SELECT depth, path, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS sha FROM lasts GROUP BY depth, path)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n.n_children::BIGINT AS n_children,
+  n_leaves, saved_tokens, coalesce(sha, sha256('')) AS ends_sha256
+FROM counted n JOIN sums USING (depth, path) LEFT JOIN ends USING (depth, path)
+  LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = left(n.path, 64 * (n.depth - 1))
+"""
+
+
+@query("op11_prefix_trie", _TRIE_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+_RANKED_SQL = r"""
+WITH given AS (
+  SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), occurrences AS (
+  SELECT r, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM given
+), tf AS (SELECT r, term, count(*) AS tf FROM occurrences GROUP BY ALL),
+lengths AS (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+whole AS (SELECT count(*) AS texts, sum(n)::BIGINT AS total FROM lengths),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(texts) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, whole GROUP BY term
+), asked AS (
+  SELECT i, item_id, term, count(*) AS q FROM (
+    SELECT i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS i, * FROM benchmark)
+  ) GROUP BY ALL
+), scores AS (
+  SELECT i, any_value(item_id) AS item_id, r, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * texts) // total))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN lengths USING (r), whole GROUP BY i, r
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores JOIN given USING (r) WHERE score > 0
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op12_ranked_search", _RANKED_SQL)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.search(docs, table(spark, sf_dir, "benchmark"))
+
+
 _EXACT_SQL = """
 WITH given AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
