@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tarnfold.operators.joins import cross_grid, grid_literal
-from tarnfold.operators.metrics import confusion, f1_from_confusion, ranking_scores, weakest_two
+from tarnfold.operators.metrics import AP_SHARE, AUC_SHARE, confusion, f1_from_confusion, ranking_scores, weakest_two
 from tarnfold.operators.stats import best_config, top
 
 
@@ -133,6 +133,57 @@ def blend_search(
     return ranked.select("config_id", weights.alias("weights"), "auc", "ap", "composite")
 
 
+def blend_bounds(
+    df: DataFrame, scores: Sequence[str], grid: Sequence[Sequence[float]], y: str = "y", bins: int = 1024
+) -> DataFrame:
+    """Least and greatest composite that each weighted sum can have: ``(config_id, low, high)``, from one scan.
+
+    What is shuffled is a count of each class per configuration and bin of the sum, whatever the number of rows. Rows
+    of one bin may stand in any order: pairs inside it win all or none, and the precision at its positives is
+    between that of its first with all negatives before it and that of its last with none.
+    """
+    configs = [{"config_id": i, "weights": list(map(float, w))} for i, w in enumerate(grid)]
+    known = df.select(y, *scores).dropna()
+    span = known.agg(*[F.min(s).alias(f"low_{s}") for s in scores], *[F.max(s).alias(f"high_{s}") for s in scores])
+    span = span.agg(F.first(F.struct("*")).alias("s")).scalar()
+    edge = lambda w, s, near, far: w * F.when(w >= 0, F.col(f"_s.{near}_{s}")).otherwise(F.col(f"_s.{far}_{s}"))
+    weight = [F.get(F.col("weights"), i) for i in range(len(scores))]
+    mixed = reduce(lambda a, b: a + b, [F.col(s) * w for s, w in zip(scores, weight)])
+    least = reduce(lambda a, b: a + b, [edge(w, s, "low", "high") for s, w in zip(scores, weight)])
+    most = reduce(lambda a, b: a + b, [edge(w, s, "high", "low") for s, w in zip(scores, weight)])
+    place = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(F.try_divide((mixed - least) * bins, most - least))))
+    tried = cross_grid(known.withColumn("_s", span), configs).select("config_id", y, F.coalesce(place, F.lit(0)).alias("bin"))
+    counts = tried.groupBy("config_id", "bin").agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("q"))
+    upto = W.partitionBy("config_id").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy("config_id")
+    below = F.coalesce(F.sum("q").over(upto), F.lit(0))
+    p_before = F.coalesce(F.sum("p").over(upto), F.lit(0))
+    sums = counts.withColumns({"below": below, "pp": F.sum("p").over(whole), "qq": F.sum("q").over(whole), "p_before": p_before})
+    p_above, q_above = F.col("pp") - F.col("p_before") - F.col("p"), F.col("qq") - F.col("below") - F.col("q")
+    some = F.col("p") > 0
+    first = F.when(some, F.col("p") * (p_above + 1) / (p_above + 1 + q_above + F.col("q"))).otherwise(0.0)
+    last = F.when(some, F.col("p") * (p_above + F.col("p")) / (p_above + F.col("p") + q_above)).otherwise(0.0)
+    auc = lambda inside: F.try_divide(F.sum(F.col("p") * (F.col("below") + inside)).cast("double"), F.max("pp") * F.max("qq"))
+    ap = lambda part: F.try_divide(F.sum(part), F.max("pp"))
+    return sums.groupBy("config_id").agg(
+        (AUC_SHARE * auc(F.lit(0)) + AP_SHARE * ap(first)).alias("low"), (AUC_SHARE * auc(F.col("q")) + AP_SHARE * ap(last)).alias("high")
+    )
+
+
+def best_blend(
+    df: DataFrame, scores: Sequence[str], grid: Sequence[Sequence[float]], y: str = "y", bins: int = 1024
+) -> DataFrame:
+    """The row of :func:`blend_search` with the best composite (the first, if several): exact scores are
+    taken of those configurations only that can still win by their bounds."""
+    bounds = blend_bounds(df, scores, grid, y, bins).collect()  # one row per configuration
+    known = [r for r in bounds if r.low is not None]
+    limit = max((r.low for r in known), default=0.0) - 1e-9
+    able = sorted(r.config_id for r in known if r.high >= limit) or list(range(len(grid)))
+    board = blend_search(df, scores, [grid[i] for i in able], y)
+    numbers = F.array(*[F.lit(i) for i in able])
+    return choose_best(board).withColumn("config_id", F.get(numbers, F.col("config_id").cast("int")).cast("long"))
+
+
 def convex_grid(weights: Sequence[float]) -> list[list[float]]:
     return [[float(w), 1.0 - float(w)] for w in weights]
 

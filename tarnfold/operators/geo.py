@@ -1,27 +1,38 @@
-"""Great-circle joins and neighbour features without all-pairs work in dense places."""
+"""Great-circle joins and neighbour features without all-pairs work in dense places.
+
+Neighbour features are complete per row and radius. Where few rows are near, a row is compared with all
+of them. Where many are, it starts among rows of its own categories in a cell so small that they can just fill
+its slots: with a bound b on the order value, all rows below b are found by looking, for every set of
+categories that may differ, as far as the rest of b reaches. A slot with enough rows below b is settled; the
+others go on with a bound four times as large. Levels end where the data has no more crowded cells.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import replace
 from functools import reduce
-from itertools import product
+from itertools import combinations, product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tarnfold.operators import neighbors
 from tarnfold.operators.encode import fit_scaling, standardize
 from tarnfold.operators.joins import cross_grid, grid_literal, lookup, measured
+from tarnfold.operators.neighbors import EARTH_KM, Ring, Search, Slot
 from tarnfold.operators.stats import pearson
 from tarnfold.operators.windows import seeded_sample
 from tarnfold.session import cut_lineage, shuffle_partitions
 
-EARTH_KM = 6371.0
 # Reference rows of one cell that meet in one task before the cell is split.
 CELL_ROWS = 20_000
-# A cell with more rows than this makes the search start from small cells.
-DENSE_ROWS = 5_000
-LEVELS = 8
-SHRINK = 2.0
+# A row is compared with all rows within reach if they are no more than this.
+DIRECT_ROWS = 4_096
+# Cells are not made smaller than this; rows that crowd such a cell stand at one place.
+FINEST_KM = 1e-4
 NEAREST_POSITIVE, NEAREST_NEGATIVE = -1.0, -2.0
 
 
@@ -152,28 +163,6 @@ def _limits(wanted: Sequence[tuple[int, float]]) -> dict[float, int]:
     return limits
 
 
-def _first_per_key(
-    pairs: DataFrame,
-    by: Sequence[str],
-    y: str,
-    limits: Mapping[float, int],
-    order: str,
-    classes: Sequence[float] = (NEAREST_POSITIVE, NEAREST_NEGATIVE),
-) -> DataFrame:
-    """The nearest rows of every slot: ``k`` within each max distance, one of each class."""
-    slots = [f"if(km <= {d}D, {d}D, null)" for d in limits]
-    slots += [f"if(n_{y} = {1 if c == NEAREST_POSITIVE else 0}, {c}D, null)" for c in classes]
-    long = pairs.selectExpr(
-        *by, "n_id", "km", "mixed", f"n_{y} as label", f"explode(array_compact(array({', '.join(slots)}))) as d"
-    )
-    # one bound for all slots lets Spark drop rows before the shuffle; trimmed per slot after
-    sort = "mixed" if order == "combined" else "km"
-    number = f"row_number() over (partition by {', '.join([*by, 'd'])} order by {sort}, n_id)"
-    ranked = long.selectExpr("*", f"{number} as rank").filter(f"rank <= {max([1, *limits.values()])}")
-    keep = " ".join(f"when d = {d}D then {k}" for d, k in limits.items())
-    return ranked.filter(f"rank <= case when d < 0 then 1 {keep} end").drop("mixed")
-
-
 def _features(first: DataFrame, by: Sequence[str], wanted: Sequence[tuple[int, float]]) -> DataFrame:
     cells = []
     for k, d in wanted:
@@ -210,7 +199,6 @@ def neighbor_features(
     fold: str | None = None,
     default: Column | float | None = None,
     order: str = "combined",
-    dense_rows: int = DENSE_ROWS,
 ) -> DataFrame:
     """Label mean, count and mean distance of the k most similar rows within each radius.
 
@@ -237,49 +225,39 @@ def neighbor_features(
     points = cut_lineage(prepared(df if itself else ref, [y]).repartition(tasks, "id"))
     queries = points.drop(y) if itself else cut_lineage(prepared(df).repartition(tasks, "id"))
     limits = _limits(wanted)
-    most, far = max(limits.values()), max(limits)
-    carry = [c for c in points.columns if c not in ("id", lat, lon)]
-
-    # Equal rows are at equal distance from everything and ties go by id, so only the
+    far = max(limits)
+    shared = (cat, num) if order == "combined" else (0.0, 0.0)
+    weights = (geo if order == "combined" else 1.0, *[shared[0] / len(cats) for _ in cats], *[shared[1] / len(zs) for _ in zs])
+    slots = [Slot(d, d, k) for d, k in limits.items()]
+    slots += [Slot(NEAREST_POSITIVE, far, 1, label=1), Slot(NEAREST_NEGATIVE, far, 1, label=0)]
+    search = Search(tuple(cats), tuple(zs), (weights,), tuple(slots), y, fold, None, itself)
+
+    # Rows that are equal in all that counts are at equal distance from everything and ties go by id, so only the
     # first k + 1 of them can ever be chosen. Exact, and a pile of copies costs nothing.
-    alike = W.partitionBy(*[c for c in points.columns if c != "id"]).orderBy("id")
+    same = [lat, lon, y, *([fold] if fold else [])] + [c for c, w in zip([*cats, *zs], weights[1:]) if w]
+    alike = W.partitionBy(*dict.fromkeys(same)).orderBy("id")
+    most = max([1, *limits.values()])
     points = points.withColumn("_copy", F.row_number().over(alike)).filter(F.col("_copy") <= most + 1).drop("_copy")
 
-    def ranked(pairs: DataFrame, slots: Mapping[float, int], classes: Sequence[float]) -> DataFrame:
+    def ranked(pairs: DataFrame, below: float | None = None) -> DataFrame:
+        """The exact ranking of a few candidates per slot."""
+        pairs = pairs.withColumn("km", haversine_km(lat, lon, f"n_{lat}", f"n_{lon}"))
+        pairs = pairs.filter(F.col("km") <= F.when(F.col("d") > 0, F.col("d")).otherwise(far))
         if itself:
             pairs = pairs.filter(F.col("id") != F.col("n_id"))
         if fold:
             pairs = pairs.filter(~F.col(fold).eqNullSafe(F.col(f"n_{fold}")))
-        return _first_per_key(pairs, ["id"], y, slots, order, classes)
-
-    def full(some: DataFrame, among: DataFrame, slots: Mapping[float, int], classes: Sequence[float]) -> DataFrame:
-        pairs = radius_join(some, among, far, "id", lat, lon, carry=carry)
-        return ranked(pairs.withColumn("mixed", mixed_distance(cats, zs, geo, cat, num)), slots, classes)
-
-    if order == "distance":
-        bounds = (1.0, 0.0, 0.0)
-    else:
-        bounds = (geo, cat, num)
-    sizes = points.groupBy(cell_of(lat, lon, far).alias("c")).agg(F.count("*").alias("n"))
-    if bounds[0] > 0 and not sizes.filter(F.col("n") > dense_rows).isEmpty():
-        # The classes are looked for among their own rows: where one is rare, its rows are
-        # few, and a place without them does not send everybody to the plain join.
-        parts = [
-            (points, limits, ()),
-            (points.filter(F.col(y) == 1), {}, (NEAREST_POSITIVE,)),
-            (points.filter(F.col(y) == 0), {}, (NEAREST_NEGATIVE,)),
-        ]
-        first = reduce(
-            DataFrame.unionByName,
-            [
-                _search_by_level(
-                    queries, among, slots, classes, full, ranked, cats, zs, (geo, cat, num), bounds, order, lat, lon, far
-                )
-                for among, slots, classes in parts
-            ],
-        )
-    else:
-        first = full(queries, points, limits, (NEAREST_POSITIVE, NEAREST_NEGATIVE))
+        value = mixed_distance(cats, zs, geo, cat, num) if order == "combined" else F.col("km")
+        pairs = pairs.withColumn("_value", value)
+        if below is not None:
+            pairs = pairs.filter(F.col("_value") < (below if order == "combined" else 1000 * below))
+        # dealt out by id once, for the ranks and for the features of a row
+        pairs = pairs.select("id", "d", "n_id", "km", "_value", F.col(f"n_{y}").alias("label")).repartition(tasks, "id")
+        rank = F.row_number().over(W.partitionBy("id", "d").orderBy("_value", "n_id"))
+        first = pairs.withColumn("rank", rank).filter(F.col("rank") <= most)
+        return first.filter(F.col("rank") <= _asked(slots)).select("id", "n_id", "km", "label", "d", "rank")
+
+    first = _nearest(points, queries, search, ranked, lat, lon)
     found = _features(first, ["id"], wanted)
     means = [f"nn{k}_max{d:g}_target_mean" for k, d in wanted]
     out = df.join(found.withColumnRenamed("id", key) if key != "id" else found, key, "left")
@@ -289,94 +267,130 @@ def neighbor_features(
     return out.withColumns({c: F.coalesce(F.col(c), v) for c, v in fills.items()})
 
 
-def _search_by_level(
-    queries, points, limits, classes, full, ranked, cats, zs, weights, bounds, order, lat, lon, far
-) -> DataFrame:
-    """Exact k-nearest search that starts from small cells where the data is dense.
+def _asked(slots: Sequence[Slot]) -> Column:
+    """How many rows the slot of column ``d`` wants."""
+    k = F.lit(1)
+    for slot in slots:
+        k = F.when(F.col("d") == slot.code, slot.k).otherwise(k)
+    return k
 
-    Level j bounds the distance by b_j: a row at less than b_j is nearer than b_j in
-    space, in every number and (once b_j is below the price of one differing category)
-    in all categories, so it lies in the adjoining cells of that level. If those cells
-    fill every slot with rows below b_j, nothing outside can displace them. Queries not
-    settled this way move one level up; level 0 is the plain radius join.
-    """
-    geo, cat, num = weights
-    b_geo, b_cat, b_num = bounds  # what each term adds at least to the search order
-    base = b_geo * far / 1000.0
-    most = max([1, *limits.values()])
 
-    def bound(j: int) -> float:
-        return base / SHRINK**j
-
-    def radius(j: int) -> float:
-        return 1000.0 * bound(j) / b_geo
-
-    def width(j: int) -> float | None:
-        return bound(j) * len(zs) / b_num if zs and b_num > 0 else None
-
-    def key_sql(j: int, place: str, shift: Sequence[int]) -> str:
-        parts = [f"'{j}'", f"cast({place} as string)"]
-        if width(j):
-            parts += [
-                f"cast(floor(coalesce({z}, 0D) / {width(j)!r}D) + {o} as string)" for z, o in zip(zs, shift)
-            ]
-        if cats and b_cat > 0 and bound(j) <= b_cat / len(cats):
-            parts += [f"coalesce(cast({c} as string), '\\0')" for c in cats]
-        return f"concat_ws('\\1', {', '.join(parts)})"
-
-    def own(j: int) -> Column:
-        return F.expr(key_sql(j, cell_sql(lat, lon, radius(j)), [0] * len(zs)))
-
-    def around(j: int) -> Column:
-        shifts = list(product((-1, 0, 1), repeat=len(zs))) if width(j) else [()]
-        keys = ", ".join(key_sql(j, "place", s) for s in shifts)
-        return F.expr(f"flatten(transform({around_sql(lat, lon, radius(j))}, place -> array({keys})))")
-
-    levels = range(1, LEVELS + 1)
-    located = points.withColumn("_at", F.explode(F.array(*[own(j) for j in levels])))
-    crowded = located.groupBy("_at").agg(F.count("*").alias("_n")).filter(F.col("_n") > most + 1)
-    mine = queries.select(
-        "id",
-        F.posexplode(F.array(*[own(j) for j in levels])).alias("_pos", "_at"),
-    )
-    seen = lookup(mine, crowded.select("_at", F.col("_n").alias("rows"), F.lit(True).alias("full")), "_at", weight="rows")
-    # start where one's own cell alone could fill every slot
-    start = seen.filter("full").groupBy("id").agg((F.max("_pos") + 1).alias("_level"))
-    open_ = cut_lineage(
-        queries.join(start, "id", "left").withColumn("_level", F.coalesce(F.col("_level"), F.lit(0)))
-    )
-    names = {c: f"n_{c}" for c in points.columns}
+def _bits(slots: Sequence[Slot], want) -> int:
+    return sum(1 << i for i, slot in enumerate(slots) if want(slot))
+
+
+def _nearest(points: DataFrame, queries: DataFrame, search: Search, ranked, lat: str, lon: str) -> DataFrame:
+    """The rows of every slot, slot by slot the cheapest way that is certain to be complete."""
+
+    def own(km: float) -> Column:
+        return cell_of(lat, lon, km)
+
+    def around(km: float) -> Column:
+        return cells_around(lat, lon, km)
+
+    def pairs(refs: DataFrame, some: DataFrame, rings: Sequence[Ring], bound: float | None = None, crowded=None) -> DataFrame:
+        return neighbors.candidates(refs, some, rings, replace(search, bound=bound), own, around, lat, lon, crowded)
+
+    slots = search.slots
+    radii = sorted({slot.km for slot in slots}, reverse=True)
+    todo = queries.withColumn("_open", F.lit(_bits(slots, lambda s: True)).cast("long"))
     done = []
-    for j in reversed(levels):
-        now = open_.filter(F.col("_level") == j)
-        if now.isEmpty():
-            continue
-        ref = _ref_side(points.withColumn("_at", own(j)), {**names, "_at": "_at"})
-        pairs = (
-            _meet(now.withColumn("_at", F.explode(around(j))), ref, "_at", "n_id")
-            .withColumn("km", haversine_km(lat, lon, f"n_{lat}", f"n_{lon}"))
-            .filter(F.col("km") <= far)
-            .withColumn("mixed", mixed_distance(cats, zs, geo, cat, num))
-        )
-        reachable = F.col("km") < radius(j) if order == "distance" else F.col("mixed") < bound(j)
-        first = cut_lineage(ranked(pairs.filter(reachable), limits, classes))
-        filled = F.lit(0)
-        for d, k in limits.items():
-            filled = filled + F.count_if((F.col("d") == d) & (F.col("rank") == k))
-        filled = filled + F.count_if(F.col("d") < 0)
-        settled = (
-            first.groupBy("id").agg(filled.alias("f")).filter(F.col("f") == len(limits) + len(classes)).select("id")
-        )
-        done.append(first.join(settled, "id", "left_semi"))
-        open_ = cut_lineage(
-            open_.join(settled, "id", "left_anti").withColumn(
-                "_level", F.when(F.col("_level") == j, j - 1).otherwise(F.col("_level"))
-            )
-        )
-    done.append(full(open_.drop("_level"), points, limits, classes))
+    for km in radii:
+        sizes = neighbors.sizes(points, todo, Ring(km), own, around)
+        crowded = measured(sizes.filter((F.col("refs") > DIRECT_ROWS) | (F.col("queries") > neighbors.CELL_ROWS)))
+        if crowded[1] == 0:
+            done.append(ranked(pairs(points, todo, [Ring(km)], crowded=crowded)))
+            return reduce(DataFrame.unionByName, done)
+        cells = crowded[0].filter(F.col("refs") > DIRECT_ROWS).select(F.col("cell").alias("_cell"), "queries", F.lit(True).alias("_dense"))
+        told = lookup(todo.withColumn("_cell", own(km)), cells, "_cell", weight="queries").drop("_cell")
+        near = F.lit(_bits(slots, lambda s: s.km <= km)).cast("long")  # noqa: B023
+        told = cut_lineage(told.withColumn("_now", F.when(F.col("_dense").isNull(), F.col("_open").bitwiseAND(near)).otherwise(F.lit(0))))
+        now = told.filter("_now <> 0").withColumn("_open", F.col("_now")).drop("_now", "_dense")
+        done.append(ranked(pairs(points, now, [Ring(km)])))
+        todo = told.withColumn("_open", F.col("_open") - F.col("_now")).filter("_open <> 0").drop("_now", "_dense")
+    if todo.isEmpty():
+        return reduce(DataFrame.unionByName, done)
+    # The classes are looked for among their own rows: where one is rare, its rows are few.
+    for refs, mine in (
+        (points, _bits(slots, lambda s: s.label is None)),
+        (points.filter(F.col(search.label) == 1), _bits(slots, lambda s: s.label == 1)),
+        (points.filter(F.col(search.label) == 0), _bits(slots, lambda s: s.label == 0)),
+    ):
+        asked = todo.withColumn("_open", F.col("_open").bitwiseAND(F.lit(mine).cast("long"))).filter("_open <> 0")
+        done += _by_level(refs, asked, replace(search, slots=slots), ranked, pairs, own, [s for i, s in enumerate(slots) if mine >> i & 1])
     return reduce(DataFrame.unionByName, done)
 
 
+def _by_level(refs: DataFrame, asked: DataFrame, search: Search, ranked, pairs, own, slots: Sequence[Slot]) -> list[DataFrame]:
+    """Search from small bounds to large ones, and within the radius itself what no bound settles."""
+    weights = search.orders[0]
+    far, most = max(s.km for s in slots), max(s.k for s in slots)
+    prices = {c: w for c, w in zip(search.cats, weights[1:]) if w > 0}
+    plain = not any(weights[1:])  # the order is the distance: a level covers its circle
+    base = weights[0] * far / 1000.0
+    bit = {s.code: 1 << search.slots.index(s) for s in slots}
+    done: list[DataFrame] = []
+
+    def bound(j: int) -> float:
+        return base / 4.0**j
+
+    def rings(b: float) -> list[Ring]:
+        reach = lambda left: min(far, 1000.0 * left / weights[0])
+        if not prices:
+            return [Ring(reach(b))]
+        sets = [x for n in range(len(prices) + 1) for x in combinations(prices, n)]
+        return [Ring(reach(left), x) for x in sets if (left := b - sum(prices[c] for c in x)) > 0]
+
+    def key(j: int) -> Column:
+        return F.xxhash64(F.lit(j), own(rings(bound(j))[0].km), *[F.col(c).cast("string") for c in prices])
+
+    open_ = asked.withColumn("_level", F.lit(0))
+    finest = int(math.log2(far / FINEST_KM) / 2)
+    levels = range(1, 7)
+    while weights[0] > 0 and levels:
+        at = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), key(j).alias("at")) for j in levels])).alias("_k")
+        crowded = refs.select(at).groupBy("_k.at").agg(F.count("*").alias("_n")).filter(F.col("_n") >= 2 * most)
+        crowded, n = measured(crowded)
+        if n == 0:
+            break
+        told = lookup(asked.select("id", at).select("id", "_k.j", "_k.at"), crowded.withColumn("_met", F.col("_n")), "at", weight="_n", rows=n)
+        start = told.filter("_met is not null").groupBy("id").agg(F.max("j").alias("_start"))
+        open_ = open_.join(start, "id", "left").withColumn("_level", F.coalesce("_start", "_level")).drop("_start")
+        levels = range(levels[-1] + 1, finest + 1)
+    open_ = cut_lineage(open_)
+    last = 0 if plain else -1  # a bound of four times the base is the largest
+    while weights[0] > 0:
+        j = open_.agg(F.max("_level")).first()[0]
+        if j is None or j < last:
+            break
+        now, b = open_.filter(F.col("_level") == j), bound(j)
+        first = cut_lineage(ranked(pairs(refs, now.drop("_level"), rings(b), b if not plain else None), None if plain and j == 0 else b))
+        if plain:
+            # inside the level's circle everything is seen
+            complete = [s for s in slots if s.km < 1000.0 * b / weights[0] or j == 0]
+        else:
+            complete = []
+        whole = first.groupBy("id", "d").agg(F.count("*").alias("n")).filter(F.col("n") >= _asked(slots)).select("id", "d")
+        if complete:
+            known = now.select("id", F.explode(F.array(*[F.lit(s.code) for s in complete])).alias("d"))
+            whole = whole.union(known).distinct()
+        done.append(first.join(whole, ["id", "d"], "left_semi"))
+        flag = F.lit(0)
+        for s in slots:
+            flag = F.when(F.col("d") == s.code, bit[s.code]).otherwise(flag)
+        closed = whole.groupBy("id").agg(F.sum(flag.cast("long")).alias("_closed"))
+        here = F.col("_level") == j
+        left = F.when(here, F.col("_open").bitwiseAND(F.bitwise_not(F.coalesce("_closed", F.lit(0).cast("long"))))).otherwise(F.col("_open"))
+        open_ = open_.join(closed, "id", "left").withColumn("_open", left).withColumn("_level", F.when(here, j - 1).otherwise(F.col("_level")))
+        open_ = cut_lineage(open_.filter("_open <> 0").drop("_closed"))
+    for km in sorted({s.km for s in slots}):
+        bits = F.lit(sum(bit[s.code] for s in slots if s.km == km)).cast("long")
+        rest = open_.withColumn("_open", F.col("_open").bitwiseAND(bits)).filter("_open <> 0").drop("_level")
+        if not rest.isEmpty():
+            done.append(ranked(pairs(refs, rest, [Ring(km)])))
+    return done
+
+
 def neighbor_grid_search(
     df: DataFrame,
     cat_sets: Sequence[Sequence[str]],
@@ -394,7 +408,8 @@ def neighbor_grid_search(
 ) -> DataFrame:
     """Score every (categories, numbers, weights) choice by its best feature correlation.
 
-    The pairs are joined once; each choice is a row of weights on the same terms.
+    Every row looks at its neighbours by distance, for all choices at once, and stops where no farther one can be
+    among the first of any choice. The few pairs that are left are ranked per choice next to each other.
     """
     if sample is not None:
         df = seeded_sample(df, sample, key=key, seed=seed)
@@ -410,20 +425,27 @@ def neighbor_grid_search(
     base = standardize(df, fit_scaling(df, nums), nums, suffix="_z") if nums else df
     base = base.select(F.col(key).alias("id"), lat, lon, *cats, *zs, F.col(y).alias("y"))
     base = cut_lineage(base.repartition(shuffle_partitions(df.sparkSession), "id"))
-    pairs = radius_join(base, base, km, "id", lat, lon, exclude_self=True, carry=[*cats, *zs, "y"])
-    # dealt out by id before the configurations multiply them: ranking and averaging per
-    # (configuration, id) then need no shuffle of the multiplied rows
-    pairs = pairs.repartition(shuffle_partitions(df.sparkSession), "id")
-    terms = [f"_w_{c} * if({c} <=> n_{c}, 0D, 1D)" for c in cats] + [f"_w_{z} * abs({z} - n_{z})" for z in zs]
-    mixed = " + ".join(["_geo * km / 1000D", *terms])
-    scored = cross_grid(pairs, grid).withColumn("mixed", F.expr(f"round({mixed}, 12)"))
-    first = _first_per_key(scored, ["config_id", "id"], "y", {float(km): k}, "combined")
-    found = _features(first, ["config_id", "id"], [(k, km)])
-    everyone = cross_grid(base.select("id", "y"), [{"config_id": g["config_id"]} for g in grid])
-    wide = everyone.join(found, ["config_id", "id"], "left")
-    count = f"nn{k}_max{km:g}_count"
-    wide = wide.withColumn(count, F.coalesce(F.col(count), F.lit(0)))
-    features = [c for c in found.columns if c not in ("config_id", "id")]
+    orders = tuple((r["_geo"], *[r[f"_w_{c}"] for c in [*cats, *zs]]) for r in grid)
+    slots = [Slot(0.0, float(km), n, i, one) for i in range(len(orders)) for n, one in ((k, None), (1, 1), (1, 0))]
+    search = Search(tuple(cats), tuple(zs), orders, tuple(slots), "y", pairs=True)
+    located = base.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    # of rows that are equal in all that counts only the first k + 1 can be chosen
+    alike = W.partitionBy(lat, lon, *cats, *zs, "y").orderBy("id")
+    refs = located.withColumn("_copy", F.row_number().over(alike)).filter(F.col("_copy") <= k + 1).drop("_copy")
+    pairs = neighbors.candidates(
+        refs, located.withColumn("_open", F.lit(0).cast("long")), [Ring(float(km))], search,
+        lambda r: cell_of(lat, lon, r), lambda r: cells_around(lat, lon, r), lat, lon,
+    )
+    pairs = pairs.withColumn("km", haversine_km(lat, lon, f"n_{lat}", f"n_{lon}")).filter(F.col("km") <= km)
+    terms = [F.expr(f"if({c} <=> n_{c}, 0D, 1D)").alias(c) for c in cats] + [F.expr(f"abs({z} - n_{z})").alias(z) for z in zs]
+    pairs = pairs.select("id", "n_id", F.col("n_y").alias("y"), "km", *terms)
+    # a row of its own for every row, whether it has neighbours or not
+    void = F.lit(None).cast("double")
+    alone = base.select("id", F.lit(None).cast(dict(base.dtypes)["id"]).alias("n_id"), F.col("y").cast("double"), *[void.alias(c) for c in ("km", *cats, *zs)])
+    both = pairs.union(alone).repartition(shuffle_partitions(df.sparkSession), "id").sortWithinPartitions("id", F.asc_nulls_first("n_id"))
+    features = ["target_mean", "count", "dist_mean", "positive", "negative"]
+    schema = ", ".join(["config_id int", "y double", *[f"{c} double" for c in features]])
+    wide = both.mapInArrow(_configurations(orders, [*cats, *zs], k), schema)
     scores = wide.groupBy("config_id").agg(
         *[F.when(F.count(c) > min_values, F.abs(pearson(c, "y"))).alias(c) for c in features]
     )
@@ -440,6 +462,48 @@ def neighbor_grid_search(
     )
 
 
+def _configurations(orders: Sequence[Sequence[float]], terms: Sequence[str], k: int):
+    """Features of every row under every choice of weights, from its candidate pairs (sorted by id)."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in neighbors.whole_groups(batches, ("id",)):
+            value = {c: table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("id", "y", "km", *terms)}
+            ids = value["id"]
+            group = np.cumsum(np.concatenate([[False], ids[1:] != ids[:-1]]))
+            pair = ~np.isnan(value["km"])
+            at, n = np.flatnonzero(pair), int(group[-1]) + 1
+            g, km, label = group[at], value["km"][at], value["y"][at]
+            own = np.full(n, np.nan)
+            own[group[~pair]] = value["y"][~pair]
+            for number, (first, *rest) in enumerate(orders, start=1):
+                mixed = first * km / 1000
+                for w, c in zip(rest, terms):
+                    if w:
+                        mixed = mixed + w * value[c][at]
+                mixed = np.round(np.where(np.isnan(mixed), neighbors.UNKNOWN, mixed), 12)
+                order = np.lexsort((np.arange(len(at)), mixed, g))
+                gs, ks, ls = g[order], km[order], label[order]
+                begin = np.searchsorted(gs, np.arange(n))
+                near = np.arange(len(gs)) - begin[gs] < k
+                count = np.bincount(gs[near], minlength=n).astype(float)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    mean = np.bincount(gs[near], weights=ls[near], minlength=n) / count
+                    away = np.bincount(gs[near], weights=ks[near], minlength=n) / count
+                nearest = []
+                for one in (1, 0):
+                    hit = np.flatnonzero(ls == one)
+                    who, where = np.unique(gs[hit], return_index=True)
+                    nearest.append(np.full(n, np.nan))
+                    nearest[-1][who] = ks[hit[where]]
+                columns = [own, mean, count, away, *nearest]
+                arrays = [pa.array(c, mask=np.isnan(c)) for c in columns]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, number, np.int32)), *arrays], names=["config_id", "y", *[f"f{i}" for i in range(5)]]
+                )
+
+    return score
+
+
 def k_distance_sweep(
     features: DataFrame, y: str, ks: Sequence[int], dists: Sequence[float], min_values: int = 10
 ) -> DataFrame:

@@ -58,9 +58,10 @@ def lookup(
 
     ``bounded`` states that the number of rows of ``dim`` is fixed by construction, and
     ``rows`` is a bound the caller has counted already. Otherwise ``dim`` is materialised and counted: small goes out as a broadcast, large
-    is shuffled on the key. With ``weight`` (rows of ``df`` per key) the hot keys of a
-    large ``dim`` are broadcast, at most HOT_SHARE of them, and their rows are spread by
-    a row hash instead of meeting in one task.
+    is shuffled on the key. Keys that are hot in ``df`` are found by ``weight`` (rows of ``df`` per
+    key, if ``dim`` has it) and by a frequent-items sketch of ``df``'s keys, which also sees those
+    that ``dim`` lacks; the rows of ``dim`` for them, at most a few HOT_SHARE, go out as a broadcast and their
+    rows are spread by a row hash instead of meeting in one task.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     default = default or {}
@@ -71,8 +72,6 @@ def lookup(
         bounded = rows <= BROADCAST_ROWS
     if bounded:
         out = _join_side(df, F.broadcast(_side(dim, keys, values)), keys, null_safe)
-    elif weight is None:
-        out = _join_side(df, _side(dim, keys, values), keys, null_safe)
     else:
         out = _split_lookup(df, dim, keys, values, weight, null_safe)
     return with_defaults(out, default)
@@ -95,33 +94,52 @@ def with_defaults(df: DataFrame, default: Mapping[str, object]) -> DataFrame:
     )
 
 
+def _key_hash(keys: Sequence[str]) -> Column:
+    return F.xxhash64(*[F.col(k) for k in keys])
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> list[int]:
+    """Hashes of the keys that may own more than 1 / HOT_SHARE of the rows, from one sketch of the key columns.
+
+    The sketch tracks eight times as many items as can be hot, so that no hot key is missed (its error
+    is below a HOT_SHARE-th), and there are never more than HOT_SHARE of them.
+    """
+    known = df.select(_key_hash(keys).alias("h"), F.lit(1).alias("one"))
+    met = known.agg(F.expr(f"approx_top_k(h, {HOT_SHARE}, {8 * HOT_SHARE})").alias("top"), F.count("*").alias("n")).first()
+    return [r["item"] for r in met.top if r["item"] is not None and r["count"] * HOT_SHARE > met.n]
+
+
 def _split_lookup(df, dim, keys, values, weight, null_safe):
-    total = dim.agg(F.sum(weight).alias("t")).scalar()
-    hot = dim.filter(F.col(weight) * F.lit(HOT_SHARE) > total).select(
+    hashes = set(hot_keys(df, keys))
+    if weight is not None:
+        total = dim.agg(F.sum(weight).alias("t")).scalar()
+        known = dim.filter(F.col(weight) * F.lit(HOT_SHARE) > total).select(_key_hash(keys).alias("h"))
+        hashes |= {r.h for r in known.collect()}
+    is_hot = _key_hash(keys).isin(sorted(hashes)) if hashes else F.lit(False)
+    hot = dim.filter(is_hot).select(
         *[F.col(k).alias(f"_h_{k}") for k in keys],
         *[F.col(v).alias(f"_h_{v}") for v in values],
-        F.lit(True).alias("_hot"),
+        F.lit(True).alias("_found"),
     )
     on = match([(F.col(k), F.col(f"_h_{k}")) for k in keys], null_safe)
-    tagged = df.join(F.broadcast(hot), on, "left").drop(*[f"_h_{k}" for k in keys])
-    apart = F.col("_hot").isNotNull()
+    tagged = df.withColumn("_hot", is_hot).join(F.broadcast(hot), on & F.col("_hot"), "left").drop(*[f"_h_{k}" for k in keys])
+    apart = F.col("_hot")
     if not null_safe:
         for k in keys:
             apart = apart | F.col(k).isNull()
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(1 << 30)) + 1
     tagged = tagged.withColumn("_salt", F.when(apart, spread).otherwise(F.lit(0)).cast("long"))
-    # least(weight, 0) is 0 on every row, but not a literal the optimizer would fold away,
-    # so the salt stays part of the shuffle key
+    # a zero that is not a literal the optimizer would fold away, so the salt stays part of the shuffle key
     cold = dim.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         *[F.col(v).alias(f"_c_{v}") for v in values],
-        F.least(F.col(weight), F.lit(0)).cast("long").alias("_zero"),
+        F.pmod(_key_hash(keys), F.lit(1)).cast("long").alias("_zero"),
     )
     pairs = [(F.col(k), F.col(f"_k_{k}")) for k in keys]
     joined = tagged.join(cold, match(pairs, null_safe) & (F.col("_salt") == F.col("_zero")), "left")
     return joined.select(
         *df.columns,
-        *[F.when(F.col("_hot"), F.col(f"_h_{v}")).otherwise(F.col(f"_c_{v}")).alias(v) for v in values],
+        *[F.when(F.col("_found"), F.col(f"_h_{v}")).otherwise(F.col(f"_c_{v}")).alias(v) for v in values],
     )
 
 

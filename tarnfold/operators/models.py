@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import json
+import math
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+import numpy as np
+import pyarrow as pa
+from pyspark import SparkContext
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
     HashingTF,
     IDF,
@@ -15,11 +20,13 @@ from pyspark.ml.feature import (
     NGram,
     RegexTokenizer,
     StringIndexer,
+    UnivariateFeatureSelector,
     VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tarnfold.functions.columns import clip01
 from tarnfold.operators.encode import append_pseudo, class_weight_col, union_rows
@@ -31,7 +38,7 @@ from tarnfold.operators.ensemble import (
     weighted_argmax,
 )
 from tarnfold.operators.metrics import ranking_scores
-from tarnfold.operators.windows import stratified_folds
+from tarnfold.operators.windows import stratified_folds, stratified_split
 from tarnfold.session import cut_lineage
 
 FEATURES, LABEL, WEIGHT = "features", "y", "weight"
@@ -46,9 +53,52 @@ def make_rf(trees: int = 200, depth: int = 10, min_leaf: int = 3, weight: str |
     return est.setWeightCol(weight) if weight else est
 
 
-def make_extra_trees(trees: int = 200, depth: int = 12, min_leaf: int = 2, **more) -> Estimator:
-    """Coarse random cuts: a forest over few bins and a square-root column subset."""
-    return make_rf(trees, depth, min_leaf, maxBins=8, featureSubsetStrategy="sqrt", subsamplingRate=0.8, **more)
+@dataclass
+class ExtraTrees:
+    """Extremely randomised trees: cut points are drawn from each column's range, not searched for.
+
+    Every column gets ``cuts`` uniform draws, each a 0/1 column "greater than the draw". A node looks at as many of
+    these, picked at random, as the square root of the number of columns, and takes the best: so every node of every tree has
+    cut points of its own. All rows train every tree.
+    """
+
+    trees: int = 200
+    depth: int = 12
+    min_leaf: int = 2
+    cuts: int = 16
+    seed: int = 42
+    weight: str | None = WEIGHT
+
+    def fit(self, df: DataFrame) -> "ExtraTreesModel":
+        span = df.select(Summarizer.metrics("min", "max").summary(F.col(FEATURES)).alias("s")).first().s
+        low, high = span["min"].toArray(), span["max"].toArray()
+        drawn = np.sort(np.random.default_rng(self.seed).uniform(low[:, None], high[:, None], (len(low), self.cuts)), axis=1)
+        forest = RandomForestClassifier(
+            featuresCol="_cuts", labelCol=LABEL, numTrees=self.trees, maxDepth=self.depth, minInstancesPerNode=self.min_leaf,
+            featureSubsetStrategy=str(max(1, math.ceil(math.sqrt(len(low))))), bootstrap=False, seed=self.seed,
+        )
+        if self.weight:
+            forest = forest.setWeightCol(self.weight)
+        return ExtraTreesModel(forest.fit(_over_cuts(df, drawn)), drawn)
+
+
+@dataclass
+class ExtraTreesModel:
+    forest: Model
+    drawn: np.ndarray
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.forest.transform(_over_cuts(df, self.drawn)).drop("_cuts")
+
+
+def _over_cuts(df: DataFrame, drawn: np.ndarray) -> DataFrame:
+    cuts = F.from_json(F.lit(json.dumps(drawn.tolist())), "array<array<double>>")
+    over = F.zip_with(vector_to_array(FEATURES), cuts, lambda x, cs: F.transform(cs, lambda c: (x > c).cast("double")))
+    return df.withColumn("_cuts", array_to_vector(F.flatten(over)))
+
+
+def make_extra_trees(trees: int = 200, depth: int = 12, min_leaf: int = 2, **more) -> ExtraTrees:
+    return ExtraTrees(trees, depth, min_leaf, **more)
 
 
 def make_gbt(
@@ -64,6 +114,42 @@ def make_gbt(
     return est.setWeightCol(weight) if weight else est
 
 
+@dataclass
+class EarlyStoppedGBT:
+    """Boosting that keeps the rounds up to the least loss on rows of its own that it did not train on.
+
+    ``share`` of every class is held back by the hash of ``key``. The loss after every round comes from one pass over
+    those rows, and the trees behind the best round are cut off. ``report`` is told the number of rounds kept.
+    """
+
+    factory: Callable[[], GBTClassifier]
+    share: float = 0.1
+    key: str = "id"
+    report: Callable[[int], None] | None = None
+
+    def fit(self, df: DataFrame) -> GBTClassificationModel:
+        split = cut_lineage(stratified_split(df, LABEL, self.share, self.key))
+        model = self.factory().fit(split.filter("split = 'train'"))
+        losses = model.evaluateEachIteration(split.filter("split = 'test'"))
+        best = losses.index(min(losses)) + 1 if losses and not any(map(math.isnan, losses)) else model.getNumTrees
+        if self.report:
+            self.report(best)
+        return first_rounds(model, best)
+
+
+def first_rounds(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model that boosting would have been after ``n`` rounds."""
+    context = SparkContext._active_spark_context
+    ml = context._jvm.org.apache.spark.ml
+    trees, weights = model._java_obj.trees(), model._java_obj.treeWeights()
+    some = context._gateway.new_array(ml.regression.DecisionTreeRegressionModel, n)
+    shares = context._gateway.new_array(context._jvm.double, n)
+    for i in range(n):
+        some[i], shares[i] = trees[i], weights[i]
+    short = GBTClassificationModel(ml.classification.GBTClassificationModel(model.uid, some, shares))
+    return short.setFeaturesCol(FEATURES)
+
+
 def make_lr(reg: float = 0.0, weight: str | None = WEIGHT, iterations: int = 200) -> Estimator:
     est = LogisticRegression(
         featuresCol=FEATURES, labelCol=LABEL, family="auto", regParam=reg, maxIter=iterations
@@ -254,6 +340,100 @@ def _stacked(
     return held, test.withColumn("stack", sum((F.col(n) for n in names), F.lit(0.0)) / len(names)).drop(*names)
 
 
+@dataclass
+class NewtonLogistic:
+    """Logistic regression with squared penalty ``l2`` / 2 on the weights, one set of weights per held-out fold.
+
+    ``weights[k]`` is the intercept and the weights of the model that did not see fold ``k`` (None: all rows).
+    """
+
+    columns: list[str]
+    fold: str | None
+    weights: dict
+    steps: int
+
+    def score(self, df: DataFrame, out: str, held_out: bool = True) -> DataFrame:
+        """Probability by the model that did not see the row's fold, or by the mean of all models."""
+        by_fold = {k: _sigmoid(self.columns, w) for k, w in self.weights.items()}
+        if not held_out or self.fold is None:
+            return df.withColumn(out, sum(by_fold.values(), F.lit(0.0)) / len(by_fold))
+        value = F.lit(None).cast("double")
+        for k, p in by_fold.items():
+            value = F.when(F.col(self.fold).eqNullSafe(F.lit(k)), p).otherwise(value)
+        return df.withColumn(out, value)
+
+
+def _sigmoid(columns: Sequence[str], weights: Sequence[float]) -> Column:
+    z = F.lit(float(weights[0]))
+    for c, w in zip(columns, weights[1:]):
+        z = z + F.col(c) * F.lit(float(w))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+
+
+def newton_logistic(
+    df: DataFrame, columns: Sequence[str], y: str = LABEL, fold: str | None = None, l2: float = 1.0, tol: float = 1e-10, most: int = 50
+) -> NewtonLogistic:
+    """The exact optimum for all folds at once by Newton steps.
+
+    Each step is one scan: a task adds up gradient, loss and Gram matrix of its rows for every fold's model, and the sums
+    (folds by columns squared, however many rows) meet in the driver, which solves the small systems. A step that does
+    not lower a fold's loss is halved. Rows with a missing value take no part.
+    """
+    names = [*columns, y, *([fold] if fold else [])]
+    rows = cut_lineage(df.select(*names).dropna())
+    ids = [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()] if fold else [None]
+    p = len(columns) + 1
+    upper = [(i, j) for i in range(p) for j in range(i, p)]
+
+    def sums(trial: dict) -> dict:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loss, gradient, gram = np.zeros(len(ids)), np.zeros((len(ids), p)), np.zeros((len(ids), p, p))
+            for batch in batches:
+                values = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
+                x = np.column_stack([np.ones(batch.num_rows), *[v.astype(float) for v in values[: p - 1]]])
+                label = values[p - 1].astype(float)
+                for n, k in enumerate(ids):
+                    seen = values[p] != k if fold else np.ones(len(label), bool)
+                    xs, z = x[seen], x[seen] @ trial[k]
+                    e = 1.0 / (1.0 + np.exp(-z))
+                    loss[n] += np.sum(np.logaddexp(0, z) - label[seen] * z)
+                    gradient[n] += xs.T @ (label[seen] - e)
+                    gram[n] += (xs * (e * (1 - e))[:, None]).T @ xs
+            flat = np.column_stack([loss, gradient, gram[:, [i for i, _ in upper], [j for _, j in upper]]])
+            at = np.indices(flat.shape)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at[0].ravel()), pa.array(at[1].ravel()), pa.array(flat.ravel())], names=["model", "at", "value"]
+            )
+
+        got = rows.mapInArrow(add, "model long, at long, value double").groupBy("model", "at").agg(F.sum("value").alias("value")).collect()
+        table = np.zeros((len(ids), 1 + p + len(upper)))
+        for r in got:
+            table[r.model, r.at] = r.value
+        out = {}
+        ridge = np.diag([0.0] + [l2] * (p - 1))
+        for n, k in enumerate(ids):
+            w, gram = trial[k], np.zeros((p, p))
+            for (i, j), v in zip(upper, table[n, 1 + p :]):
+                gram[i, j] = gram[j, i] = v
+            out[k] = (table[n, 0] + 0.5 * w @ ridge @ w, table[n, 1 : 1 + p] - ridge @ w, gram + ridge)
+        return out
+
+    best = {k: np.zeros(p) for k in ids}
+    trial, low, turn, steps = dict(best), {k: np.inf for k in ids}, {}, 0
+    while steps < most:
+        steps += 1
+        for k, (loss, gradient, gram) in sums(trial).items():
+            if loss <= low[k] + 1e-9 * abs(loss):
+                best[k], low[k] = trial[k], min(loss, low[k])
+                turn[k] = np.linalg.lstsq(gram, gradient, rcond=None)[0]
+            else:
+                turn[k] = turn[k] / 2
+            trial[k] = best[k] + turn[k]
+        if max(np.abs(t).max() for t in turn.values()) < tol:
+            break
+    return NewtonLogistic(list(columns), fold, {k: trial[k].tolist() for k in ids}, steps)
+
+
 def stack_lr(
     oof: DataFrame,
     scores: Sequence[str],
@@ -264,20 +444,12 @@ def stack_lr(
 ) -> tuple[DataFrame, DataFrame | None]:
     """Logistic regression over model scores; in-sample scoring is kept as an option.
 
-    The squared weights cost 1 / (2c) in the sum of the rows' losses, unscaled; ``c=None`` leaves them free.
+    The squared weights cost 1 / (2c) in the sum of the rows' losses, unscaled; ``c=None`` leaves them free. Out of
+    fold, the test table gets the mean of the folds' models.
     """
-
-    def fit(rows: DataFrame, n: int) -> Model:
-        reg = 0.0 if c is None else 1.0 / (c * max(n, 1))
-        return make_lr(reg=reg, weight=None).setStandardization(False).setTol(1e-9).fit(rows)
-
-    def score(model: Model, rows: DataFrame, name: str) -> DataFrame:
-        return predict(model, rows, "_stack").withColumn(name, F.get("_stack", 1)).drop("_stack")
-
-    held, scored = _stacked(
-        fit, score, assemble(oof, scores), out_of_fold, fold, None if test is None else assemble(test, scores)
-    )
-    return held.drop(FEATURES), None if scored is None else scored.drop(FEATURES)
+    model = newton_logistic(oof, scores, LABEL, fold if out_of_fold else None, 0.0 if c is None else 1.0 / c)
+    held = model.score(oof, "stack")
+    return held, None if test is None else model.score(test, "stack", held_out=False)
 
 
 def stack_ridge(
@@ -386,38 +558,43 @@ def _score_roster(roster: Mapping[str, Factory], train: DataFrame, test: DataFra
     return cut_lineage(scored)
 
 
-def text_classifier(
-    text: str = "text", label: str = "label", buckets: int = 1 << 16, ngrams: int = 2, reg: float = 0.01
+def text_vectors(
+    text: str = "text", label: str = "label", buckets: int = 1 << 16, ngrams: int = 2
 ) -> Pipeline:
-    """Hashed word and n-gram TF-IDF into a multinomial logistic regression.
-
-    ``predicted`` is the label text; the fitted pipeline keeps the label list, so saving
-    it saves both.
-    """
+    """Hashed counts of words and n-grams, as one sparse vector ``_counts``, and the label's number ``_y``."""
     words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)[^\p{L}\p{N}]+")
     stages: list = [
         StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="skip"),
         words,
     ]
-    vectors = []
     for n in range(1, ngrams + 1):
         stages += [
             NGram(n=n, inputCol="_words", outputCol=f"_grams{n}"),
             HashingTF(inputCol=f"_grams{n}", outputCol=f"_tf{n}", numFeatures=buckets),
-            IDF(inputCol=f"_tf{n}", outputCol=f"_idf{n}"),
         ]
-        vectors.append(f"_idf{n}")
-    stages += [
-        VectorAssembler(inputCols=vectors, outputCol=FEATURES),
-        LogisticRegression(featuresCol=FEATURES, labelCol="_y", regParam=reg, maxIter=30, predictionCol="_pred"),
-    ]
+    stages.append(VectorAssembler(inputCols=[f"_tf{n}" for n in range(1, ngrams + 1)], outputCol="_counts"))
     return Pipeline(stages=stages)
 
 
-def fit_text_classifier(df: DataFrame, text: str = "text", label: str = "label", **options):
-    """Fitted pipeline plus a last stage that turns the class number back into its label."""
-    from pyspark.ml import PipelineModel
+def text_learner(reg: float = 0.01, keep: int = 8192) -> Pipeline:
+    """The ``keep`` counts that tell most about the label by chi-square, as TF-IDF, into a multinomial logistic regression."""
+    chosen = UnivariateFeatureSelector(featuresCol="_counts", outputCol="_chosen", labelCol="_y", selectionMode="numTopFeatures")
+    chosen = chosen.setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(keep)
+    weighted = IDF(inputCol="_chosen", outputCol=FEATURES)
+    return Pipeline(
+        stages=[chosen, weighted, LogisticRegression(featuresCol=FEATURES, labelCol="_y", regParam=reg, maxIter=50, predictionCol="_pred")]
+    )
+
 
-    fitted = text_classifier(text, label, **options).fit(df)
-    labels = fitted.stages[0].labels
-    return PipelineModel([*fitted.stages[1:], IndexToString(inputCol="_pred", outputCol="predicted", labels=labels)])
+def fit_text_classifier(
+    df: DataFrame, text: str = "text", label: str = "label", buckets: int = 1 << 16, ngrams: int = 2, reg: float = 0.01, keep: int = 8192
+) -> PipelineModel:
+    """Fitted pipeline from text to ``predicted``, the label; the label list is in its last stage, so saving it saves both.
+
+    Texts are split and hashed once; selection, weighting and regression scan the stored sparse vectors.
+    """
+    encoder = text_vectors(text, label, buckets, ngrams).fit(df)
+    vectors = cut_lineage(encoder.transform(df).select("_y", "_counts"))
+    learner = text_learner(reg, keep).fit(vectors)
+    names = IndexToString(inputCol="_pred", outputCol="predicted", labels=encoder.stages[0].labels)
+    return PipelineModel([*encoder.stages[1:], *learner.stages, names])

@@ -1,15 +1,19 @@
 """Keyword labelling, label matching and dictionary translation as column expressions.
 
-A dictionary or label list reaches the rows as one array value, so that labelling a
-text is a projection: no join, no shuffle, whatever language dominates the table.
-Long dictionaries are cut into pieces of bounded size and their results combined.
+A dictionary or label list reaches the rows as one value, so that labelling a text is a
+projection: no join, no shuffle, whatever language dominates the table. Long dictionaries are cut
+into pieces of bounded size and their results combined. A few keywords are tried one by one; of
+more than that an inverted index is made, in which every keyword stands under its rarest fragment, and
+only those whose fragment is in the text are tried.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tarnfold.functions.columns import hash_number
@@ -19,6 +23,10 @@ from tarnfold.operators.joins import measured
 from tarnfold.operators.windows import seeded_sample, top_k_per_key
 
 PIECE_ROWS = 50_000
+# Dictionary rows up to which every keyword is tried on every text.
+FEW_KEYWORDS = 200
+# Characters of the fragments that keywords are found by; shorter keywords are their own fragment.
+FRAGMENT = 4
 ANY_LANGUAGE = "*"
 WORD = r"(?<![\p{L}\p{N}_])[a-z]{3,}(?![\p{L}\p{N}_])"
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
@@ -83,14 +91,64 @@ def _scores(table: Column, lang: Column, text: Column) -> Column:
     return F.transform(entries, lambda e: F.struct((-score(e)).alias("minus"), e["label"].alias("label")))
 
 
+def _grams(text: str, n: int) -> set[str]:
+    return {text[i : i + n] for i in range(len(text) - n + 1)}
+
+
+class KeywordIndex:
+    """Keywords of one language under their rarest fragments: (label, keyword, weight) rows."""
+
+    def __init__(self, rows: Iterable[tuple[str, str, float]]):
+        rows = [r for r in rows if r[1] is not None]
+        own = {k: _grams(k, min(FRAGMENT, len(k))) for _, k, _ in rows}
+        met = Counter(g for _, k, _ in rows for g in own[k])
+        self.under: dict[str, list[tuple[str, str, float]]] = defaultdict(list)
+        for row in rows:
+            self.under[min(own[row[1]], key=lambda g: (met[g], -len(g), g))].append(row)
+        self.sizes = sorted({len(g) for g in self.under})
+
+    def scores(self, text: str) -> dict[str, float]:
+        """Summed weights of each label with a keyword in the text."""
+        out: dict[str, float] = {}
+        for n in self.sizes:
+            for fragment in _grams(text, n) & self.under.keys():
+                for label, keyword, weight in self.under[fragment]:
+                    if keyword in text:
+                        out[label] = out.get(label, 0.0) + weight
+        return out
+
+
+def _indexed(piece: DataFrame, lang: Column, text: Column) -> Column:
+    """As :func:`_scores`, for labels with a hit only; the piece (bounded by PIECE_ROWS) goes out as a broadcast."""
+    rows = defaultdict(list)
+    for r in piece.select("lang", "label", "keyword", "weight").toLocalIterator():
+        rows[r.lang].append((r.label, r.keyword, float(r.weight)))
+    sent = piece.sparkSession.sparkContext.broadcast({code: KeywordIndex(some) for code, some in rows.items()})
+
+    @F.arrow_udf("array<struct<minus: double, label: string>>")
+    def scores(langs: pa.Array, texts: pa.Array) -> pa.Array:
+        indexes, out = sent.value, []
+        for code, body in zip(langs.to_pylist(), texts.to_pylist()):
+            index = indexes.get(code, indexes.get(ANY_LANGUAGE)) if code is not None else indexes.get(ANY_LANGUAGE)
+            hits = index.scores(body) if index is not None and body is not None else {}
+            out.append([{"minus": -score, "label": label} for label, score in hits.items()])
+        return pa.array(out, pa.list_(pa.struct([("minus", pa.float64()), ("label", pa.string())])))
+
+    return scores(lang, text)
+
+
 def _scored(df: DataFrame, dictionary: DataFrame, text: str, lang: str | None) -> tuple[DataFrame, list[str]]:
     pieces = _pieces(dictionary, "label")
     names = [f"_scores{i}" for i in range(len(pieces))]
     language = F.col(lang) if lang else F.lit(ANY_LANGUAGE)
     lowered = df.withColumn("_text", F.lower(text))
+    few = len(pieces) == 1 and pieces[0].count() <= FEW_KEYWORDS
     for name, piece in zip(names, pieces):
-        lowered = lowered.withColumn(f"_table{name}", _by_language(piece))
-        lowered = lowered.withColumn(name, _scores(F.col(f"_table{name}"), language, F.col("_text")))
+        if few:
+            lowered = lowered.withColumn(f"_table{name}", _by_language(piece))
+            lowered = lowered.withColumn(name, _scores(F.col(f"_table{name}"), language, F.col("_text")))
+        else:
+            lowered = lowered.withColumn(name, _indexed(piece, language, F.col("_text")))
     return lowered.drop(*[f"_table{n}" for n in names]), names
 
 
@@ -278,11 +336,14 @@ def route_by_language(
 ) -> DataFrame:
     """Apply a text mapping (a column function or pandas UDF) only where the language asks for it.
 
-    The rows of each language are a branch of their own, as a UDF inside a CASE would run on every row.
+    One scan serves all languages. A UDF inside a CASE runs on every row, so every mapper gets NULL for the rows
+    of other languages instead of their texts.
     """
-    others = ~F.col(lang).isin(list(mappers)) | F.col(lang).isNull()
-    branches = [df.filter(F.col(lang) == code).withColumn(out, mapper(F.col(text))) for code, mapper in mappers.items()]
-    return union_rows(df.filter(others).withColumn(out, F.col(text)), *branches)
+    routed = F.col(text)
+    for code, mapper in mappers.items():
+        asked = F.col(lang).eqNullSafe(F.lit(code))
+        routed = F.when(asked, mapper(F.when(asked, F.col(text)))).otherwise(routed)
+    return df.withColumn(out, routed)
 
 
 def render_prompt(

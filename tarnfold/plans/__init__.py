@@ -9,6 +9,7 @@ from tarnfold.plans import (  # noqa: F401
     metric_queries,
     model_queries,
     stats_queries,
+    store_queries,
     text_queries,
 )
 from tarnfold.plans.registry import ORACLES, QUERIES

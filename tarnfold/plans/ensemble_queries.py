@@ -135,6 +135,20 @@ def choose_best(spark, sf):
     return rounded(ensemble.choose_best(ensemble.blend_search(_binary(spark, sf), ["a", "b"], CONVEX)))
 
 
+def _winner_sql(grid, names):
+    return _blend_sql(grid, names).replace(" from m join g", " from (select * from m order by round(0.7 * auc + 0.3 * ap, 12) desc, config_id limit 1) join g")
+
+
+@query("blend_winner", _winner_sql(CONVEX, "ab"))
+def blend_winner(spark, sf):
+    return rounded(ensemble.best_blend(_binary(spark, sf), ["a", "b"], CONVEX))
+
+
+@query("blend_winner3", _winner_sql(SIMPLEX, "abc"))
+def blend_winner3(spark, sf):
+    return rounded(ensemble.best_blend(_binary(spark, sf), ["a", "b", "c"], SIMPLEX))
+
+
 @query("fixed_blend", f"with {BINARY_SQL} select y, round(sum(0.3 * a + 0.35 * b + 0.35 * c), 4) as total from s group by 1")
 def fixed_blend(spark, sf):
     mixed = _binary(spark, sf).select("y", ensemble.blend(["a", "b", "c"], [0.3, 0.35, 0.35]).alias("s"))

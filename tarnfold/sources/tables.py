@@ -72,18 +72,31 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def is_committed(spark: SparkSession, path: str) -> bool:
+    """Whether a stored table is whole: a file, or a folder whose job left its mark of success.
+
+    A job that died leaves files without the mark, and those do not count as a table.
+    """
+    if not path_exists(spark, path):
+        return False
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+    return status.isFile() or path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+
+
 def load_or_compute(
     spark: SparkSession, path: str, compute: Callable[[], DataFrame], drop: Sequence[str] = (), store: bool = False
 ) -> DataFrame:
-    """Stored features where they exist, else computed (and stored on request).
+    """Stored features where they are whole, else computed (and stored on request).
 
-    ``drop`` names columns, such as the label, that may have been stored along.
+    What a dead job left at ``path`` is computed again, and replaced when storing. ``drop`` names
+    columns, such as the label, that may have been stored along.
     """
-    if not path_exists(spark, path):
+    if not is_committed(spark, path):
         computed = compute()
         if not store:
             return computed.drop(*drop)
-        computed.write.parquet(path)
+        computed.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path).drop(*drop)
 
 

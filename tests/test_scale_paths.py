@@ -2,11 +2,12 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from tarnfold.operators import encode, geo, joins, ordering, text, windows
+from tarnfold.operators import encode, ensemble, geo, joins, neighbors, ordering, text, windows
 
 RNG = random.Random(7)
 
@@ -68,6 +69,27 @@ def test_lookup_with_hot_and_cold_keys(spark, monkeypatch, no_broadcast, share):
         assert got[i] == pytest.approx(sum(mine) / len(mine))
 
 
+def test_lookup_spreads_a_key_that_only_the_probing_side_has(spark, no_broadcast):
+    """A third of the rows has a key that is absent from the other side, another third one that is rare there."""
+    n = 30_000
+    g = F.when(F.col("id") % 3 == 0, "absent").when(F.col("id") % 3 == 1, "rare").otherwise(F.concat(F.lit("g"), (F.col("id") % 500).cast("string")))
+    df = spark.range(n).select("id", g.alias("g"))
+    dim = spark.range(-1, 500).select(F.when(F.col("id") < 0, "rare").otherwise(F.concat(F.lit("g"), F.col("id").cast("string"))).alias("g"), F.col("id").alias("m"), F.lit(1).alias("n"))
+    assert len(joins.hot_keys(df, ["g"])) <= joins.HOT_SHARE and {spark.range(1).select(F.xxhash64(F.lit(k))).first()[0] for k in ("absent", "rare")} <= set(joins.hot_keys(df, ["g"]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for weight in ("n", None):
+            out = joins.lookup(df, dim, "g", weight=weight).withColumn("p", F.spark_partition_id())
+            sizes = [r[1] for r in out.groupBy("p").count().collect()]
+            assert sum(sizes) == n and max(sizes) < 2 * n / 8
+            got = {r.g: (r.m, r.n_rows) for r in out.groupBy("g").agg(F.max("m").alias("m"), F.count("*").alias("n_rows")).collect()}
+            assert got["absent"] == (None, n // 3) and got["rare"] == (-1, n // 3) and got["g2"][0] == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_lookup_salt_is_a_shuffle_key(spark, no_broadcast):
     _, df = skewed(spark)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -159,15 +181,18 @@ def brute(rows, wanted, weights, order, fold=False):
     return out
 
 
-@pytest.mark.parametrize("order", ["combined", "distance"])
-@pytest.mark.parametrize("dense_rows", [10, 10**9])
-@pytest.mark.parametrize("fold", [False, True])
-def test_neighbour_search_by_level_equals_brute_force(spark, order, dense_rows, fold):
+@pytest.mark.parametrize(
+    "order, direct_rows, cell_rows, fold",
+    [("combined", 40, 50, True), ("distance", 10, 20_000, False), ("distance", 10**9, 50, False)],
+)
+def test_neighbour_search_by_level_equals_brute_force(spark, monkeypatch, order, direct_rows, cell_rows, fold):
+    monkeypatch.setattr(geo, "DIRECT_ROWS", direct_rows)
+    monkeypatch.setattr(neighbors, "CELL_ROWS", cell_rows)
     rows = dense()
     wanted, weights = [(3, 50), (5, 200)], (1.0, 0.7, 0.4)
     df = spark.createDataFrame(rows, "id long, latitude double, longitude double, c string, x double, y int, fold int")
     out = geo.neighbor_features(
-        df, None, wanted, ["c"], ["x"], *weights, order=order, dense_rows=dense_rows, fold="fold" if fold else None
+        df, None, wanted, ["c"], ["x"], *weights, order=order, fold="fold" if fold else None
     ).collect()
     want = brute(rows, wanted, weights, order, fold)
     assert len(out) == len(rows)
@@ -177,6 +202,55 @@ def test_neighbour_search_by_level_equals_brute_force(spark, order, dense_rows,
             assert got is None if value is None else got == pytest.approx(value, abs=1e-6), (r.id, name)
 
 
+def test_keyword_index_equals_trying_every_keyword(spark, monkeypatch):
+    parts = ["ab", "bc", "a b", "", "x", "äö", "nation", "tion", "zzzz", "The", "the ", "e\nf", "abcab", "ß", "日本語"]
+    rows = [(f"l{i % 7}", ["en", "de", "*"][i % 3] if i % 3 < 2 else "en", parts[i % len(parts)] + parts[i * 7 % len(parts)]) for i in range(90)] + [("n", "en", None), ("d", "en", "ab"), ("d", "en", "ab")]
+    dictionary = text.weighted_dictionary(spark.createDataFrame(rows, "label string, lang string, keyword string"))
+    bodies = ["".join(RNG.choice([*parts, " ", "\n"]) for _ in range(RNG.randint(0, 12))) for _ in range(80)]
+    docs = spark.createDataFrame([(i, b if i else None, ["en", "de", "fr", None][i % 4]) for i, b in enumerate(bodies)], "id long, text string, lang string")
+
+    def results(lang):
+        scores = sorted(map(tuple, text.keyword_scores(docs, dictionary, lang=lang).collect()))
+        best = sorted((r.id, r.label, r.score) for r in text.keyword_classify(docs, dictionary, lang=lang).collect())
+        return scores, best
+
+    few = [results(x) for x in ("lang", None)]
+    monkeypatch.setattr(text, "FEW_KEYWORDS", 0)
+    assert [results(x) for x in ("lang", None)] == few and few[0][0]
+    monkeypatch.setattr(text, "PIECE_ROWS", 20)
+    assert [results(x) for x in ("lang", None)] == few
+
+
+def test_many_keywords_take_little_longer_than_few(spark):
+    """Keywords that do not occur are not tried: 100 times as many cost a fraction more."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{RNG.randrange(900)}" for _ in range(300)), "en") for i in range(200)], "id long, text string, lang string")
+    bodies = [r.text for r in docs.collect()]
+    taken = {}
+    for n in (1_000, 100_000):
+        index = text.KeywordIndex((f"l{k % 50}", f"w{k}" if k < 1000 else f"q{k:06d}x{k * 7 % 1000}", 1.0) for k in range(n))
+        start = time.perf_counter()
+        found = [index.scores(b) for b in bodies]
+        taken[n] = time.perf_counter() - start
+        expected = [sum(f"w{k}" in b for k in range(1000)) for b in bodies[:20]]
+        assert [sum(f.values()) for f in found[:20]] == expected
+    assert taken[100_000] < 3 * taken[1_000]
+
+
+def test_winner_of_a_blend_needs_few_exact_scores(spark):
+    rows = [(i, int(RNG.random() < 0.4), RNG.random(), RNG.gauss(0, 1)) for i in range(3_000)]
+    rows = [(i, y, round(a + 0.3 * y, 3), b - (0.4 * y)) for i, y, a, b in rows] + [(-1, 1, None, 0.5)]
+    df = spark.createDataFrame(rows, "id long, y int, a double, b double")
+    grid = ensemble.weight_grid([0.0, 0.5, 1.0], [-1.0, -0.5, -0.1, 0.0, 0.2, 1.0])
+    board = ensemble.blend_search(df, ["a", "b"], grid)
+    exact = {r.config_id: r.composite for r in board.collect()}
+    for bins in (4, 64, 1024):
+        bounds = {r.config_id: (r.low, r.high) for r in ensemble.blend_bounds(df, ["a", "b"], grid, bins=bins).collect()}
+        assert all(low - 1e-9 <= exact[k] <= high + 1e-9 for k, (low, high) in bounds.items())
+        best = ensemble.best_blend(df, ["a", "b"], grid, bins=bins).first()
+        assert tuple(best) == tuple(ensemble.choose_best(board).first())
+    assert sum(high >= max(low for low, _ in bounds.values()) for _, high in bounds.values()) < len(grid) / 2
+
+
 def test_long_dictionary_in_pieces(spark, monkeypatch):
     docs = spark.createDataFrame(
         [(i, " ".join(RNG.choice(["aa1", "bb2", "cc3", "dd4", "ee5"]) for _ in range(3)), "en") for i in range(60)],

@@ -52,6 +52,20 @@ def test_load_or_compute(spark, tmp_path):
     assert not tables.path_exists(spark, str(tmp_path / "none"))
 
 
+def test_a_store_without_the_mark_of_success_does_not_count(spark, tmp_path):
+    path = str(tmp_path / "features")
+    spark.range(5).write.parquet(path)
+    (tmp_path / "features" / "_SUCCESS").unlink()  # as a job leaves it that died while it wrote
+    assert tables.path_exists(spark, path) and not tables.is_committed(spark, path)
+    assert tables.load_or_compute(spark, path, lambda: spark.range(3)).count() == 3
+    assert not tables.is_committed(spark, path)
+    assert tables.load_or_compute(spark, path, lambda: spark.range(4), store=True).count() == 4
+    assert tables.is_committed(spark, path)
+    assert tables.load_or_compute(spark, path, lambda: spark.range(9)).count() == 4
+    file = next((tmp_path / "features").glob("*.parquet"))
+    assert tables.is_committed(spark, str(file))
+
+
 def test_feature_projection(spark):
     df = spark.createDataFrame([tuple(range(18))], ["id", *[f"X{i}" for i in range(1, 17)], "other"])
     assert tables.select_features(df, keep=["id"]).columns == ["id", *[f"X{i}" for i in range(1, 17)]]
