@@ -23,7 +23,8 @@ _FIRST_DAY, _DAYS = "1900-01-01", 73_049
 # the other days that the patterns match, a domain of their own
 _EARLY, _LATE = "1000-01-01", "2100-01-01"
 _EARLY_DAYS, _OTHER_DAYS = 328_718, 657_436
-GROUPS = 19
+# Groups that a valid value can have, and groups of a run that are searched in one go.
+GROUPS, STRETCH = 19, 256
 
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++"
 ISO_DATE = r"(?<![0-9.\-])[12][0-9]{3}-[0-9]{2}-[0-9]{2}(?![0-9])(?!-[0-9])"
@@ -37,8 +38,10 @@ PHONE = (
     r"|(?<![0-9A-Za-z+.\-])(?:\+[0-9]{1,3}[ .\-])?[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![0-9])"
     r"|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){3,4}(?![0-9])"
 )
-# runs may be longer than what is valid; parts of them are tried
-_IBAN_RUN, _CARD_RUN = IBAN.replace("{2,7}", "{2,}"), CARD.replace("{12,18}", "{12,}")
+# Runs may be longer than what is valid; parts of them are tried. They are taken group by group and never given
+# back (possessive), since the engine would need a stack frame for every group it might give back.
+_CARD_RUN = r"(?<![0-9A-Za-z])(?=[0-9](?:[ \-]?[0-9]){12})[0-9]++(?![A-Za-z])(?:[ \-][0-9]++(?![A-Za-z]))*+"
+_IBAN_RUN = r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2})[A-Z0-9]++(?![a-z@])(?: [A-Z0-9]++(?![a-z@]))*+"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, ISO_DATE, DAY_DATE, _IBAN_RUN, IP, SSN, PHONE, _CARD_RUN))
 
 
@@ -174,45 +177,67 @@ def kind_of(value: Column) -> Column:
 
 
 def parts_of(value: Column) -> Column:
-    """A candidate in pieces (kind, value) that make it up; kind is NULL for what is not personal."""
-    groups = F.split(value, r"(?<=[ \-])")
-    n = F.size(groups)
+    """A candidate in pieces (kind, value) that make it up; kind is NULL for what is not personal.
+
+    A candidate that is not valid as a whole is searched group by group, each start with the ``GROUPS`` groups from
+    it on. The pieces are gathered by stretches of groups, so that the work is in proportion to the length.
+    """
+    bind = lambda column, body: F.get(F.transform(F.array(column), body), F.lit(0))
+
+    def searched(groups: Column) -> Column:
+        n = F.size(groups)
+        begin = F.struct(F.lit(1).alias("next"), F.array().cast(_PIECES).alias("out"))
+
+        def stretch(state: Column, k: Column) -> Column:
+            numbers = F.sequence(k * STRETCH + 1, F.least((k + 1) * STRETCH, n))
+            inner = F.aggregate(numbers, begin.withField("next", state["next"]), lambda s, i: _step(groups, n, s, i))
+            return bind(inner, lambda x: F.struct(x["next"].alias("next"), F.array_append(state["out"], x["out"]).alias("out")))
+
+        start = F.struct(F.lit(1).alias("next"), F.array().cast(f"array<{_PIECES}>").alias("out"))
+        last = F.floor((n - 1) / STRETCH).cast("int")
+        return F.aggregate(F.sequence(F.lit(0), last), start, stretch, lambda state: F.flatten(state["out"]))
+
+    whole = F.array(F.struct(kind_of(value).alias("kind"), value.alias("value")))
+    parted = value.rlike(r"[ \-][A-Za-z0-9]")
+    # each is bound to a name, so that it is computed once and not wherever it is used
+    return bind(
+        whole, lambda w: F.when(F.get(w, F.lit(0))["kind"].isNull() & parted, bind(F.split(value, r"(?<=[ \-])"), searched)).otherwise(w)
+    )
+
+
+_PIECES = "array<struct<kind: string, value: string>>"
+
+
+def _step(groups: Column, n: Column, state: Column, i: Column) -> Column:
+    """One group on: the longest valid part from group ``i``, or the group as it is; nothing inside a part that was taken."""
     piece = lambda kind, text: F.struct(kind.cast("string").alias("kind"), text.alias("value"))
-    none = F.lit(None)
 
-    def spans(i: Column) -> Column:
-        """Valid parts from group ``i`` on, the longest first."""
-        each = F.transform(
-            F.sequence(F.least(i + GROUPS - 1, n), i, F.lit(-1)),
-            lambda j: F.struct(j.alias("j"), F.array_join(F.slice(groups, i, j - i + 1), "").alias("text")),
-        )
-        each = F.transform(each, lambda x: F.struct(x["j"].alias("j"), x["text"].alias("text"), F.regexp_replace(x["text"], r"[ \-]$", "").alias("core")))
-        each = F.filter(each, lambda x: F.char_length(x["core"]).between(8, 45))
-        each = F.transform(each, lambda x: x.withField("kind", kind_of(x["core"])))
-        # other kinds do not begin or end at a hyphen
-        apart = lambda x: ~x["text"].endswith("-") & ((i == 1) | ~F.get(groups, i - 2).endswith("-"))
-        return F.filter(each, lambda x: x["kind"].isin("card", "iban") | (x["kind"].isNotNull() & apart(x)))
-
-    def step(state: Column, i: Column) -> Column:
-        def chosen(best: Column) -> Column:
-            rest = F.substring(best["text"], F.char_length(best["core"]) + 1, F.lit(1))
-            return F.when(
-                best.isNull(), F.struct((i + 1).alias("next"), F.array_append(state["out"], piece(none, F.get(groups, i - 1))).alias("out"))
-            ).otherwise(
-                F.struct(
-                    (best["j"] + 1).alias("next"),
-                    F.concat(state["out"], F.array(piece(best["kind"], best["core"]), piece(none, rest))).alias("out"),
-                )
+    def chosen(best: Column) -> Column:
+        rest = F.substring(best["text"], F.char_length(best["core"]) + 1, F.lit(1))
+        return F.when(
+            best.isNull(), F.struct((i + 1).alias("next"), F.array_append(state["out"], piece(F.lit(None), F.get(groups, i - 1))).alias("out"))
+        ).otherwise(
+            F.struct(
+                (best["j"] + 1).alias("next"),
+                F.concat(state["out"], F.array(piece(best["kind"], best["core"]), piece(F.lit(None), rest))).alias("out"),
             )
+        )
 
-        return F.when(i < state["next"], state).otherwise(F.get(F.transform(F.array(F.get(spans(i), F.lit(0))), chosen), F.lit(0)))
+    return F.when(i < state["next"], state).otherwise(F.get(F.transform(F.array(F.get(_spans(groups, n, i), F.lit(0))), chosen), F.lit(0)))
 
-    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<kind: string, value: string>>").alias("out"))
-    searched = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda state: state["out"])
-    whole = F.array(F.struct(kind_of(value).alias("kind"), value.alias("value")))
-    return F.get(
-        F.transform(F.array(whole), lambda w: F.when(F.get(w, F.lit(0))["kind"].isNull() & (n > 1), searched).otherwise(w)), F.lit(0)
+
+def _spans(groups: Column, n: Column, i: Column) -> Column:
+    """Valid parts from group ``i`` on, the longest first."""
+    each = F.transform(
+        F.sequence(F.least(i + GROUPS - 1, n), i, F.lit(-1)),
+        lambda j: F.struct(j.alias("j"), F.array_join(F.slice(groups, i, j - i + 1), "").alias("text")),
     )
+    each = F.transform(each, lambda x: F.struct(x["j"].alias("j"), x["text"].alias("text"), F.regexp_replace(x["text"], r"[ \-]$", "").alias("core")))
+    each = F.filter(each, lambda x: F.char_length(x["core"]).between(8, 45))
+    each = F.transform(each, lambda x: x.withField("kind", kind_of(x["core"])))
+    # other kinds do not begin or end at a hyphen
+    apart = lambda x: ~x["text"].endswith("-") & ((i == 1) | ~F.get(groups, i - 2).endswith("-"))
+    return F.filter(each, lambda x: x["kind"].isin("card", "iban") | (x["kind"].isNotNull() & apart(x)))
 
 
 def _ssn_valid(digits: Column) -> Column:
