@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tarnfold.llm.common import stored
+from tarnfold.llm.common import forget, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,9 +25,12 @@ def components(edges: DataFrame) -> DataFrame:
         following = stored(
             lower.join(onward, "root", "left").select("node", "was", F.least("root", F.coalesce("jump", "root")).alias("root"))
         )
+        forget(labels)
         if following.filter("root <> was").isEmpty():
+            forget(both)
             return following.select("node", "root")
         labels = following.select("node", "root")
+        labels.stored_at = following.stored_at
 
 
 def merged(roots: DataFrame, links: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -57,6 +58,31 @@ def test_many_partitions_see_the_same_neighbours(spark, monkeypatch):
     assert found_components(near_dedup.near_duplicates(docs, words=5)) == sorted(exact_components(rows, 5), key=str)
 
 
+def test_more_partitions_than_the_window_has_rows(spark, monkeypatch):
+    """Rows on both sides of a partition that is smaller than the window still meet, in a later search."""
+    monkeypatch.setattr(near_dedup, "_partitions", lambda spark, rows, reach: 211)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    template = [word() for _ in range(160)]
+    rows = copies(seed=4)[:250]
+    for k in range(250):
+        own = [word() for _ in range(34)]
+        rows.append((1000 + 2 * k, " ".join(template + own)))
+        if k < 40:
+            rows.append((1001 + 2 * k, " ".join(template + own[:17] + [word() for _ in range(17)])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert found_components(near_dedup.near_duplicates(docs, words=4)) == sorted(exact_components(rows, 4), key=str)
+
+
+def test_bits_estimate_similarity():
+    rng = np.random.default_rng(2)
+    shared, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (800, 100, 100))
+    sets = [np.concatenate([shared, a]), np.concatenate([shared, b])]
+    x, y = near_dedup.bit_signatures(np.concatenate(sets), np.array([0, 900]))
+    differ = np.unpackbits(x ^ y).sum()
+    assert abs(1 - 2 * differ / near_dedup.BITS - 0.8) < 0.06
+
+
 def test_near_duplicates_of_given_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").collect()]
     assert found_components(QUERIES["op3_near_dedup"](spark, MEDIUM)) == sorted(exact_components(rows, 4), key=str)
@@ -202,6 +228,23 @@ def test_valid_parts_of_what_is_not_valid(spark):
     assert pii._OTHER_DAYS == pii._EARLY_DAYS + (datetime.date(2999, 12, 31) - datetime.date(2100, 1, 1)).days + 1
 
 
+def test_long_runs_of_digits_end_in_seconds(spark):
+    card, account = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    runs = ["7" * 100_000, " ".join(["12345"] * 50_000), "-".join(["12345"] * 50_000), " ".join(["1"] * 20_000), "ID12 " + " ".join(["AB3D"] * 20_000), "X" * 90_000 + "12"]
+    rows = [(k, t) for k, t in enumerate(runs)] + [(10 + k, f"{t} x {card} and {account}.") for k, t in enumerate(runs)]
+    rows += [(30, f"{' '.join(['0000'] * 600)} {card} {' '.join(['0001'] * 600)}")]
+    begun = time.time()
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id int, text string"), "key").collect()}
+    assert time.time() - begun < 120
+    for k, t in rows:
+        assert len(got[k].text) == len(t)
+        if k >= 10:
+            assert card not in got[k].text
+        if 10 <= k < 30:
+            assert account not in got[k].text
+    assert got[0].text == runs[0] and got[5].text == runs[5]
+
+
 def test_permutations_are_one_to_one(spark):
     for n in (2, 3, 4):
         digits = spark.range(10**n).select(F.lpad(F.col("id").cast("string"), n, "0").alias("d"))
