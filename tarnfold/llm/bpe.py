@@ -24,8 +24,13 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-# Chunks between white space, and words, of which a worker remembers the tokens.
-REMEMBERED = 300_000
+from tarnfold.llm.common import blocks, flat
+
+# Bytes of chunks between white space, and words in them, of which a worker remembers the tokens; an entry counts with
+# its characters, its tokens and ENTRY_BYTES. Longer chunks than LONG characters are not remembered.
+REMEMBERED_BYTES, ENTRY_BYTES, LONG = 112 << 20, 170, 64
+# Bytes of texts whose chunks are looked up together.
+TOGETHER = 1 << 20
 # Arcs of which the answer is kept.
 ARCS = 600_000
 
@@ -116,48 +121,58 @@ class TokenAutomaton:
         The longest token that may follow is taken first. The path up to any place is the only
         one, so a place with no way on is given up for good, and the walk is linear in the word.
         """
-        steps, inner, final, arcs, n = self.steps, self.inner, self.final, self.arcs, len(word)
+        steps, inner, arcs, n = self.steps, self.inner, self.arcs, len(word)
         tokens: list[int] = []
-        begins, ways, shut, at = [0], [], set(), 0
+        begins: list[int] = []
+        ways: list[tuple[list[int], list[int]]] = []
+        shut: set[int] = set()
+        at, row = 0, None
         while True:
-            state, ahead, k = 0, [], at
-            while k < n:
-                state = steps[state].get(word[k])
+            state, k, ends, ahead = 0, at, [], []
+            for symbol in word[at:] if at else word:
+                state = steps[state].get(symbol)
                 if state is None:
                     break
                 k += 1
-                token = inner[state] if k < n else final[state]
+                token = inner[state]
+                if token >= 0:
+                    ends.append(k)
+                    ahead.append(token)
+            else:  # at the end of the word, tokens that end one
+                if ends and ends[-1] == n:
+                    ends.pop()
+                    ahead.pop()
+                token = self.final[state]
                 if token >= 0:
-                    ahead.append((k, token))
-            ways.append(ahead)
+                    ends.append(n)
+                    ahead.append(token)
             while True:
                 while ahead:
-                    end, token = ahead.pop()
-                    if end in shut:
+                    token, end = ahead.pop(), ends.pop()
+                    if shut and end in shut:
                         continue
-                    if tokens:
-                        row = arcs.get(tokens[-1])
-                        follows = None if row is None else row.get(token)
-                        if follows is None:
-                            follows = self.arc(tokens[-1], token)
-                        if not follows:
-                            continue
-                    break
+                    if not tokens:
+                        break
+                    follows = None if row is None else row.get(token)
+                    if follows is None:
+                        follows = self.arc(tokens[-1], token)
+                    if follows:
+                        break
                 else:
                     if not tokens:
                         raise ValueError(f"no path for {word!r}")
                     shut.add(at)
-                    ways.pop()
-                    begins.pop()
                     tokens.pop()
-                    at, ahead = begins[-1], ways[-1]
+                    at, (ahead, ends) = begins.pop(), ways.pop()
+                    row = arcs.get(tokens[-1]) if tokens else None
                     continue
                 break
             tokens.append(token)
             if end == n:
                 return tokens
-            at = end
             begins.append(at)
+            ways.append((ahead, ends))
+            at, row = end, arcs.get(token)
 
 
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -183,8 +198,16 @@ class WordTokenizer:
         self.symbols = byte_symbols()
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
+        self.held = 0
+
+    def remember(self, text: str, tokens: bytes) -> None:
+        """Keep the tokens of a chunk or word; what was not met lately is forgotten first."""
+        if len(text) > LONG:
+            return
+        if self.held >= REMEMBERED_BYTES // 2:
+            self.known, self.old, self.held = {}, self.known, 0
+        self.known[text] = tokens
+        self.held += ENTRY_BYTES + len(text) + len(tokens)
 
     def chunk_tokens(self, chunk: str) -> bytes:
         """Token ids (four bytes each) of a chunk without white space, special strings included."""
@@ -205,28 +228,44 @@ class WordTokenizer:
         return b"".join(map(self.word_tokens, _WORD.findall(part)))
 
     def word_tokens(self, word: str) -> bytes:
-        tokens = self.words.get(word)
+        # plain words have the same tokens as the chunk that is just the word, so both are kept in one place
+        plain = word.isascii()
+        tokens = self.known.get(word) if plain else None
         if tokens is None:
-            tokens = self.old_words.get(word)
+            tokens = self.old.get(word) if plain else None
             if tokens is None:
-                symbols = word if word.isascii() and word.isprintable() else "".join([self.symbols[b] for b in word.encode()])
+                symbols = word if plain and word.isprintable() else "".join([self.symbols[b] for b in word.encode()])
                 tokens = array("i", self.automaton.encode_word(symbols)).tobytes()
-            if len(self.words) >= REMEMBERED // 2:
-                self.words, self.old_words = {}, self.words
-            self.words[word] = tokens
+            if plain:
+                self.remember(word, tokens)
         return tokens
 
-    def encode(self, text: str) -> bytes:
-        """Token ids of a text, four bytes each. What was not met lately is forgotten first."""
-        chunks = _GAP.split(text) if _ODD.search(text) else text.split()
-        if len(self.known) >= REMEMBERED // 2:
-            self.known, self.old = {}, self.known
-        known, old = self.known, self.old
-        for chunk in set(chunks):
-            if chunk not in known:
-                tokens = old.get(chunk)
-                known[chunk] = self.chunk_tokens(chunk) if tokens is None else tokens
-        return b"".join(map(known.__getitem__, chunks))
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts in a row, and how many each text has.
+
+        The chunks of all texts are numbered first, so that each different one is looked up once.
+        """
+        split = [_GAP.split(t) if _ODD.search(t) else t.split() for t in texts]
+        coded = pa.array([c for chunks in split for c in chunks], pa.string()).dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        each = []
+        for chunk in coded.dictionary.to_pylist():
+            tokens = self.known.get(chunk)
+            if tokens is None:
+                tokens = self.old.get(chunk)
+                if tokens is None:
+                    tokens = self.chunk_tokens(chunk)
+                if chunk not in self.known:
+                    self.remember(chunk, tokens)
+            each.append(tokens)
+        sizes = np.array([len(t) // 4 for t in each], np.int64)
+        ids, begins = np.frombuffer(b"".join(each), np.int32), np.cumsum(sizes) - sizes
+        length = sizes[codes] if len(codes) else np.zeros(0, np.int64)
+        upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(length)])
+        total = int(upto[-1])
+        out = ids[np.arange(total) + np.repeat((begins[codes] if len(codes) else length) - upto[:-1], length)]
+        ends = np.cumsum([len(chunks) for chunks in split])
+        return out, np.diff(np.concatenate([[0], upto[ends]]))
 
 
 _loaded: dict[str, WordTokenizer] = {}
@@ -248,12 +287,14 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", into: str = "id
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        model, parts = tokenizer(vocabulary), []
-        for i in range(0, len(texts), 256):
-            parts += [model.encode(t or "") for t in texts.slice(i, 256).to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
-        values = pa.array(np.frombuffer(b"".join(parts), np.int32))
-        return pa.ListArray.from_arrays(pa.array(offsets), values)
+        model, parts, lengths = tokenizer(vocabulary), [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        _, starts = flat(texts)
+        for i, j in blocks(starts, TOGETHER):
+            found, n = model.encode([t or "" for t in texts.slice(i, j - i).to_pylist()])
+            parts.append(found)
+            lengths.append(n)
+        offsets = np.cumsum(np.concatenate(lengths)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
 
     return docs.withColumn(into, ids(F.col(text)))
 
