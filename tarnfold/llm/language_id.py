@@ -24,13 +24,17 @@ _FOLD = np.where((LOWER < 128) & ~np.isin(LOWER, np.frombuffer(b"abcdefghijklmno
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_language`` bounds the sample; texts beyond ``train_bytes`` are not trained on."""
+    """``per_language`` bounds the sample; of a text beyond ``train_bytes`` one span of about that length, from a place
+    drawn by its hash, is trained on. Training goes over the sample ``epochs`` times, and takes ``updates`` steps, and
+    ``updates_each`` per language, at least."""
 
     per_language: int = 1_000
     train_bytes: int = 200_000
     bits: int = 16
     width: int = 16
     updates: int = 700
+    updates_each: int = 60
+    epochs: int = 3
     rate: float = 0.5
     batch: int = 32
     calibration: float = 0.2
@@ -121,10 +125,10 @@ def train(texts: list[str], labels: list[str], s: Settings) -> Model:
     order = rng.permutation(len(bags))
     held = order[: int(len(bags) * s.calibration)]
     fit = order[len(held) :]
-    step = 0
-    while step < s.updates and len(fit):
+    step, updates = 0, max(s.updates, s.updates_each * len(languages), s.epochs * -(-len(fit) // s.batch))
+    while step < updates and len(fit):
         for some in np.array_split(rng.permutation(fit), -(-len(fit) // s.batch)):
-            rate = s.rate * max(1 - step / s.updates, 0) * s.width
+            rate = s.rate * max(1 - step / updates, 0) * s.width
             step += 1
             rows = np.concatenate([bags[k][0] for k in some])
             share = np.concatenate([bags[k][1] for k in some])
@@ -158,8 +162,11 @@ def _calibrated(model: Model, texts: list[str], y: np.ndarray, s: Settings) -> M
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", settings: Settings = Settings()) -> Model:
     """Learn from rows with a language and a text; the sample is bounded by ``settings``."""
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).filter(
-        F.col("l").isNotNull() & F.col("t").isNotNull() & (F.octet_length("t") <= settings.train_bytes)
+    chars = F.lit(settings.train_bytes // 4)
+    begin = F.pmod(F.xxhash64(text), F.greatest(F.char_length(text) - chars, F.lit(1)))
+    span = F.when(F.octet_length(text) <= settings.train_bytes, F.col(text)).otherwise(F.substring(text, (begin + 1).cast("int"), chars))
+    rows = docs.select(F.col(key).alias("k"), span.alias("t"), F.col(lang).cast("string").alias("l")).filter(
+        F.col("l").isNotNull() & F.col("t").isNotNull()
     )
     sample = bounded_sample(rows, "l", settings.per_language, "k", "t").collect()
     sample.sort(key=lambda r: (r.l, r.t, str(r.k)))

@@ -245,6 +245,46 @@ def test_long_runs_of_digits_end_in_seconds(spark):
     assert got[0].text == runs[0] and got[5].text == runs[5]
 
 
+def test_sixty_languages_and_long_texts_are_learned(spark):
+    """Every language is learned from, also if there are many and if one has nothing but very long texts."""
+    rng = random.Random(3)
+    names = [f"l{k:02d}" for k in range(60)]
+    words = {n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8))) for _ in range(60)] for n in names}
+    text = lambda n, size: " ".join(rng.choices(words[n], k=size))
+    rows = [(n, text(n, 30)) for n in names[1:] for _ in range(40)] + [(names[0], text(names[0], 3_000)) for _ in range(40)]
+    df = spark.createDataFrame([(k, t, n) for k, (n, t) in enumerate(rows)], "doc_id int, text string, lang string")
+    model = language_id.fit(df, settings=language_id.Settings(train_bytes=2_000))
+    assert model.languages == tuple(names)
+    fresh = spark.createDataFrame([(k, text(n, 30), n) for k, n in enumerate(names * 5)], "doc_id int, text string, lang string")
+    right = language_id.identify(fresh, model).filter("lang = lang_pred").count()
+    assert right > 0.95 * 300
+
+
+def test_logits_are_plain_sums_over_grams():
+    rng = np.random.default_rng(4)
+    weights = rng.normal(size=(3, (1 << 8) + 1)).astype(np.float32)
+    weights[:, -1] = 0
+    model = language_id.Model(("a", "b", "c"), weights, np.array([0.1, 0.2, 0.3], np.float32), 1.0, 0.0, 8)
+    texts = ["", "ab", "abc", "Abc! déf", "x" * 50, "ÀÉ 12"]
+    got, some = language_id.logits(language_id.pa.array(texts), model)
+
+    def buckets(text):
+        low = [b + 32 if 65 <= b < 91 else b for b in text.encode()]
+        low = [32 if b < 128 and not 97 <= b < 123 else b for b in low]
+        out = []
+        for i in range(len(low) - 2):
+            three = low[i] | low[i + 1] << 8 | low[i + 2] << 16
+            out.append((three * 0x9E3779B1 & 0xFFFFFFFF) >> 24)
+            if i + 3 < len(low):
+                out.append((((three | low[i + 3] << 24) ^ 0x5BD1E995) * 0x85EBCA6B & 0xFFFFFFFF) >> 24)
+        return out
+
+    for t, row, any_gram in zip(texts, got, some):
+        own = buckets(t)
+        assert bool(own) == any_gram
+        assert np.allclose(row, model.bias + sum((weights[:, b].astype(float) for b in own), np.zeros(3)) / max(len(own), 1), atol=1e-5)
+
+
 def test_permutations_are_one_to_one(spark):
     for n in (2, 3, 4):
         digits = spark.range(10**n).select(F.lpad(F.col("id").cast("string"), n, "0").alias("d"))
