@@ -331,12 +331,12 @@ def pseudo_loop(spark, sf):
     """Three rounds over a roster of three kinds of model, with tuned class weights."""
     base = _vectors(spark, sf)
     roster = {
-        "rf": lambda: models.make_rf(50, 10),
-        "et": lambda: models.make_extra_trees(50, 12),
-        "lr": lambda: models.make_lr(0.01),
+        "rf": lambda: models.make_rf(30, 8),
+        "et": lambda: models.make_extra_trees(20, 8),
+        "lr": lambda: models.make_lr(0.01, iterations=50),
     }
     result = models.pseudo_label_loop(
-        roster, base.filter("fold <> 0"), base.filter("fold = 0").select("id", "features"), SMALL, rounds=((0.5, 3), (0.4, 2), (0.35, 2)), folds=3
+        roster, base.filter("fold <> 0"), base.filter("fold = 0").select("id", "features"), SMALL, rounds=((0.5, 3), (0.4, 2), (0.35, 2)), folds=2
     )
     return result.predictions.select("id", (F.col("pred").isin(CLASSES) & _whole()).alias("known_class"))
 
