@@ -37,6 +37,39 @@ def test_counts_are_the_library_s(spark):
     assert token_counts.count_batch(texts, path, remembered=50) == expected
 
 
+def test_columns_of_the_count_and_secret_queries(spark):
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    counts = {r.doc_id: r for r in QUERIES["op2_token_counts"](spark, SMALL).collect()}
+    scans = {r.doc_id: r for r in QUERIES["op5_secret_scans"](spark, SMALL).collect()}
+    assert len(counts) == len(scans) == len(rows)
+    for r in rows:
+        text = r.text or ""
+        n = len(library.encode(text, add_special_tokens=False).ids)
+        one = counts[r.doc_id]
+        assert (one.n_bytes, one.n_tokens, one.over_limit) == (len(text.encode()), n, n > 1024)
+        base, scan = base_spans(text), scans[r.doc_id]
+        assert [scan.n_assign, scan.n_access, scan.n_hex] == [sum(k == kind for k, _, _ in base) for kind in ("assign", "access", "hex")]
+        listed = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert scan.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert [x for x in scan.spans.split(",") if x.split(":")[0] in ("assign", "access", "hex")] == listed
+
+
+def test_words_are_forgotten_within_the_bound(monkeypatch):
+    """Many different words, long ones included: what is kept stays within the bytes given for it."""
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 1 << 17)
+    path = vocabulary("word_bpe_49k.json")
+    model, library = bpe.WordTokenizer(path), Tokenizer.from_file(path)
+    rng = random.Random(8)
+    for _ in range(6):
+        texts = [" ".join("".join(rng.choice("abcdeiou一二三四") for _ in range(rng.randint(1, 9))) for _ in range(200)) + " " + "z" * 500 for _ in range(5)]
+        ids, n = model.encode(texts)
+        expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == expected
+        kept = [*model.known.items(), *model.old.items()]
+        assert sum(bpe.ENTRY_BYTES + len(k) + len(v) for k, v in kept) <= (1 << 17) + 1000 and "z" * 500 not in dict(kept)
+
+
 def test_calls_are_even():
     calls = list(token_counts.even_calls(["x" * n for n in (10, 90, 20, 300, 5)], 100))
     assert [sum(map(len, c)) for c in calls] == [100, 20, 300, 5]
