@@ -1,5 +1,8 @@
 """Score ranges of the trained pieces; training itself has no exact expectation."""
 
+import re
+
+import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -72,3 +75,43 @@ def test_importances_are_sorted(signal):
     ranked = models.importances(model, ["a", "b"])
     assert ranked[0][1] >= ranked[1][1] > 0
     assert len(models.importances(models.make_lr().fit(signal), ["a", "b"])) == 2
+
+
+def test_drawn_cuts_differ_by_tree(signal):
+    model = models.ExtraTrees(trees=8, depth=4, cuts=16).fit(signal)
+    assert model.drawn.shape == (2, 16) and len(set(model.drawn.ravel())) == 32
+    used = [frozenset(map(int, re.findall(r"feature (\d+)", t.toDebugString))) for t in model.forest.trees]
+    assert len(set(used)) >= 4 and all(f < 32 for u in used for f in u)
+
+
+def test_boosting_keeps_the_best_rounds(signal):
+    binary = signal.withColumn("y", (F.col("y") % 2).cast("double"))
+    factory = lambda n=8: models.make_gbt(n, 2, columns="all")
+    told = []
+    model = models.EarlyStoppedGBT(factory, share=0.25, report=told.append).fit(binary)
+    assert told == [model.getNumTrees] and 1 <= told[0] <= 8
+    # cut off behind a round, a model is what fewer rounds would have made
+    full, short = factory().fit(binary), factory(3).fit(binary)
+    cut = models.first_rounds(full, 3)
+    both = [{r.id: r.proba[1] for r in models.predict(m, binary.select("id", "features")).collect()} for m in (cut, short)]
+    assert both[0].keys() == both[1].keys() and all(both[0][k] == pytest.approx(both[1][k], abs=1e-9) for k in both[0])
+
+
+@pytest.mark.parametrize("l2", [1.0, 0.01])
+def test_newton_steps_end_at_the_optimum(spark, l2):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3)) * [1.0, 5.0, 0.2]
+    y = (x @ [1.0, -0.5, 3.0] + rng.logistic(size=300) > 0.5).astype(int)
+    rows = [(i, int(y[i]), i % 4, *map(float, x[i])) for i in range(300)] + [(300, 1, 0, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, y int, fold int, a double, b double, c double")
+    model = models.newton_logistic(df, ["a", "b", "c"], fold="fold", l2=l2)
+    assert sorted(model.weights) == [0, 1, 2, 3]
+    for k, w in model.weights.items():
+        seen = np.arange(300) % 4 != k
+        design = np.column_stack([np.ones(seen.sum()), x[seen]])
+        p = 1 / (1 + np.exp(-design @ w))
+        assert np.abs(design.T @ (y[seen] - p) - l2 * np.array([0, *w[1:]])).max() < 1e-6
+    held = {r.id: r.s for r in model.score(df, "s").collect()}
+    for i in (0, 17, 299):
+        assert held[i] == pytest.approx(1 / (1 + np.exp(-np.dot(model.weights[i % 4], [1, *x[i]]))))
+    assert held[300] is None
