@@ -4,6 +4,8 @@ import math
 import random
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,3 +269,57 @@ def test_long_dictionary_in_pieces(spark, monkeypatch):
     assert {r.id: (r.label, r.score) for r in text.keyword_classify(docs, dictionary).collect()} == whole
     assert sorted(tuple(r) for r in text.keyword_scores(docs, dictionary).collect()) == scores
     assert sorted(tuple(r) for r in text.match_label(asked, labels, mode="overlap").collect()) == matched
+
+
+def _cell(seed, refs, queries, slots, **more):
+    """One cell as a task of the neighbour search gets it, and the search."""
+    rng = np.random.default_rng(seed)
+    n = refs + queries
+    kind = [rng.choice(list("abc"), n), rng.choice(list("xy"), n)]
+    num = [rng.normal(size=n).round(2), np.where(rng.random(n) < 0.03, np.nan, rng.normal(size=n))]
+    columns = {
+        "_cell": np.zeros(n, np.int64), "_part": np.zeros(n, np.int64), "_pattern": np.full(n, more.pop("pattern", -1), np.int32),
+        "_tag": np.repeat([0, 1], [refs, queries]).astype(np.int8), "id": np.r_[np.arange(refs), np.arange(queries)],
+        "_lat": rng.uniform(0, 3, n).round(2), "_lon": rng.uniform(178, 181, n).round(2), "_fold": rng.integers(0, 3, n),
+        "fold": np.zeros(n, np.int64), "c": kind[0], "e": kind[1], "u": num[0], "v": num[1],
+        "_code_c": np.array([ord(x) for x in kind[0]]), "_code_e": np.array([ord(x) for x in kind[1]]),
+        "_label": rng.integers(0, 2, n).astype(float), "_open": rng.integers(1, 1 << min(len(slots), 4), n),
+    }
+    table = pa.table({k: pa.array(v, from_pandas=True) for k, v in columns.items()})
+    orders = more.pop("orders", ((1.0, 0.5, 0.25, 0.5, 0.1),))
+    return table, neighbors.Search(("c", "e"), ("u", "v"), orders, slots, "y", **more)
+
+
+SLOTS = (neighbors.Slot(60.0, 60.0, 4), neighbors.Slot(150.0, 150.0, 7), neighbors.Slot(-1.0, 150.0, 1, label=1), neighbors.Slot(-2.0, 150.0, 1, label=0))
+GRID = tuple((g, a, b, u, v) for g in (0.5, 1.0) for a in (0.0, 0.5) for b in (0.0, 1.0) for u, v in ((0.0, 0.0), (0.5, 0.0), (0.25, 0.25)))
+GRID_SLOTS = tuple(neighbors.Slot(0.0, 150.0, k, i, one) for i in range(len(GRID)) for k, one in ((5, None), (1, 1), (1, 0)))
+
+
+@pytest.mark.parametrize(
+    "slots, more",
+    [
+        (SLOTS, {}), (SLOTS, {"fold": "fold"}), (SLOTS, {"itself": False}), (SLOTS, {"bound": 0.4}), (SLOTS, {"bound": 0.9, "pattern": 2}),
+        (SLOTS, {"orders": ((1.0, 0.0, 0.0, 0.0, 0.0),)}), (SLOTS, {"orders": ((0.0, 1.0, 0.0, 1.0, 0.0),)}), (GRID_SLOTS, {"orders": GRID, "pairs": True}),
+    ],
+)
+def test_a_full_cell_computes_few_pairs_exactly_and_finds_the_same(monkeypatch, slots, more):
+    table, search = _cell(3, 1500, 200, slots, **more)
+    computed, exact = [], neighbors.km_between
+
+    def counted(lat, lon, a, b):
+        computed.append(len(a))
+        return exact(lat, lon, a, b)
+
+    monkeypatch.setattr(neighbors, "km_between", counted)
+
+    def found():
+        computed.clear()
+        batches = neighbors._task(search, search.columns())(iter(table.to_batches()))
+        rows = [tuple(r.values())[:2] + (r[f"c{4 + len(search.columns())}"],) for b in batches for r in b.to_pylist()]
+        return sorted(rows), sum(computed)
+
+    few, n = found()
+    assert n < 1500 * 200 / 4
+    monkeypatch.setattr(neighbors, "BOUNDED_PAIRS", 1 << 40, raising=False)
+    every, n = found()
+    assert n == 1500 * 200 and few == every and len(few) > 200
