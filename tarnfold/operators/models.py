@@ -128,7 +128,7 @@ class EarlyStoppedGBT:
     report: Callable[[int], None] | None = None
 
     def fit(self, df: DataFrame) -> GBTClassificationModel:
-        split = cut_lineage(stratified_split(df, LABEL, self.share, self.key))
+        split = stored_evenly(stratified_split(df, LABEL, self.share, self.key))
         model = self.factory().fit(split.filter("split = 'train'"))
         losses = model.evaluateEachIteration(split.filter("split = 'test'"))
         best = losses.index(min(losses)) + 1 if losses and not any(map(math.isnan, losses)) else model.getNumTrees
@@ -193,6 +193,16 @@ def _in_parallel(work: Callable, items: Sequence, at_once: int = 4) -> list:
         return list(pool.map(work, items))
 
 
+def stored_evenly(df: DataFrame) -> DataFrame:
+    """Stored once for many fits, in at least as many parts as there are cores.
+
+    A shuffle leaves a small table in one or two parts, and then a fit, which scans it hundreds of times, has that many tasks.
+    """
+    stored = cut_lineage(df)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return stored if stored.rdd.getNumPartitions() >= cores else cut_lineage(stored.repartition(cores))
+
+
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=FEATURES, handleInvalid="keep").transform(df)
 
@@ -213,7 +223,7 @@ def cross_val_predict(
 ) -> tuple[DataFrame, DataFrame | None]:
     """Out-of-fold probabilities for every row of ``df`` (columns y, features, fold), and
     the average of the fold models on ``test``. The input is materialised once."""
-    df = cut_lineage(df)
+    df = stored_evenly(df)
     ids = list(folds) if folds is not None else [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
     models = _in_parallel(lambda i: factory().fit(df.filter(F.col(fold) != i)), ids)
     held = union_rows(*[predict(m, df.filter(F.col(fold) == i), out) for i, m in zip(ids, models)])
@@ -236,7 +246,7 @@ def cross_val_roster(
     The models of a fold score that fold one after the other in a single pass, so the
     columns need no join. ``test`` gets the fold models' average per model.
     """
-    df = cut_lineage(df)
+    df = stored_evenly(df)
     ids = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
     jobs = [(i, n) for i in ids for n in roster]
     fitted = dict(
@@ -271,7 +281,7 @@ def importances(model, names: Sequence[str]) -> list[tuple[str, float]]:
 
 
 def fit_final(factory: Factory, train: DataFrame, test: DataFrame, out: str = "proba") -> DataFrame:
-    return predict(factory().fit(cut_lineage(train)), test, out)
+    return predict(factory().fit(stored_evenly(train)), test, out)
 
 
 def compare_params(
@@ -550,7 +560,7 @@ def pseudo_label_loop(
 
 
 def _score_roster(roster: Mapping[str, Factory], train: DataFrame, test: DataFrame) -> DataFrame:
-    weighted = cut_lineage(class_weight_col(train, LABEL))
+    weighted = stored_evenly(class_weight_col(train, LABEL))
     models = _in_parallel(lambda n: roster[n]().fit(weighted), list(roster))
     scored = test
     for name, model in zip(roster, models):
@@ -594,7 +604,7 @@ def fit_text_classifier(
     Texts are split and hashed once; selection, weighting and regression scan the stored sparse vectors.
     """
     encoder = text_vectors(text, label, buckets, ngrams).fit(df)
-    vectors = cut_lineage(encoder.transform(df).select("_y", "_counts"))
+    vectors = stored_evenly(encoder.transform(df).select("_y", "_counts"))
     learner = text_learner(reg, keep).fit(vectors)
     names = IndexToString(inputCol="_pred", outputCol="predicted", labels=encoder.stages[0].labels)
     return PipelineModel([*encoder.stages[1:], *learner.stages, names])

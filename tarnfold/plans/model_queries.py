@@ -187,7 +187,7 @@ _IMPORTANT = FEATURES + ONE_HOT + ENCODED
 
 @query("importances", f"select feature, true as in_range, true as adds_to_one from (values {', '.join(f'({chr(39)}{n}{chr(39)})' for n in _IMPORTANT)}) v(feature)")
 def importances(spark, sf):
-    train = models.assemble(_plant_features(spark, sf, near=False), _IMPORTANT)
+    train = models.stored_evenly(models.assemble(_plant_features(spark, sf, near=False), _IMPORTANT))
     model = models.make_rf(weight=None).fit(train)
     ranked = spark.createDataFrame(models.importances(model, _IMPORTANT), "feature string, importance double")
     total = ranked.agg(F.sum("importance").alias("t"))

@@ -115,3 +115,22 @@ def test_newton_steps_end_at_the_optimum(spark, l2):
     for i in (0, 17, 299):
         assert held[i] == pytest.approx(1 / (1 + np.exp(-np.dot(model.weights[i % 4], [1, *x[i]]))))
     assert held[300] is None
+
+
+@pytest.mark.parametrize("train", ["cross_val_predict", "cross_val_roster", "fit_final"])
+def test_fits_scan_as_many_parts_as_there_are_cores(spark, signal, train):
+    parts = []
+
+    class Spy:
+        def fit(self, df):
+            parts.append(df.rdd.getNumPartitions())
+            return models.make_lr(0.01).fit(df)
+
+    few = signal.coalesce(1)
+    if train == "cross_val_predict":
+        models.cross_val_predict(Spy, few)
+    elif train == "cross_val_roster":
+        models.cross_val_roster({"a": Spy}, few)
+    else:
+        models.fit_final(Spy, few, signal.select("id", "features"))
+    assert parts and min(parts) >= spark.sparkContext.defaultParallelism
