@@ -2,20 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tarnfold.llm.common import forget, stored
 
+# As many edges are joined by one task; more of them are joined in rounds.
+SMALL = 1 << 16
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of a few edges (a, b)."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while above.setdefault(x, x) != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = top(a), top(b)
+            above[max(a, b)] = min(a, b)
+    roots = [top(x) for x in above]
+    yield pa.RecordBatch.from_arrays([pa.array(list(above), pa.int64()), pa.array(roots, pa.int64())], names=["node", "root"])
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): the smallest node it is linked with.
 
     Every round takes the smallest label among a node and its neighbours and then the label
     of that label, so that labels travel twice as far each time; it ends when no label changes.
+    No more than SMALL edges need no rounds.
     """
+    edges = stored(edges.select("a", "b").filter("a <> b"))
+    if edges.count() <= SMALL:
+        few = stored(edges.repartition(1).mapInArrow(_joined, "node bigint, root bigint"))
+        forget(edges)
+        return few
     both = stored(
-        edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).filter("u <> v").distinct()
+        edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct()
     )
+    forget(edges)
     labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root"))
     labels = stored(labels)
     while True:

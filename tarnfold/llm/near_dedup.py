@@ -10,12 +10,13 @@ depth. Candidates whose whole signatures agree too little are dropped, links are
 full sets, and where a crowded region cut the search short it is searched again between
 the components found so far. The classes of such regions get a longer signature, one bit of each of 2,048
 minimum hashes, which tells texts that share most of a passage from near-duplicates before a pair
-leaves its task. Classes that are cut short even then are joined on their rare shingles, with no bound on
-how far apart they lie.
+leaves its task. Classes that are cut short even then are joined on their rare shingles, and in blocks on their
+frequent ones, with no bound on how far apart they lie.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,19 +46,23 @@ class Settings:
     """``depth``: values two neighbours share at least. ``agree``: share of equal signature values
     below which a pair is not looked at again; a pair with 0.8 of its shingles in common falls
     below 0.62 with a chance of 1 in 100,000. ``reach`` and ``links``: how far along an order and for how
-    many candidates a class looks at first; ``far``: how far it looks in the second search;
+    many candidates a class looks at first; ``far`` and ``links_far``: the same of the second search, after which
+    all rows that were cut short are left to the exact join;
     ``agree_far``: the same by 2,048 bits, in the second search (for 0.8 the estimate deviates by 0.0133, so this
     is missed with a chance of 1 in 100,000); ``usual``: in how many of the classes left after it a shingle is no longer rare;
-    ``rounds``: how often components are joined by their centres before all other pairs are compared."""
+    ``rounds``: how often components are joined by their centres before all other pairs are compared;
+    ``block``: how many rows with frequent shingles only are compared with as many others by one task."""
 
     depth: int = 2
     agree: float = 0.62
     reach: int = 48
     links: int = 4
     far: int = 1024
+    links_far: int = 8
     agree_far: float = 0.743
     usual: int = 64
     rounds: int = 6
+    block: int = 512
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -157,7 +162,7 @@ def neighbours(rows: DataFrame, s: Settings, percent: int, second: bool, partiti
     def pairs(tree, sig, node, root, n, bits, older: int):
         """Pairs with the later one at or behind ``older``."""
         found, cut = [], np.zeros(len(node), bool)
-        left = np.full(len(node), 1 << 30 if second else s.links)
+        left = np.full(len(node), s.links_far if second else s.links)
         for lag in range(1, min(reach, len(node) - 1) + 1):
             near = (tree[:-lag] == tree[lag:]) & (sig[:-lag, : s.depth] == sig[lag:, : s.depth]).all(axis=1)
             near[: max(older - lag, 0)] = False
@@ -383,7 +388,7 @@ def _exhaust(
     Two sets whose first shared shingle, rarest first, is a rare one meet in a join on the rare
     shingles that begin them. All others share frequent shingles only, so how much they share
     follows from n and the frequent part alone: sets equal in both are one group, one set of each
-    group stands for it, and those are searched in the same way with a higher bound of what is rare.
+    group stands for it, and those are compared in blocks, which return no more links than they join.
     """
 
     @F.arrow_udf("array<bigint>")
@@ -393,36 +398,96 @@ def _exhaust(
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *each])))
 
     rows = rows.select("node", "n", numbers("shingles").alias("own"))
-    members, usual, more = None, s.usual, None
-    while True:
-        pairs, frequent = _by_rare_shingles(rows, percent, usual)
-        if members is None:
-            links, tried, roots = _connect(pairs, links, tried, roots, sets, percent, s.rounds)
-        else:
-            shared = stored(_sharing(pairs, rows, percent))
-            # every member of a group is as near to the other group's set as the one that stands for it
-            ends = shared.union(shared.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            partner = ends.groupBy(F.col("a").alias("group")).agg(F.min("b").alias("b"))
-            linked = shared.union(members.join(partner, "group").select(F.col("node").alias("a"), "b"))
-            more = linked if more is None else more.union(linked)
-        if frequent.isEmpty():
-            return roots if more is None or more.isEmpty() else merged(roots, more)
-        groups = stored(frequent.groupBy("n", "name").agg(F.min("node").alias("group")))
-        step = frequent.select("node", "n", "name", F.size("own").alias("k")).join(groups, ["n", "name"])
-        if members is not None:
-            step = step.withColumnRenamed("node", "below").join(members.withColumnRenamed("group", "below"), "below")
-        step = stored(step.select("node", "n", "k", "group"))
-        alike = step.filter(F.col("node") != F.col("group")).filter(100 * F.col("k") >= percent * (2 * F.col("n") - F.col("k")))
-        alike = alike.select(F.col("node").alias("a"), F.col("group").alias("b"))
-        more = alike if more is None else more.union(alike)
-        members = step.select("node", "group")
-        rows = stored(frequent.join(groups.select(F.col("group").alias("node")), "node").select("node", "n", "own"))
-        usual *= 8
+    pairs, frequent = _by_rare_shingles(rows, percent, s.usual)
+    links, tried, roots = _connect(pairs, links, tried, roots, sets, percent, s.rounds)
+    if frequent.isEmpty():
+        return roots
+    groups = stored(frequent.groupBy("n", "name").agg(F.min("node").alias("group")))
+    step = frequent.select("node", "n", "name", F.size("own").alias("k")).join(groups, ["n", "name"]).join(roots, "node", "left")
+    step = stored(step.select("node", "n", "k", "group", F.coalesce("root", "node").alias("root")))
+    alike = step.filter(F.col("node") != F.col("group")).filter(100 * F.col("k") >= percent * (2 * F.col("n") - F.col("k")))
+    alike = alike.select(F.col("node").alias("a"), F.col("group").alias("b"))
+    # a group with rows of several components is taken as a component of its own
+    one = F.when(F.min("root") == F.max("root"), F.min("root")).otherwise(-1 - F.col("group"))
+    known = step.groupBy("group").agg(one.alias("root")).withColumnRenamed("group", "node")
+    shared = stored(_by_blocks(stored(frequent.select("node", "n", "own", "head").join(known, "node")), percent, s.block))
+    # every member of a group is as near to the other group's set as the one that stands for it
+    ends = shared.union(shared.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    partner = ends.groupBy(F.col("a").alias("group")).agg(F.min("b").alias("b"))
+    linked = shared.union(step.join(partner, "group").select(F.col("node").alias("a"), "b"))
+    return merged(roots, alike.union(linked))
+
+
+def _by_blocks(rows: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) that join all of ``rows`` (node, n, own, head, root) that are near by ``own`` and not of one root yet.
+
+    Rows that share no shingle of their heads, even by way of others, are not near, and neither are those
+    whose sizes differ by more than one step. What is left is dealt out in blocks, and every
+    two blocks that may hold near rows meet in a task.
+    """
+    if rows.count() > block:
+        places = components(rows.select(F.col("node").alias("a"), F.explode("head").alias("b")))
+        rows = rows.join(places.withColumnRenamed("root", "place"), "node")
+    else:
+        rows = rows.withColumn("place", F.lit(0).cast("long"))
+    step = F.floor(F.log(F.col("n").cast("double")) / max(1e-3, math.log(100 / percent) * (1 + 1e-9)))
+    rows = stored(rows.select("node", "n", "own", "root", "place", step.alias("size")))
+    # blocks hold so many rows and, of long ones, so many shingles at most
+    many = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.size("own")) / (256 * block))).cast("int")
+    parts = stored(rows.groupBy("place", "size").agg(many.alias("parts")))
+    near = lambda by, name: parts.select("place", (F.col("size") + by).alias("size"), F.col("parts").alias(name))
+    rows = rows.join(parts, ["place", "size"]).join(near(1, "below"), ["place", "size"], "left").join(near(-1, "above"), ["place", "size"], "left")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    each = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    meet = lambda low, x, high, y, later: F.struct(low.alias("low"), x.alias("x"), high.alias("high"), y.alias("y"), later.alias("later"))
+    size, own = F.col("size"), F.col("block")
+    met = F.concat(
+        F.transform(each(F.col("parts")), lambda i: meet(size, F.least(own, i), size, F.greatest(own, i), own > i)),
+        F.transform(each(F.col("above")), lambda i: meet(size, own, size + 1, i, F.lit(False))),
+        F.transform(each(F.col("below")), lambda i: meet(size - 1, i, size, own, F.lit(True))),
+    )
+    dealt = rows.select("node", "n", "own", "root", "place", F.inline(met))
+
+    def links(table: pa.Table) -> pa.Table:
+        single = (table["low"][0], table["x"][0]) == (table["high"][0], table["y"][0])
+        node, n, root, later = (table[c].to_numpy() for c in ("node", "n", "root", "later"))
+        some, others = (np.arange(len(node)),) * 2 if single else (np.flatnonzero(~later), np.flatnonzero(later))
+        near = _near(table["own"].combine_chunks(), n, some, others, percent)
+        found = []
+        for x, row in zip(some.tolist(), near, strict=True):
+            at = others[row]
+            _, first = np.unique(root[at], return_index=True)
+            for y in at[first].tolist():
+                if root[x] != root[y]:
+                    found.append((node[x], node[y]))
+                    root = np.where(root == root[y], root[x], root)
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": a, "b": b})
+
+    return dealt.groupBy("place", "low", "x", "high", "y").applyInArrow(links, "a bigint, b bigint")
+
+
+def _near(own: pa.ListArray, n: np.ndarray, some: np.ndarray, others: np.ndarray, percent: int, width: int = 2048) -> np.ndarray:
+    """Which of ``some`` rows are near which of the ``others`` by the shingles in ``own``; multiplied ``width`` shingles at a time."""
+    row = np.repeat(np.arange(len(n)), np.diff(own.offsets.to_numpy()))
+    _, code, count = np.unique(own.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    order = np.argsort(code, kind="stable")
+    order = order[count[code[order]] > 1]
+    row, code = row[order], code[order]
+    shared = np.zeros((len(some), len(others)), np.float32)
+    for first in range(0, len(count), width):
+        i, j = np.searchsorted(code, [first, first + width])
+        if i < j:
+            has = np.zeros((len(n), width), np.float32)
+            has[row[i:j], code[i:j] - first] = 1
+            shared += has[some] @ has[others].T
+    return 100 * shared.astype(np.int64) >= percent * (n[some][:, None] + n[others] - shared.astype(np.int64))
 
 
 def _by_rare_shingles(rows: DataFrame, percent: int, usual: int) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs of ``rows`` (node, n, own) that share one of their first rare shingles, and the frequent
-    parts (node, n, own, name) of those rows that can be near another by these alone."""
+    parts (node, n, own, head, name) of those rows that can be near another by these alone: two that are have a
+    shingle of their heads in common."""
     each = rows.select("node", "n", F.explode("own").alias("s"))
     # a shingle of a single row is shared with none; the rarest first, ties by hash
     count = stored(each.groupBy("s").agg(F.count("*").alias("d")).filter("d > 1"))
@@ -436,17 +501,12 @@ def _by_rare_shingles(rows: DataFrame, percent: int, usual: int) -> tuple[DataFr
     near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     pairs = side("a").join(side("b"), "s").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
     common = F.transform(F.filter("own", lambda x: x["d"] > usual), lambda x: x["s"])
-    frequent = known.select("node", "n", F.array_sort(common).alias("own")).filter(100 * F.size("own") >= percent * F.col("n"))
+    frequent = known.select("node", "n", common.alias("common")).filter(100 * F.size("common") >= percent * F.col("n"))
+    head = F.slice("common", F.lit(1), (F.size("common") - least + 1).cast("int"))
+    frequent = frequent.select("node", "n", F.array_sort("common").alias("own"), head.alias("head"))
     return stored(pairs), stored(frequent.withColumn("name", F.sha2(F.array_join("own", " "), 256)))
 
 
-def _sharing(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are near by what ``rows`` (node, n, own) hold of their n shingles."""
-    side = lambda name: rows.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("own").alias(f"own_{name}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("k", F.size(F.array_intersect("own_a", "own_b")))
-    return joined.filter(100 * F.col("k") >= percent * (F.col("n_a") + F.col("n_b") - F.col("k"))).select("a", "b")
-
-
 def _partitions(spark, rows: int, reach: int) -> int:
     """As many as the shuffle has, but each with many times more rows than a task looks ahead."""
     return max(1, min(tasks(spark), rows // (16 * reach)))
@@ -457,21 +517,27 @@ def _connect(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Confirm ``pairs``, first by way of centres, then all that still lie between two components."""
 
-    def confirmed(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-        asked = stored(candidates.join(tried, ["a", "b"], "left_anti"))
-        return asked, stored(confirm(asked, sets, percent))
-
+    apart = stored(_between(pairs, roots))
     for _ in range(rounds):
-        asked, more = confirmed(_to_centres(pairs, links, roots))
+        asked = stored(_to_centres(apart, links, roots).join(tried, ["a", "b"], "left_anti"))
+        if 10 * asked.count() <= apart.count():  # they could spare few of the other comparisons
+            break
+        more = stored(confirm(asked, sets, percent))
         tried, links = tried.union(asked), links.union(more)
         if more.isEmpty():
             break
-        roots = merged(roots, more)
-    asked, more = confirmed(_between(pairs, roots))
+        roots, before = merged(roots, more), apart
+        apart = stored(_between(before, roots))
+        forget(before)
+    asked = stored(apart.select("a", "b").join(tried, ["a", "b"], "left_anti"))
+    forget(apart)
+    if asked.isEmpty():
+        return links, tried, roots
+    more = stored(confirm(asked, sets, percent))
     return links.union(more), tried.union(asked), roots if more.isEmpty() else merged(roots, more)
 
 
-def _to_centres(pairs: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+def _to_centres(apart: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
     """For each candidate pair between two components: each end with the centre of the other's component.
 
     The centre is the class with the most links. Copies of one text are often nearer to it than to
@@ -479,20 +545,18 @@ def _to_centres(pairs: DataFrame, links: DataFrame, roots: DataFrame) -> DataFra
     """
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n"))
     centres = ends.join(roots, "node").groupBy("root").agg(F.max_by("node", F.struct("n", "node")).alias("centre"))
-    named = roots.join(centres, "root")
-    side = lambda name: named.select(F.col("node").alias(name), F.col("root").alias(f"r_{name}"), F.col("centre").alias(f"c_{name}"))
-    joined = pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    apart = joined.filter(F.coalesce("r_a", "a") != F.coalesce("r_b", "b"))
-    ask = lambda end, centre: F.when(F.col(centre).isNotNull(), F.struct(F.col(end).alias("x"), F.col(centre).alias("y")))
-    asks = F.array_compact(F.array(ask("a", "c_b"), ask("b", "c_a")))
-    return apart.select(F.inline(asks)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # an end asks a centre once, however many candidates it has in its component
+    towards = lambda end, root: apart.select(F.col(end).alias("x"), F.col(root).alias("root"))
+    asks = towards("a", "root_b").union(towards("b", "root_a")).distinct().join(centres, "root")
+    return asks.select(F.least("x", "centre").alias("a"), F.greatest("x", "centre").alias("b")).distinct()
 
 
 def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose ends are not connected yet."""
+    """Pairs whose ends are not connected yet, with the roots of both."""
     side = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
-    joined = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return joined.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    joined = pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    named = joined.select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b"))
+    return named.filter("root_a <> root_b")
 
 
 def near_duplicates(

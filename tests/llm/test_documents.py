@@ -51,6 +51,48 @@ def test_near_duplicates_far_apart_in_a_crowded_region(spark):
     assert len({c for _, _, c in expected}) > 200
 
 
+def test_a_crowd_on_frequent_shingles_makes_no_square_of_pairs(spark, monkeypatch):
+    """Texts that differ in two words of a passage, in the same places as others do: nothing but frequent shingles."""
+    rng = random.Random(12)
+    passage = [f"w{k}" for k in range(100)]
+    rows = []
+    for k, (i, j) in enumerate(rng.sample([(i, j) for i in range(100) for j in range(i)], 500)):
+        rows.append((k, " ".join("other" if at in (i, j) else w for at, w in enumerate(passage))))
+    made, stored = [], near_dedup.stored
+
+    def counted(df):
+        out = stored(df)
+        if out.columns[:2] == ["a", "b"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    settings = near_dedup.Settings(reach=3, links=1, far=8, usual=4, block=64)
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), words=4, settings=settings)
+    assert found_components(out) == sorted(exact_components(rows, 4), key=str)
+    assert max(made) < 25 * len(rows)
+
+
+@pytest.mark.parametrize("width", [7, 2048])
+def test_blocks_join_what_is_near(spark, width, monkeypatch):
+    """Rows of many sizes, in blocks of a few; some are of one root already."""
+    monkeypatch.setattr(near_dedup._near, "__defaults__", (width,))
+    rng, rows = random.Random(3), []
+    for k in range(160):
+        n = 10 + k // 8
+        own = sorted(rng.sample(range(26 * (k % 2), 26 * (k % 2) + n + 2), n - k % 3))
+        rows.append((k, n, own, own, k if k % 5 else 5))
+    near = lambda a, b: 100 * len(set(a[2]) & set(b[2])) >= 80 * (a[1] + b[1] - len(set(a[2]) & set(b[2])))
+    known = [(r[0], -r[4]) for r in rows]
+    df = spark.createDataFrame(rows, "node bigint, n bigint, own array<bigint>, head array<bigint>, root bigint")
+    links = [tuple(r) for r in near_dedup._by_blocks(df, 80, 16).collect()]
+    assert all(near(rows[a], rows[b]) for a, b in links)
+    pairs = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and near(a, b)]
+    roots = lambda edges: {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert roots(links + known) == roots(pairs + known)
+    assert 0 < len(links) < len(pairs)
+
+
 def test_many_partitions_see_the_same_neighbours(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "_partitions", lambda spark, rows, reach: 9)
     rows = copies(seed=8)
@@ -98,7 +140,9 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_dedup.near_duplicates(empty_documents(spark)).count() == 0
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("small", [0, components.SMALL])
+def test_components_of_chains_and_stars(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 40)] + [(7, 7), (500, 400), (400, 500)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 1 for i in range(1, 40)) and got[500] == 400
