@@ -46,8 +46,8 @@ class Settings:
     """``depth``: values two neighbours share at least. ``agree``: share of equal signature values
     below which a pair is not looked at again; a pair with 0.8 of its shingles in common falls
     below 0.62 with a chance of 1 in 100,000. ``reach`` and ``links``: how far along an order and for how
-    many candidates a class looks at first; ``far`` and ``links_far``: the same of the second search, after which
-    all rows that were cut short are left to the exact join;
+    many candidates a class looks at first; ``far``: how far it looks in the second search, after
+    which all rows that were cut short are left to the exact join;
     ``agree_far``: the same by 2,048 bits, in the second search (for 0.8 the estimate deviates by 0.0133, so this
     is missed with a chance of 1 in 100,000); ``usual``: in how many of the classes left after it a shingle is no longer rare;
     ``rounds``: how often components are joined by their centres before all other pairs are compared;
@@ -58,7 +58,6 @@ class Settings:
     reach: int = 48
     links: int = 4
     far: int = 1024
-    links_far: int = 8
     agree_far: float = 0.743
     usual: int = 64
     rounds: int = 6
@@ -151,7 +150,8 @@ def neighbours(rows: DataFrame, s: Settings, percent: int, second: bool, partiti
     """Candidate pairs (a, b, agree) of ``rows`` (tree, signature, node, root, n), and which nodes were cut short.
 
     Rows lie in order over range partitions, each task holds a window of ``reach`` rows, and
-    the rows at the ends of neighbouring partitions meet in a second small step.
+    the rows at the ends of neighbouring partitions meet in a second small step. Of a long run of rows that each agree
+    with the next one, only these pairs are returned at first: the second search asks which of the run they join.
     Sets whose sizes alone keep them below ``percent`` are no pair. In the ``second`` search pairs of
     one root are left out, and of all others those that agree enough in their ``bits`` are kept.
     """
@@ -162,7 +162,7 @@ def neighbours(rows: DataFrame, s: Settings, percent: int, second: bool, partiti
     def pairs(tree, sig, node, root, n, bits, older: int):
         """Pairs with the later one at or behind ``older``."""
         found, cut = [], np.zeros(len(node), bool)
-        left = np.full(len(node), s.links_far if second else s.links)
+        left, run, long = np.full(len(node), s.links), np.zeros(len(node), np.int64), np.zeros(len(node), bool)
         for lag in range(1, min(reach, len(node) - 1) + 1):
             near = (tree[:-lag] == tree[lag:]) & (sig[:-lag, : s.depth] == sig[lag:, : s.depth]).all(axis=1)
             near[: max(older - lag, 0)] = False
@@ -183,6 +183,16 @@ def neighbours(rows: DataFrame, s: Settings, percent: int, second: bool, partiti
                 share = (sig[at] == sig[at + lag]).mean(axis=1)
             enough = share >= (s.agree_far if second else s.agree)
             at, share = at[enough], share[enough]
+            if lag == 1 and not second:
+                # rows that agree with the next one make a run; those of a long one are searched again in any case
+                breaks = np.ones(len(node), bool)
+                breaks[at + 1] = False
+                run = np.cumsum(breaks) - 1
+                long = np.bincount(run)[run] > reach
+            elif not second:
+                within = long[at] & (run[at] == run[at + lag])
+                cut[at[within]] = cut[at[within] + lag] = True
+                at, share = at[~within], share[~within]
             over = at[left[at] <= 0]
             cut[over] = cut[over + lag] = True
             at, share = at[left[at] > 0], share[left[at] > 0]
@@ -232,16 +242,25 @@ def neighbours(rows: DataFrame, s: Settings, percent: int, second: bool, partiti
             schema=names,
         )
 
+    def beyond(part: list, at: int) -> np.ndarray:
+        """Rows that are not in the region of row ``at``."""
+        tree, sig = part[:2]
+        return np.flatnonzero((tree != tree[at]) | (sig[:, : s.depth] != sig[at, : s.depth]).any(axis=1))
+
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, tail, head_sent = TaskContext.get().partitionId(), None, 0
+        here, tail, head_sent, head = TaskContext.get().partitionId(), None, 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             part = matrix(batch)
-            if head_sent < reach:  # the first rows also meet the end of the partition before
+            if head_sent < reach:  # the first rows also meet the end of the partition before: their region, and a row that ends it
                 some = [x[: reach - head_sent] for x in part]
+                head = head or [x[:1] for x in part]
+                other = beyond([np.concatenate([x, y]) for x, y in zip(head, some, strict=True)], 0)
+                if len(other):
+                    some = [x[: other[0]] for x in some]
                 yield edge_rows(some, here - 1, reach + head_sent)
-                head_sent += len(some[0])
+                head_sent = reach if len(other) else head_sent + len(some[0])
             older = 0
             if tail is not None:
                 older = len(tail[0])
@@ -250,6 +269,8 @@ def neighbours(rows: DataFrame, s: Settings, percent: int, second: bool, partiti
             yield records(part[2], (a, b, share), np.unique(part[2][cut]))
             tail = [x[-reach:] for x in part]
         if tail is not None:
+            other = beyond(tail, -1)
+            tail = [x[other[-1] if len(other) else 0 :] for x in tail]
             yield edge_rows(tail, here, reach - len(tail[0]))
 
     def across(table: pa.Table) -> pa.Table:

@@ -116,6 +116,22 @@ def test_more_partitions_than_the_window_has_rows(spark, monkeypatch):
     assert found_components(near_dedup.near_duplicates(docs, words=4)) == sorted(exact_components(rows, 4), key=str)
 
 
+def test_a_long_run_of_copies_is_searched_once(spark):
+    """Versions of one text: the first search names neighbours in the order, not all that lie within reach."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join(base[:at] + [f"own{k}"] + base[at:]) for k, at in enumerate(rng.choices(range(200), k=400))]
+    sets = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "node bigint, t string")
+    sketch = F.arrow_udf(lambda t: near_dedup.sketches(t, 4), "struct<n: bigint, h1: bigint, h2: bigint, signature: binary>")
+    alone = sets.select("node", sketch("t").alias("s")).select("node", "s.n", "s.signature", F.col("node").alias("root"), F.lit(None).cast("binary").alias("bits"))
+    found = near_dedup.neighbours(near_dedup.forest_rows(alone), near_dedup.Settings(), 80, False, 4)
+    # one for each row and order, and some more beside the ends of runs and partitions
+    assert found.filter("not cut").count() < 2 * near_dedup.TREES * len(texts)
+    assert found.filter("cut").select("a").distinct().count() == len(texts)
+    out = near_dedup.near_duplicates(sets, text="t", key="node", words=4)
+    assert {r.component_id for r in out.collect()} == {0}
+
+
 def test_bits_estimate_similarity():
     rng = np.random.default_rng(2)
     shared, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (800, 100, 100))
