@@ -33,6 +33,8 @@ REMEMBERED_BYTES, ENTRY_BYTES, LONG = 112 << 20, 170, 64
 TOGETHER = 1 << 20
 # Arcs of which the answer is kept.
 ARCS = 600_000
+# Keys of a node of the tree of tokens beside its symbols.
+INSIDE, AT_END = 0, 1
 
 
 def byte_symbols() -> list[str]:
@@ -61,22 +63,29 @@ class TokenAutomaton:
             self._gadget(rank, vocab[u], vocab[v], vocab[u + v])
         self.arcs: dict[int, dict[int, bool]] = {}
         self.known_arcs = 0
-        # the symbols of all tokens as a transition table, and the token that ends in each of its
-        # states inside a word and at the end of one, or -1
-        self.steps: list[dict[str, int]] = [{}]
-        self.inner, self.final = [-1], [-1]
+        # the symbols of all tokens as a tree: under INSIDE and AT_END a node has the tokens on the way to it, shortest
+        # first, that can be taken where the word goes on behind it, and where the word ends in it
+        self.root: dict = {INSIDE: (), AT_END: ()}
+        self.length = [0] * size
+        ends_in: list[tuple[dict, bool, int]] = []
         for text, token in vocab.items():
             ends = bool(suffix) and text.endswith(suffix)
-            state = 0
-            for symbol in text[: -len(suffix)] if ends else text:
-                if symbol not in self.steps[state]:
-                    self.steps[state][symbol] = len(self.steps)
-                    self.steps.append({})
-                    self.inner.append(-1)
-                    self.final.append(-1)
-                state = self.steps[state][symbol]
+            symbols = text[: -len(suffix)] if ends else text
+            node = self.root
+            for symbol in symbols:
+                node = node.setdefault(symbol, {})
             if token not in self.unused:
-                (self.final if ends else self.inner)[state] = token
+                self.length[token] = len(symbols)
+                ends_in.append((node, ends, token))
+        for node, ends, token in ends_in:
+            node[AT_END if ends else INSIDE] = token
+        todo = [((), node) for symbol, node in self.root.items() if isinstance(symbol, str)]
+        while todo:
+            before, node = todo.pop()
+            inner, final = node.get(INSIDE), node.get(AT_END)
+            node[INSIDE] = here = before if inner is None else (*before, inner)
+            node[AT_END] = before if final is None else (*before, final)
+            todo += [(here, below) for symbol, below in node.items() if isinstance(symbol, str)]
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         if u in self.unused or v in self.unused or not self._follows(u, v, rank):
@@ -121,35 +130,28 @@ class TokenAutomaton:
         The longest token that may follow is taken first. The path up to any place is the only
         one, so a place with no way on is given up for good, and the walk is linear in the word.
         """
-        steps, inner, arcs, n = self.steps, self.inner, self.arcs, len(word)
+        root, length, arcs, n = self.root, self.length, self.arcs, len(word)
         tokens: list[int] = []
         begins: list[int] = []
-        ways: list[tuple[list[int], list[int]]] = []
+        ways: list[tuple[tuple[int, ...], int]] = []
         shut: set[int] = set()
         at, row = 0, None
         while True:
-            state, k, ends, ahead = 0, at, [], []
+            node = root
             for symbol in word[at:] if at else word:
-                state = steps[state].get(symbol)
-                if state is None:
+                below = node.get(symbol)
+                if below is None:
+                    ahead = node[INSIDE]
                     break
-                k += 1
-                token = inner[state]
-                if token >= 0:
-                    ends.append(k)
-                    ahead.append(token)
+                node = below
             else:  # at the end of the word, tokens that end one
-                if ends and ends[-1] == n:
-                    ends.pop()
-                    ahead.pop()
-                token = self.final[state]
-                if token >= 0:
-                    ends.append(n)
-                    ahead.append(token)
+                ahead = node[AT_END]
+            left = len(ahead)
             while True:
-                while ahead:
-                    token, end = ahead.pop(), ends.pop()
-                    if shut and end in shut:
+                while left:
+                    left -= 1
+                    token = ahead[left]
+                    if shut and at + length[token] in shut:
                         continue
                     if not tokens:
                         break
@@ -163,15 +165,16 @@ class TokenAutomaton:
                         raise ValueError(f"no path for {word!r}")
                     shut.add(at)
                     tokens.pop()
-                    at, (ahead, ends) = begins.pop(), ways.pop()
+                    at, (ahead, left) = begins.pop(), ways.pop()
                     row = arcs.get(tokens[-1]) if tokens else None
                     continue
                 break
             tokens.append(token)
+            end = at + length[token]
             if end == n:
                 return tokens
             begins.append(at)
-            ways.append((ahead, ends))
+            ways.append((ahead, left))
             at, row = end, arcs.get(token)
 
 
@@ -307,7 +310,7 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", into: str = "deco
 
     @F.arrow_udf("string")
     def labels(arrays: pa.Array) -> pa.Array:
-        names = tokenizer(vocabulary).names
+        names = pa.array(tokenizer(vocabulary).names, pa.large_string())
         # null arrays have no values, whatever lies behind them
         tokens, lengths = arrays.flatten(), pc.fill_null(pc.list_value_length(arrays), 0).to_numpy(zero_copy_only=False)
         known = pc.fill_null(pc.and_(pc.greater_equal(tokens, 0), pc.less(tokens, len(names))), False)
@@ -315,10 +318,7 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", into: str = "deco
         if not pc.all(known, min_count=0).as_py():
             kept = np.concatenate([[0], np.cumsum(known.to_numpy(zero_copy_only=False))])
             tokens, ends = tokens.filter(known), kept[ends]
-        ids, begin, out = tokens.to_numpy(zero_copy_only=False), 0, []
-        for end in ends.tolist():
-            out.append(" ".join(map(names.__getitem__, ids[begin:end].tolist())))
-            begin = end
-        return pa.array(out, pa.string())
+        parts = pa.LargeListArray.from_arrays(np.concatenate([[0], ends]), names.take(tokens))
+        return pc.binary_join(parts, pa.scalar(" ", pa.large_string())).cast(pa.string())
 
     return docs.withColumn(into, labels(F.col(ids)))
