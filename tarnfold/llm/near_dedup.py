@@ -488,21 +488,25 @@ def _by_blocks(rows: DataFrame, percent: int, block: int) -> DataFrame:
     return dealt.groupBy("place", "low", "x", "high", "y").applyInArrow(links, "a bigint, b bigint")
 
 
-def _near(own: pa.ListArray, n: np.ndarray, some: np.ndarray, others: np.ndarray, percent: int, width: int = 2048) -> np.ndarray:
-    """Which of ``some`` rows are near which of the ``others`` by the shingles in ``own``; multiplied ``width`` shingles at a time."""
+def _near(own: pa.ListArray, n: np.ndarray, some: np.ndarray, others: np.ndarray, percent: int, width: int = 1 << 13) -> np.ndarray:
+    """Which of ``some`` rows are near which of the ``others`` by the shingles in ``own``; ``width`` shingles at a time, as bits."""
     row = np.repeat(np.arange(len(n)), np.diff(own.offsets.to_numpy()))
     _, code, count = np.unique(own.flatten().to_numpy(), return_inverse=True, return_counts=True)
     order = np.argsort(code, kind="stable")
     order = order[count[code[order]] > 1]
     row, code = row[order], code[order]
-    shared = np.zeros((len(some), len(others)), np.float32)
+    shared = np.zeros((len(some), len(others)), np.int64)
     for first in range(0, len(count), width):
         i, j = np.searchsorted(code, [first, first + width])
-        if i < j:
-            has = np.zeros((len(n), width), np.float32)
-            has[row[i:j], code[i:j] - first] = 1
-            shared += has[some] @ has[others].T
-    return 100 * shared.astype(np.int64) >= percent * (n[some][:, None] + n[others] - shared.astype(np.int64))
+        if i == j:
+            continue
+        has = np.zeros((len(n), -(-width // 64) * 64), np.uint8)
+        has[row[i:j], code[i:j] - first] = 1
+        has = np.packbits(has, axis=1).view(np.uint64)
+        right = has[others]
+        for k, x in enumerate(some):
+            shared[k] += np.bitwise_count(right & has[x]).sum(axis=1, dtype=np.int64)
+    return 100 * shared >= percent * (n[some][:, None] + n[others] - shared)
 
 
 def _by_rare_shingles(rows: DataFrame, percent: int, usual: int) -> tuple[DataFrame, DataFrame]:

@@ -73,7 +73,7 @@ def test_a_crowd_on_frequent_shingles_makes_no_square_of_pairs(spark, monkeypatc
     assert max(made) < 25 * len(rows)
 
 
-@pytest.mark.parametrize("width", [7, 2048])
+@pytest.mark.parametrize("width", [7, 1 << 13])
 def test_blocks_join_what_is_near(spark, width, monkeypatch):
     """Rows of many sizes, in blocks of a few; some are of one root already."""
     monkeypatch.setattr(near_dedup._near, "__defaults__", (width,))
