@@ -323,3 +323,32 @@ def test_a_full_cell_computes_few_pairs_exactly_and_finds_the_same(monkeypatch,
     monkeypatch.setattr(neighbors, "BOUNDED_PAIRS", 1 << 40, raising=False)
     every, n = found()
     assert n == 1500 * 200 and few == every and len(few) > 200
+
+
+@pytest.mark.parametrize(
+    "more",
+    [
+        {}, {"fold": "fold"}, {"itself": False}, {"bound": 0.4}, {"bound": 0.9, "pattern": 2}, {"bound": 0.6, "pattern": 0},
+        {"orders": ((1.0, 0.0, 0.0, 0.0, 0.0),)}, {"orders": ((0.5, 1.0, 0.0, 1.0, 0.0),)},
+    ],
+)
+def test_a_fuller_cell_looks_at_few_of_its_pairs_and_finds_the_same(monkeypatch, more):
+    table, search = _cell(5, 8000, 1000, SLOTS, **more)
+    table = table.set_column(table.schema.get_field_index("_open"), "_open", pa.array(np.full(9000, 15)))
+    looked, square = [], neighbors.Chords.square
+
+    def counted(self, queries):
+        out = square(self, queries)
+        looked.append(out.size)
+        return out
+
+    monkeypatch.setattr(neighbors.Chords, "square", counted)
+
+    def found():
+        batches = neighbors._task(search, search.columns())(iter(table.to_batches()))
+        return sorted(tuple(r.values())[:2] + (r[f"c{4 + len(search.columns())}"],) for b in batches for r in b.to_pylist())
+
+    few = found()
+    assert sum(looked) < 8000 * 1000 / 2
+    monkeypatch.setattr(neighbors, "BOUNDED_PAIRS", 1 << 40)
+    assert few == found() and len(few) > 200
