@@ -336,14 +336,14 @@ def route_by_language(
 ) -> DataFrame:
     """Apply a text mapping (a column function or pandas UDF) only where the language asks for it.
 
-    One scan serves all languages. A UDF inside a CASE runs on every row, so every mapper gets NULL for the rows
-    of other languages instead of their texts.
+    A UDF inside a CASE runs on every row, so the rows of each language are filtered first and a mapper gets these
+    only. The table is read once for each language and once for the others.
     """
-    routed = F.col(text)
-    for code, mapper in mappers.items():
-        asked = F.col(lang).eqNullSafe(F.lit(code))
-        routed = F.when(asked, mapper(F.when(asked, F.col(text)))).otherwise(routed)
-    return df.withColumn(out, routed)
+    routed = [df.filter(F.col(lang).eqNullSafe(F.lit(code))).withColumn(out, mapper(F.col(text))) for code, mapper in mappers.items()]
+    others = df
+    for code in mappers:
+        others = others.filter(~F.col(lang).eqNullSafe(F.lit(code)))
+    return union_rows(others.withColumn(out, F.col(text)), *routed)
 
 
 def render_prompt(
