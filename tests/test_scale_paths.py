@@ -204,6 +204,11 @@ def test_neighbour_search_by_level_equals_brute_force(spark, monkeypatch, order,
             assert got is None if value is None else got == pytest.approx(value, abs=1e-6), (r.id, name)
 
 
+def test_neighbour_search_from_small_bounds_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(geo, "LEVEL_ROWS", 1)
+    test_neighbour_search_by_level_equals_brute_force(spark, monkeypatch, "combined", 40, 50, True)
+
+
 def test_keyword_index_equals_trying_every_keyword(spark, monkeypatch):
     parts = ["ab", "bc", "a b", "", "x", "äö", "nation", "tion", "zzzz", "The", "the ", "e\nf", "abcab", "ß", "日本語"]
     rows = [(f"l{i % 7}", ["en", "de", "*"][i % 3] if i % 3 < 2 else "en", parts[i % len(parts)] + parts[i * 7 % len(parts)]) for i in range(90)] + [("n", "en", None), ("d", "en", "ab"), ("d", "en", "ab")]
