@@ -272,6 +272,8 @@ class WordTokenizer:
 
 
 _loaded: dict[str, WordTokenizer] = {}
+# The texts that a vocabulary encoded last, with their ids, until they are asked for again or others come.
+_last: dict[str, tuple[pa.Array, pa.ListArray]] = {}
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -280,6 +282,28 @@ def tokenizer(path: str) -> WordTokenizer:
     return _loaded[path]
 
 
+def token_ids(texts: pa.Array, vocabulary: str) -> pa.ListArray:
+    """Token ids of each text; NULL and empty texts have none.
+
+    Where both the ids and what ``decode`` makes of them are used, Spark chains the two and asks for the ids of a batch
+    twice in a row, so they are kept for one more call.
+    """
+    before = _last.pop(vocabulary, None)
+    if before is not None and before[0].equals(texts):
+        return before[1]
+    del before
+    model, parts, lengths = tokenizer(vocabulary), [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    _, starts = flat(texts)
+    for i, j in blocks(starts, TOGETHER):
+        found, n = model.encode([t or "" for t in texts.slice(i, j - i).to_pylist()])
+        parts.append(found)
+        lengths.append(n)
+    offsets = np.cumsum(np.concatenate(lengths)).astype(np.int32)
+    out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
+    _last[vocabulary] = texts, out
+    return out
+
+
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", into: str = "ids") -> DataFrame:
     """``docs`` with the token ids of each whole text, no special tokens added.
 
@@ -290,14 +314,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", into: str = "id
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        model, parts, lengths = tokenizer(vocabulary), [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-        _, starts = flat(texts)
-        for i, j in blocks(starts, TOGETHER):
-            found, n = model.encode([t or "" for t in texts.slice(i, j - i).to_pylist()])
-            parts.append(found)
-            lengths.append(n)
-        offsets = np.cumsum(np.concatenate(lengths)).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
+        return token_ids(texts, vocabulary)
 
     return docs.withColumn(into, ids(F.col(text)))
 

@@ -133,6 +133,19 @@ def test_bpe_query_and_odd_rows(spark):
     assert [r.decoded for r in bpe.decode(strange, path).collect()] == ["", library.id_to_token(5)]
 
 
+def test_bpe_encodes_a_batch_once_for_ids_and_decoded_text(monkeypatch):
+    path = vocabulary("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    calls, plain = [], bpe.WordTokenizer.encode
+    monkeypatch.setattr(bpe.WordTokenizer, "encode", lambda model, texts: calls.append(len(texts)) or plain(model, texts))
+    batches = [["Hello, world", "", None, "gr\u00f6\u00dfer"], ["one two", "Hello, world", None, ""], ["one two"]]
+    for texts in batches:
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        for _ in range(2):  # as Spark asks in a plan that uses the ids and decodes them
+            assert bpe.token_ids(pa.array(texts, pa.string()), path).to_pylist() == want
+    assert calls == [4, 4, 1]
+
+
 _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 
 
