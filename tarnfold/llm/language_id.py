@@ -105,34 +105,44 @@ def sum_by(place: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(place, values[:, f], n) for f in range(values.shape[1])], axis=1).astype(np.float32)
 
 
+def bags(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different buckets of every text, the share of its grams in each, and where each text begins (one more entry).
+
+    They lie in one array each, and few texts are taken apart at once: the driver gets all of that memory back, which many
+    small arrays would leave in pieces.
+    """
+    room = sum(2 * len(t.encode()) for t in texts)
+    buckets, shares, ends = np.empty(room, np.int32), np.empty(room, np.float32), np.zeros(len(texts) + 1, np.int64)
+    for k, text in enumerate(texts):
+        data, starts = flat(pa.array([text], pa.large_string()))
+        both = np.concatenate(grams(data, starts, bits))
+        bucket, count = np.unique(both[both < (1 << bits)], return_counts=True)
+        ends[k + 1] = ends[k] + len(bucket)
+        buckets[ends[k] : ends[k + 1]] = bucket
+        shares[ends[k] : ends[k + 1]] = count / max(count.sum(), 1)
+    return buckets, shares, ends
+
+
 def train(texts: list[str], labels: list[str], s: Settings) -> Model:
     """Stochastic gradient descent over mean embeddings; rows come in a fixed order."""
     languages = tuple(sorted(set(labels)))
     y = np.searchsorted(np.array(languages), np.array(labels)) if languages else np.zeros(0, int)
-    data, starts = flat(pa.array(texts, pa.large_string()))
-    bags = []
-    for i, j in blocks(starts):
-        at = starts[i : j + 1] - starts[i]
-        ids = grams(data[starts[i] : starts[j]], at, s.bits)
-        for r in range(j - i):
-            both = np.concatenate([x[at[r] : at[r + 1]] for x in ids])
-            bucket, count = np.unique(both[both < (1 << s.bits)], return_counts=True)
-            bags.append((bucket.astype(np.int64), (count / max(count.sum(), 1)).astype(np.float32)))
+    buckets, shares, ends = bags(texts, s.bits)
     rng = np.random.default_rng(s.seed)
     table = rng.uniform(-1 / s.width, 1 / s.width, (1 << s.bits, s.width)).astype(np.float32)
     layer = np.zeros((s.width, len(languages)), np.float32)
     bias = np.zeros(len(languages), np.float32)
-    order = rng.permutation(len(bags))
-    held = order[: int(len(bags) * s.calibration)]
+    order = rng.permutation(len(texts))
+    held = order[: int(len(texts) * s.calibration)]
     fit = order[len(held) :]
     step, updates = 0, max(s.updates, s.updates_each * len(languages), s.epochs * -(-len(fit) // s.batch))
     while step < updates and len(fit):
         for some in np.array_split(rng.permutation(fit), -(-len(fit) // s.batch)):
             rate = s.rate * max(1 - step / updates, 0) * s.width
             step += 1
-            rows = np.concatenate([bags[k][0] for k in some])
-            share = np.concatenate([bags[k][1] for k in some])
-            owner = np.repeat(np.arange(len(some)), [len(bags[k][0]) for k in some])
+            rows = np.concatenate([buckets[ends[k] : ends[k + 1]] for k in some])
+            share = np.concatenate([shares[ends[k] : ends[k + 1]] for k in some])
+            owner = np.repeat(np.arange(len(some)), ends[some + 1] - ends[some])
             mean = sum_by(owner, table[rows] * share[:, None], len(some))
             wrong = softmax(mean @ layer + bias)
             wrong[np.arange(len(some)), y[some]] -= 1
@@ -150,7 +160,7 @@ def train(texts: list[str], labels: list[str], s: Settings) -> Model:
 def _calibrated(model: Model, texts: list[str], y: np.ndarray, s: Settings) -> Model:
     if not len(texts) or len(model.languages) < 2:
         return model
-    raw, _ = logits(pa.array(texts, pa.large_string()), model)
+    raw = np.concatenate([logits(pa.array([t], pa.large_string()), model)[0] for t in texts])
     grid = np.geomspace(0.02, 8, 60)
     loss = [-np.log(np.maximum(softmax(raw / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
     heat = float(grid[int(np.argmin(loss))])

@@ -320,6 +320,19 @@ def test_sixty_languages_and_long_texts_are_learned(spark):
     assert right > 0.95 * 300
 
 
+def test_training_grams_lie_in_three_arrays():
+    texts = ["der Hund bellt", "", "ab", "the dog the dog the dog", "gr\u00f6\u00dfer \U0001f600", "x" * 5_000]
+    buckets, shares, ends = language_id.bags(texts, 8)
+    assert (buckets.dtype, shares.dtype, len(ends)) == (np.int32, np.float32, len(texts) + 1)
+    for k, text in enumerate(texts):
+        data = np.frombuffer(text.encode(), np.uint8)
+        both = np.concatenate(language_id.grams(data, np.array([0, len(data)]), 8))
+        want, count = np.unique(both[both < 256], return_counts=True)
+        got = slice(ends[k], ends[k + 1])
+        assert buckets[got].tolist() == want.tolist()
+        assert np.array_equal(shares[got], (count / max(count.sum(), 1)).astype(np.float32))
+
+
 def test_logits_are_plain_sums_over_grams():
     rng = np.random.default_rng(4)
     weights = rng.normal(size=(3, (1 << 8) + 1)).astype(np.float32)
