@@ -43,6 +43,10 @@ from tarnfold.session import cut_lineage
 
 FEATURES, LABEL, WEIGHT = "features", "y", "weight"
 Factory = Callable[[], Estimator]
+# Fits that run side by side over a large table.
+AT_ONCE = 4
+# Rows that one task of a fit may as well scan alone where other fits use the other cores.
+FIT_ROWS = 100_000
 
 
 def make_rf(trees: int = 200, depth: int = 10, min_leaf: int = 3, weight: str | None = WEIGHT, **more) -> Estimator:
@@ -187,7 +191,7 @@ class OneVsRestModel:
         return out.withColumn("probability", array_to_vector(share)).drop(*names)
 
 
-def _in_parallel(work: Callable, items: Sequence, at_once: int = 4) -> list:
+def _in_parallel(work: Callable, items: Sequence, at_once: int = AT_ONCE) -> list:
     """Run independent fits side by side from the driver, as Spark's own CrossValidator does."""
     with ThreadPoolExecutor(at_once) as pool:
         return list(pool.map(work, items))
@@ -203,6 +207,22 @@ def stored_evenly(df: DataFrame) -> DataFrame:
     return stored if stored.rdd.getNumPartitions() >= cores else cut_lineage(stored.repartition(cores))
 
 
+def _stored_for_fits(df: DataFrame, fold: str, sets: int) -> tuple[DataFrame, list, int]:
+    """The table stored once for ``sets`` cross-validations together, its folds, and how many fits to run side by side.
+
+    A fit is hundreds of short jobs, which cost more by their tasks than by the rows of a small table. So a small table has
+    few parts and many fits at once keep the cores busy; a large one has at least as many parts as there are cores.
+    """
+    stored = cut_lineage(df)
+    sizes = stored.groupBy(fold).count().orderBy(fold).collect()
+    ids = [r[0] for r in sizes]
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = max(math.ceil(sum(r[1] for r in sizes) / FIT_ROWS), math.ceil(cores / max(1, sets * len(ids))))
+    if parts >= cores:
+        return stored_evenly(stored), ids, AT_ONCE
+    return cut_lineage(stored.repartition(parts)), ids, max(AT_ONCE, 2 * cores // parts)
+
+
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=FEATURES, handleInvalid="keep").transform(df)
 
@@ -287,12 +307,17 @@ def fit_final(factory: Factory, train: DataFrame, test: DataFrame, out: str = "p
 def compare_params(
     factories: Mapping[str, Factory], df: DataFrame, fold: str = "fold", y: str = LABEL
 ) -> DataFrame:
-    """Pooled out-of-fold ranking scores per parameter set: ``(config, auc, ap, composite)``."""
-    df = cut_lineage(df)
-    scored = []
-    for name, factory in factories.items():
-        held, _ = cross_val_predict(factory, df, fold)
-        scored.append(held.select(F.lit(name).alias("config"), y, F.get("proba", 1).alias("score")))
+    """Pooled out-of-fold ranking scores per parameter set: ``(config, auc, ap, composite)``.
+
+    The fits of all sets and folds scan one stored table and run side by side.
+    """
+    df, ids, at_once = _stored_for_fits(df, fold, len(factories))
+    jobs = [(name, i) for name in factories for i in ids]
+    fitted = _in_parallel(lambda j: factories[j[0]]().fit(df.filter(F.col(fold) != j[1])), jobs, at_once)
+    scored = [
+        predict(model, df.filter(F.col(fold) == i)).select(F.lit(name).alias("config"), y, F.get("proba", 1).alias("score"))
+        for (name, i), model in zip(jobs, fitted)
+    ]
     return ranking_scores(cut_lineage(union_rows(*scored)), y, "score", ["config"])
 
 

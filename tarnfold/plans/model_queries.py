@@ -113,6 +113,7 @@ def _plant_features(spark, sf, folds=FOLDS, near=True):
         p = geo.neighbor_features(
             p, None, NEAR_PAIRS, ["primary_fuel", "other_fuel1"], ["capacity_log_mw", "plant_age"], 0.5, 1.0, 0.5, y="y", fold="fold", default=prior
         )
+        p = cut_lineage(p)  # medians and encodings below each scan it, and the search is to run once
     p = windows.group_pct_rank(p, "primary_fuel", "plant_age")
     p = windows.group_zscore(p, "primary_fuel", ["capacity_mw"])
     p = encode.target_encode_oof(p, ["primary_fuel", "owner_bucket", "capacity_band", "fuel_band"], "y", "fold", 20.0)

@@ -1,6 +1,7 @@
 """Score ranges of the trained pieces; training itself has no exact expectation."""
 
 import re
+import threading
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tarnfold.operators import ensemble, metrics, models, windows
-from tarnfold.plans import QUERIES
+from tarnfold.plans import QUERIES, model_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -134,3 +135,47 @@ def test_fits_scan_as_many_parts_as_there_are_cores(spark, signal, train):
     else:
         models.fit_final(Spy, few, signal.select("id", "features"))
     assert parts and min(parts) >= spark.sparkContext.defaultParallelism
+
+
+def test_compare_params_fits_all_sets_and_folds_side_by_side(spark, signal):
+    rows = signal.withColumn("y", (F.col("y") == 3).cast("int"))
+    meet, parts = threading.Barrier(6), []
+
+    class Spy:
+        def __init__(self, reg):
+            self.reg = reg
+
+        def fit(self, df):
+            parts.append(df.rdd.getNumPartitions())
+            meet.wait(60)  # breaks unless all six fits are under way
+            return models.make_lr(self.reg).fit(df)
+
+    regs = {"free": 0.0, "firm": 0.5}
+    board = models.compare_params({n: lambda r=r: Spy(r) for n, r in regs.items()}, rows)
+    assert len(parts) == 6 and sum(parts) >= spark.sparkContext.defaultParallelism and max(parts) <= 2
+    got = {r.config: r for r in board.collect()}
+    assert set(got) == set(regs)
+    for name, reg in regs.items():
+        held, _ = models.cross_val_predict(lambda: models.make_lr(reg), rows)  # noqa: B023
+        want = metrics.ranking_scores(held.withColumn("score", F.get("proba", 1)), "y", "score").first()
+        assert got[name].auc == pytest.approx(want.auc, abs=1e-6) and got[name].ap == pytest.approx(want.ap, abs=1e-6)
+
+
+def test_compare_params_on_a_large_table_has_a_part_for_every_core(spark, signal, monkeypatch):
+    monkeypatch.setattr(models, "FIT_ROWS", 10)
+    rows, ids, at_once = models._stored_for_fits(signal.coalesce(1), "fold", 2)
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert (ids, at_once, rows.count()) == ([0, 1, 2], models.AT_ONCE, 400)
+
+
+def test_plant_features_search_neighbours_once(spark, monkeypatch):
+    seen, search = spark.sparkContext.accumulator(0), model_queries.geo.neighbor_features
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(model_queries.geo, "neighbor_features", lambda *a, **k: (out := search(*a, **k)).mapInArrow(count, out.schema))
+    features = model_queries._plant_features(spark, SF)
+    assert seen.value == features.count() > 0
