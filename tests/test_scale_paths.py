@@ -357,3 +357,75 @@ def test_a_fuller_cell_looks_at_few_of_its_pairs_and_finds_the_same(monkeypatch,
     assert sum(looked) < 8000 * 1000 / 2
     monkeypatch.setattr(neighbors, "BOUNDED_PAIRS", 1 << 40)
     assert few == found() and len(few) > 200
+
+
+@pytest.mark.parametrize("more", [{}, {"fold": "fold"}, {"itself": False}])
+def test_several_orders_compute_few_pairs_of_a_row_exactly_and_find_the_same(monkeypatch, more):
+    table, search = _cell(11, 4000, 300, GRID_SLOTS, orders=GRID, pairs=True, **more)
+    computed, exact = [], neighbors.km_between
+
+    def counted(lat, lon, a, b):
+        computed.append(len(a))
+        return exact(lat, lon, a, b)
+
+    monkeypatch.setattr(neighbors, "km_between", counted)
+
+    def found():
+        computed.clear()
+        batches = neighbors._task(search, search.columns())(iter(table.to_batches()))
+        return sorted((r["c0"], r[f"c{4 + len(search.columns())}"]) for b in batches for r in b.to_pylist()), sum(computed)
+
+    few, n = found()
+    # the limits of the orders leave little more than the first rows, and not those of every set of differing categories
+    assert n < 1.1 * len(few)
+    monkeypatch.setattr(neighbors, "BOUNDED_PAIRS", 1 << 40)
+    every, n = found()
+    assert n == 4000 * 300 and few == every and len(few) > 300
+
+
+@pytest.mark.parametrize("k, slab", [(1, 1 << 16), (3, 1 << 16), (5, 64)])
+def test_every_choice_of_weights_ranks_the_pairs_of_a_row(monkeypatch, k, slab):
+    monkeypatch.setattr(geo, "SLAB", slab, raising=False)
+    rng = np.random.default_rng(k)
+    rows = []
+    for i in range(120):
+        rows.append((i, None, float(i % 2), None, None, None))  # the row's own
+        for j in range(int(rng.integers(0, 4) ** 3)):
+            number = None if rng.random() < 0.1 else round(float(rng.integers(0, 4)) / 2, 1)
+            rows.append((i, j, float(rng.integers(0, 3)), float(rng.integers(0, 5)) * 10, float(rng.integers(0, 2)), number))
+    table = pa.table({c: pa.array([r[n] for r in rows], t) for n, (c, t) in enumerate(zip(("id", "n_id", "y", "km", "a", "u"), (pa.int64(), pa.int64(), *[pa.float64()] * 4)))})
+    orders = [(1.0, 0.0, 0.0), (1.0, 0.01, 0.0), (0.5, 0.5, 1.0), (0.0, 0.0, 1.0)]
+    got: dict = {}
+    for batch in geo._configurations(orders, ["a", "u"], k)(iter(table.to_batches())):
+        for r in batch.to_pylist():
+            got.setdefault(r["config_id"], []).append([r["y"], *[r[f"f{i}"] for i in range(5)]])
+    for number, (g, a, u) in enumerate(orders, start=1):
+        want = []
+        for i in range(120):
+            mine = [r for r in rows if r[0] == i and r[1] is not None]
+            value = lambda r: round(g * r[3] / 1000 + a * r[4] + (0.0 if not u else math.inf if r[5] is None else u * r[5]), 12)  # noqa: B023, E731
+            mine.sort(key=lambda r: (value(r), r[1]))
+            first = mine[:k]
+            mean = lambda n: sum(r[n] for r in first) / len(first) if first else None  # noqa: B023, E731
+            nearest = [next((r[3] for r in mine if r[2] == one), None) for one in (1.0, 0.0)]
+            want.append([float(i % 2), mean(2), float(len(first)), mean(3), *nearest])
+        assert [[None if x is None else round(x, 9) for x in r] for r in got[number]] == [[None if x is None else round(x, 9) for x in r] for r in want]
+
+
+def test_grid_search_over_cut_cells_is_the_same(spark, monkeypatch):
+    rng = random.Random(23)
+    rows = [
+        (i, rng.choice("abc"), rng.choice(["x", "y", None]), rng.choice([None, *map(float, range(20))]), rng.uniform(0, 3), rng.uniform(178, 181), int(rng.random() < 0.3))
+        for i in range(500)
+    ]
+    df = spark.createDataFrame(rows, "id long, c string, e string, u double, latitude double, longitude double, y int")
+
+    def found():
+        out = geo.neighbor_grid_search(df, [[], ["c"], ["c", "e"]], [[], ["u"]], [(1.0, 0.5, 0.5), (0.5, 1.0, 0.5)])
+        return sorted((r.config_id, r.cat_cols, r.num_cols, round(r.best_corr, 9)) for r in out.collect())
+
+    whole = found()
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 40)
+    assert found() == whole and len(whole) == 12
+    monkeypatch.setattr(neighbors, "BOUNDED_PAIRS", 1 << 40)
+    assert found() == whole
